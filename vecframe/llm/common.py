@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +52,9 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 def binary_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def row_keys(key: str, *columns: str) -> list[Column]:
+    """Two hashes, ka and kb, that identify a row by its content; equal rows share them, nulls included."""
+    parts = [F.col(c) for c in (key, *columns)]
+    return [F.xxhash64(*parts).alias("ka"), F.xxhash64(F.lit(1), *reversed(parts)).alias("kb")]

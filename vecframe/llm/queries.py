@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunk_bpe, token_store
+from . import avi, chunk_bpe, compress_quality, extendible, log_templates, simhash_vp, substring_dedup, token_store, toxicity, winnow
 from .common import scratch, table
+from .labelled import held_out
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +19,55 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_shards(spark, path)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
+
+
+def op3_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.probe_media(avi.store(table(spark, sf_dir, "documents")))
+
+
+def op4_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held = held_out(F.col("doc_id"), toxicity.MODULUS, toxicity.REMAINDER)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted", "n_sentences", "worst_sentence", F.size("offending").alias("n_offending"))
+
+
+def op5_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_templates.digest(log_templates.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compress_quality.fit(docs, table(spark, sf_dir, "labels"))
+    held = held_out(F.col("doc_id"), compress_quality.MODULUS, compress_quality.REMAINDER)
+    return compress_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "difference")
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("ka", "kb")
+
+
 def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_shards": op1_token_shards,
-    "op9_chunk_bpe": op9_chunk_bpe,
-}
+    f.__name__: f
+    for f in (
+        op1_token_shards, op2_suffix_dedup, op3_avi_media, op4_toxicity_mil, op5_log_templates, op6_extendible_shards,
+        op7_compression_quality, op8_winnowing, op9_chunk_bpe, op10_simhash_vp,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_extendible_shards": extendible.oracle(), "op8_winnowing": winnow.ORACLE}
