@@ -1,7 +1,7 @@
 """Operator 4: toxicity by multiple-instance learning with noisy-or.
 
 A document is a bag of sentences (ends: ``. ! ?`` after a word, and line ends). A sentence's probability is
-logistic in its words (hashed, case and edge punctuation dropped); a document's is 1 - prod(1 - p): it is toxic if
+logistic in its words and their beginnings (hashed, case and edge punctuation dropped; those that tell the labels apart); a document's is 1 - prod(1 - p): it is toxic if
 any sentence is. The weights are trained from document labels only, by full-batch Adam on the likelihood of the
 noisy-or; the trained model then locates the offending sentences.
 
@@ -26,21 +26,22 @@ from . import labelled
 
 ROWS = 12_000
 BUCKETS = 1 << 18
+PREFIX = (5, 4)
 MODULUS, REMAINDER = 5, 0
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»“”‘’…–—"
 BREAK = "\x00"
 
 
 class WordNumbers(dict):
-    """token -> 2 * (word bucket + 1, or 0 for none) + (1 if it ends a sentence)."""
+    """token -> the numbers of its word and of its first PREFIX letters (19 bits each), and whether it ends a sentence."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= 1_000_000:
             self.clear()
-        word = token.strip(EDGE).lower()
+        word = token.strip(EDGE).lower() if token != BREAK else ""
         tail = token[len(token.rstrip(EDGE)) :]
-        number = 2 * (zlib.crc32(word.encode()) % BUCKETS + 1) if word and token != BREAK else 0
-        self[token] = out = number + (token == BREAK or any(x in tail for x in ".!?…"))
+        numbers = [zlib.crc32(x.encode()) % BUCKETS + 1 for x in (word, *(word[:n] + "-" for n in PREFIX if len(word) > n)) if x]
+        self[token] = out = sum(x << 19 * i for i, x in enumerate(numbers)) | (token == BREAK or any(x in tail for x in ".!?…")) << 57
         return out
 
 
@@ -52,12 +53,13 @@ def tokens(text: str) -> list[str]:
 
 
 def bag(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers, and where each sentence starts among them."""
-    x = np.fromiter(map(NUMBERS.__getitem__, found), np.int32, len(found))
+    """Word numbers, three for each token (0 for none), and where each sentence starts among them."""
+    x = np.fromiter(map(NUMBERS.__getitem__, found), np.int64, len(found))
     if not len(x):
-        return x, x
-    starts = np.flatnonzero(x & 1) + 1
-    return x >> 1, np.concatenate(([0], starts[starts < len(x)]))
+        return x.astype(np.int32), x
+    starts = np.flatnonzero(x >> 57) + 1
+    words = np.stack([x & 0x7FFFF, x >> 19 & 0x7FFFF, x >> 38 & 0x7FFFF], axis=1).ravel()
+    return words.astype(np.int32), 3 * np.concatenate(([0], starts[starts < len(x)]))
 
 
 @dataclass
@@ -78,7 +80,25 @@ class Model:
         return (1 - float(np.exp(-np.logaddexp(0, z).sum())) if self.constant is None else self.constant), z
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = 120, rate: float = 0.1, decay: float = 2e-4) -> Model:
+def informative(words: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which word numbers tell the labels apart: their G statistic is over what the best of as many random words has."""
+    pairs = np.unique(words * len(y) + of)
+    word, doc = pairs // len(y), pairs % len(y)
+    seen = np.bincount(word, minlength=BUCKETS + 1).astype(float)
+    bad = np.bincount(word, y[doc], BUCKETS + 1)
+    rate, g = y.mean(), np.zeros(BUCKETS + 1)
+    for k, n, p in ((bad, seen, rate), (seen - bad, seen, 1 - rate), (y.sum() - bad, len(y) - seen, rate), (len(y) - y.sum() - seen + bad, len(y) - seen, 1 - rate)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g += np.where(k > 0, 2 * k * np.log(k / (n * p)), 0)
+    found = g > 2 * np.log(max(2, (seen > 0).sum())) + 4
+    found[0] = False
+    if not found.any():
+        found[np.argsort(-g, kind="stable")[:1000]] = True
+        found[0] = False
+    return found
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = 200, rate: float = 0.1, decay: float = 2e-6) -> Model:
     wordless = [y for (w, _), y in zip(bags, labels, strict=True) if not w.any()]
     empty = (sum(wordless) / len(wordless)) if wordless else 0.0
     kept = [(w, s, y) for (w, s), y in zip(bags, labels, strict=True) if w.any()]
@@ -86,22 +106,22 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: i
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS + 1, np.float32), 0.0, empty, constant=float((y.sum() + 1) / (len(y) + 2)))
     words = np.concatenate([k[0] for k in kept]).astype(np.int64)
-    used, words = np.unique(words, return_inverse=True)
+    telling = informative(words, np.repeat(np.arange(len(kept)), [len(k[0]) for k in kept]), y)
     sizes = np.cumsum([0, *(len(k[0]) for k in kept)])
     sentence = np.concatenate([k[1] + at for k, at in zip(kept, sizes[:-1], strict=True)])
-    of = np.repeat(np.arange(len(kept)), [len(k[1]) for k in kept])
     docs = np.concatenate(([0], np.cumsum([len(k[1]) for k in kept])[:-1]))
-    length = np.diff(np.append(sentence, len(words)))
+    of = np.repeat(np.arange(len(kept)), [len(k[1]) for k in kept])
+    at = np.flatnonzero(telling[words])
+    used, entry = np.unique(words[at], return_inverse=True)
+    within = np.searchsorted(sentence, at, side="right") - 1
     w, b = np.zeros(len(used)), np.log(max(y.mean(), 1e-3) / max(1, len(sentence) / len(kept)))
     mw, vw, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.add.reduceat(w[words], sentence) + b
+        z = np.bincount(within, w[entry], len(sentence)) + b
         total = np.maximum(np.add.reduceat(np.logaddexp(0, z), docs), 1e-9)
         slope = np.where(y == 1, 1 / np.expm1(np.minimum(total, 50)), -1.0)
-        g = slope[of] / (1 + np.exp(-z)) / len(kept)
-        gw = np.bincount(words, np.repeat(g, length), len(used)) - decay * w
-        gw[used == 0] = 0
-        gb = g.sum()
+        g = slope[of] / (1 + np.exp(-np.clip(z, -50, 50))) / len(kept)
+        gw, gb = np.bincount(entry, g[within], len(used)) - decay * w, g.sum()
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         scale = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         w, b = w + scale * mw / (np.sqrt(vw) + 1e-8), b + scale * mb / (np.sqrt(vb) + 1e-8)
@@ -141,8 +161,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 scores.append(min(1.0, max(0.0, p)))
                 counts.append(len(z))
                 worst.append(int(z.argmax()) if len(z) else None)
-                ends = [*starts.tolist()[1:], len(found)]
-                offending.append([" ".join(x for x in found[starts[i] : ends[i]] if x != BREAK) for i in np.flatnonzero(z >= 0).tolist()])
+                ends = [*starts.tolist()[1:], 3 * len(found)]
+                offending.append([" ".join(x for x in found[starts[i] // 3 : ends[i] // 3] if x != BREAK) for i in np.flatnonzero(z >= 0).tolist()])
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(counts, pa.int32()), pa.array(worst, pa.int32()), pa.array(offending, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names, *[f"kept_{i}" for i in range(len(keep))]])
 
