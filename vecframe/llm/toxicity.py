@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .common import materialize
 
 ROWS = 12_000
 BUCKETS = 1 << 18
@@ -80,16 +81,15 @@ class Model:
         return (1 - float(np.exp(-np.logaddexp(0, z).sum())) if self.constant is None else self.constant), z
 
 
-def informative(words: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which word numbers tell the labels apart: their G statistic is over what the best of as many random words has."""
-    pairs = np.unique(words * len(y) + of)
-    word, doc = pairs // len(y), pairs % len(y)
-    seen = np.bincount(word, minlength=BUCKETS + 1).astype(float)
-    bad = np.bincount(word, y[doc], BUCKETS + 1)
-    rate, g = y.mean(), np.zeros(BUCKETS + 1)
-    for k, n, p in ((bad, seen, rate), (seen - bad, seen, 1 - rate), (y.sum() - bad, len(y) - seen, rate), (len(y) - y.sum() - seen + bad, len(y) - seen, 1 - rate)):
+def informative(seen: np.ndarray, bad: np.ndarray, n: int, n_bad: int) -> np.ndarray:
+    """Which word numbers tell the labels apart, from the documents that have each, and those of label 1 among them.
+
+    Those are the ones whose G statistic is over what the best of as many random words has.
+    """
+    rate, g = n_bad / n, np.zeros(len(seen))
+    for k, of, p in ((bad, seen, rate), (seen - bad, seen, 1 - rate), (n_bad - bad, n - seen, rate), (n - n_bad - seen + bad, n - seen, 1 - rate)):
         with np.errstate(divide="ignore", invalid="ignore"):
-            g += np.where(k > 0, 2 * k * np.log(k / (n * p)), 0)
+            g += np.where(k > 0, 2 * k * np.log(k / (of * p)), 0)
     found = g > 2 * np.log(max(2, (seen > 0).sum())) + 4
     found[0] = False
     if not found.any():
@@ -98,26 +98,46 @@ def informative(words: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
     return found
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = 200, rate: float = 0.1, decay: float = 2e-6) -> Model:
-    wordless = [y for (w, _), y in zip(bags, labels, strict=True) if not w.any()]
+def counts(bags: Iterable[np.ndarray], labels: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word number, the documents that have it, and those of label 1 among them."""
+    seen, bad = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+    for words, y in zip(bags, labels, strict=True):
+        own = np.unique(words)
+        seen[own] += 1
+        bad[own] += y
+    return seen, bad
+
+
+def compact(words: np.ndarray, starts: np.ndarray, telling: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Sentences (0 if there is no word), the telling words, and the sentence of each."""
+    at = np.flatnonzero(telling[words])
+    return len(starts) if words.any() else 0, words[at], np.searchsorted(starts, at, side="right") - 1
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], **options: float) -> Model:
+    """From whole bags, for small samples in memory."""
+    if not any(w.any() for w, _ in bags) or len(set(labels)) < 2:
+        return train_compact([(1 if w.any() else 0, w[:0], s[:0]) for w, s in bags], labels)
+    telling = informative(*counts([w for w, _ in bags], labels), len(labels), sum(labels))
+    return train_compact([compact(w, s, telling) for w, s in bags], labels, **options)
+
+
+def train_compact(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: list[int], steps: int = 200, rate: float = 0.1, decay: float = 2e-6) -> Model:
+    wordless = [y for (n, _, _), y in zip(rows, labels, strict=True) if not n]
     empty = (sum(wordless) / len(wordless)) if wordless else 0.0
-    kept = [(w, s, y) for (w, s), y in zip(bags, labels, strict=True) if w.any()]
-    y = np.array([k[2] for k in kept], float)
+    kept = [(*r, y) for r, y in zip(rows, labels, strict=True) if r[0]]
+    y = np.array([k[3] for k in kept], float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS + 1, np.float32), 0.0, empty, constant=float((y.sum() + 1) / (len(y) + 2)))
-    words = np.concatenate([k[0] for k in kept]).astype(np.int64)
-    telling = informative(words, np.repeat(np.arange(len(kept)), [len(k[0]) for k in kept]), y)
-    sizes = np.cumsum([0, *(len(k[0]) for k in kept)])
-    sentence = np.concatenate([k[1] + at for k, at in zip(kept, sizes[:-1], strict=True)])
-    docs = np.concatenate(([0], np.cumsum([len(k[1]) for k in kept])[:-1]))
-    of = np.repeat(np.arange(len(kept)), [len(k[1]) for k in kept])
-    at = np.flatnonzero(telling[words])
-    used, entry = np.unique(words[at], return_inverse=True)
-    within = np.searchsorted(sentence, at, side="right") - 1
-    w, b = np.zeros(len(used)), np.log(max(y.mean(), 1e-3) / max(1, len(sentence) / len(kept)))
+    sizes = np.array([k[0] for k in kept])
+    docs = np.cumsum(sizes) - sizes  # each document's first sentence
+    of, total_sentences = np.repeat(np.arange(len(kept)), sizes), int(sizes.sum())
+    used, entry = np.unique(np.concatenate([k[1] for k in kept]), return_inverse=True)
+    within = np.concatenate([k[2] + at for k, at in zip(kept, docs, strict=True)]).astype(np.int64)
+    w, b = np.zeros(len(used)), np.log(max(y.mean(), 1e-3) / max(1, total_sentences / len(kept)))
     mw, vw, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(within, w[entry], len(sentence)) + b
+        z = np.bincount(within, w[entry], total_sentences) + b
         total = np.maximum(np.add.reduceat(np.logaddexp(0, z), docs), 1e-9)
         slope = np.where(y == 1, 1 / np.expm1(np.minimum(total, 50)), -1.0)
         g = slope[of] / (1 + np.exp(-np.clip(z, -50, 50))) / len(kept)
@@ -131,7 +151,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS, key: str = "doc_id", text: str = "text") -> Model:
-    """Train on at most ``rows`` labelled documents outside the held-out fold."""
+    """Train on at most ``rows`` labelled documents outside the held-out fold.
+
+    Counts by word are made on the executors; the driver gets one row a word number, then of each sampled document
+    the telling words only.
+    """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +163,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
             words, starts = (pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, starts], ["doc_id", "label", "words", "starts"])
 
-    rows_ = labelled.sample(docs, labels, label, rows, MODULUS, REMAINDER, key, text).select("doc_id", "label", "text")
-    found = sorted(rows_.mapInArrow(pack, "doc_id long, label int, words binary, starts binary").collect(), key=lambda r: (r.doc_id, bytes(r.words)))
-    return train([(np.frombuffer(r.words, "<i4"), np.frombuffer(r.starts, "<i4")) for r in found], [r.label for r in found])
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, bad = counts((np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()), batch.column(0).to_pylist())
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at]), pa.array(bad[at])], ["word", "n", "bad"])
+
+    sampled = labelled.sample(docs, labels, label, rows, MODULUS, REMAINDER, key, text).select("doc_id", "label", "text")
+    sampled = materialize(sampled.mapInArrow(pack, "doc_id long, label int, words binary, starts binary"), "toxicity-sample")
+    n, n_bad = sampled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    telling = np.zeros(BUCKETS + 1, bool)
+    if 0 < n_bad < n:
+        by_word = sampled.select("label", "words").mapInArrow(count, "word int, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toArrow()
+        seen, bad = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        at = by_word.column("word").to_numpy()
+        seen[at], bad[at] = by_word.column("n").to_numpy(), by_word.column("bad").to_numpy()
+        telling = informative(seen, bad, n, n_bad)
+
+    def shrink(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [compact(np.frombuffer(w, "<i4"), np.frombuffer(s, "<i4"), telling) for w, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            words, within = (pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.int32()), words, within], ["doc_id", "label", "n", "words", "within"])
+
+    found = sampled.mapInArrow(shrink, "doc_id long, label int, n int, words binary, within binary").collect()
+    found.sort(key=lambda r: (r.doc_id, r.n, bytes(r.words), bytes(r.within)))
+    return train_compact([(r.n, np.frombuffer(r.words, "<i4"), np.frombuffer(r.within, "<i4")) for r in found], [r.label for r in found])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
