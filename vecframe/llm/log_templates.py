@@ -6,8 +6,9 @@ equals them in the largest share of positions if that is at least ``SIMILAR``, a
 variable; else they start a template. A template that occurs in ``min_docs`` documents recurs: its lines are dropped
 from every document but the first (least doc_id, nulls last), so that no content vanishes altogether.
 
-Lines are counted by distinct masked line before any of them move; a leaf with more than ``LEAF_MAX`` distinct
-lines is split by its next three tokens. Token texts move as 32-bit hashes. Which lines go is decided by joins on
+Lines are counted by distinct masked line, as hashes, before any text moves; only leaves with several lines are
+parsed, from one copy of each line; a leaf with more than ``LEAF_MAX`` distinct lines is split by its next three
+tokens. Tokens move as 32-bit hashes. Which lines go is decided by joins on
 hashes of lines, and only documents' own lists of them are brought to their texts.
 
 Blank lines stay, wherever they are; null texts stay null and have no lines; a document may become empty. Rows equal
@@ -36,7 +37,7 @@ WILD = 0
 
 class TokenHashes(dict):
     def __missing__(self, token: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         self[token] = out = 1 if DIGIT.search(token) else max(2, zlib.crc32(token.encode()))
         return out
@@ -54,30 +55,49 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(masked(line), 5) - (1 << 63)
 
 
-def _lines(batches: Iterable[pa.RecordBatch], with_tokens: bool) -> Iterator[pa.RecordBatch]:
+def leaf_hash(norm: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(norm[:DEPTH]), len(norm)) - (1 << 63)
+
+
+def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (ka, kb, doc_id, text): a row for each distinct masked line of a document."""
+    digest = xxhash.xxh64_intdigest
     for batch in batches:
-        at, leaf, line, tokens = [], [], [], []
+        at, leaf, line = [], [], []
         for i, text in enumerate(batch.column(3).to_pylist()):
-            seen = set()
-            for raw in (text or "").split("\n"):
-                if not (norm := masked(raw)):
-                    continue
-                h = xxhash.xxh64_intdigest(norm, 5) - (1 << 63)
-                if h in seen:
+            if not text:
+                continue
+            seen, digits = set(), DIGIT.search(text)
+            for raw in text.split("\n"):
+                norm = raw.split()
+                if not norm:
                     continue
-                seen.add(h)
-                at.append(i)
-                line.append(h)
-                if with_tokens:
+                if digits and DIGIT.search(raw):
+                    norm = ["<*>" if DIGIT.search(x) else x for x in norm]
+                h = digest(" ".join(norm), 5) - (1 << 63)
+                if h not in seen:
+                    seen.add(h)
+                    at.append(i)
+                    line.append(h)
+                    leaf.append(leaf_hash(norm))
+        keys = [batch.column(j).take(pa.array(at, pa.int64())) for j in range(3)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(leaf, pa.int64()), pa.array(line, pa.int64())], ["ka", "kb", "doc_id", "leaf", "line"])
+
+
+def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, wanted): leaf, line, docs and token hashes of the lines wanted; leaves that are full get three more tokens."""
+    for batch in batches:
+        rows = []
+        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            left = {w["line"]: w for w in wanted}
+            for raw in (text or "").split("\n"):
+                w = left.pop(line_hash(raw), None) if left and raw.strip() else None
+                if w:
                     x = np.fromiter(map(HASHES.__getitem__, raw.split()), np.uint32).astype("<u4").tobytes()
-                    tokens.append(x)
-                    leaf.append(xxhash.xxh64_intdigest(x[: 4 * DEPTH], len(x)) - (1 << 63))
-        if with_tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(tokens, pa.binary())], ["leaf", "line", "tokens"])
-        else:
-            keys = [batch.column(j).take(pa.array(at, pa.int64())) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(line, pa.int64())], ["ka", "kb", "doc_id", "line"])
+                    leaf = w["leaf"] if not w["full"] else xxhash.xxh64_intdigest(x[: 8 * DEPTH], len(x)) - (1 << 63)
+                    rows.append((leaf, w["line"], w["docs"], x))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["leaf", "line", "docs", "tokens"])
 
 
 def parse_leaf(lines: list[int], tokens: list[bytes], similar: float = SIMILAR) -> list[int]:
@@ -105,7 +125,7 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list = []
 
     def close() -> Iterator[pa.RecordBatch]:
-        if sum(x["docs"] for x in held) >= 2:
+        if held:
             found = parse_leaf([x["line"] for x in held], [x["tokens"] for x in held])
             total: dict[int, int] = {}
             for x, name in zip(held, found, strict=True):
@@ -123,18 +143,29 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def templates(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf_max: int = LEAF_MAX) -> DataFrame:
-    """line, template: hashes of masked lines and of the templates that they belong to, where two lines or documents share it."""
-    rows = docs.select(*row_keys(key, text), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = rows.mapInArrow(lambda b: _lines(b, True), "leaf long, line long, tokens binary")
-    distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"))
-    # Only leaves with two lines or more, or a line of two documents, can hold a template that recurs.
-    busy = distinct.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("d")).where("d >= 2").select("leaf", (F.col("n") > leaf_max).alias("full"))
-    distinct = distinct.join(busy, "leaf")
-    next_tokens = F.xxhash64("leaf", F.substring("tokens", 4 * DEPTH + 1, 12))
-    dealt = distinct.select(F.when(F.col("full"), next_tokens).otherwise(F.col("leaf")).alias("leaf"), "line", "docs", "tokens")
+LINES = "ka long, kb long, doc_id long, leaf long, line long"
+
+
+def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """ka, kb, doc_id, leaf, line for the distinct masked lines of each document."""
+    return docs.select(*row_keys(key, text), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_lines, LINES)
+
+
+def templates(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, leaf_max: int = LEAF_MAX) -> DataFrame:
+    """line, template: hashes of masked lines and of the templates that they belong to, where those may recur.
+
+    A line alone in its leaf is its own template. The others' tokens are read from one document each.
+    """
+    distinct = lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("ka", "kb")).alias("place"))
+    distinct = materialize(distinct, "distinct-lines")
+    leaves = distinct.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("d")).where((F.col("n") > 1) & (F.col("d") >= min_docs))
+    leaves = materialize(leaves.select("leaf", (F.col("n") > leaf_max).alias("full")), "mixed-leaves")
+    alone = distinct.where(F.col("docs") >= min_docs).join(leaves, "leaf", "left_anti").select("line", F.col("line").alias("template"))
+    wanted = distinct.join(leaves, "leaf").groupBy("place").agg(F.collect_list(F.struct("leaf", "line", "docs", "full")).alias("wanted"))
+    texts = docs.select(*row_keys(key, text), F.col(text).alias("text")).join(wanted.select("place.*", "wanted"), ["ka", "kb"])
+    dealt = texts.select("text", "wanted").mapInArrow(_tokens, "leaf long, line long, docs long, tokens binary")
     dealt = dealt.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "line")
-    return dealt.mapInArrow(_parse, "line long, template long")
+    return dealt.mapInArrow(_parse, "line long, template long").distinct().unionByName(alone)
 
 
 def _drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +190,9 @@ def _drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The columns of docs, with the lines of recurring templates dropped from text; and __n_lines, __n_dropped."""
-    rows = docs.select(*row_keys(key, text), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    named = materialize(templates(docs, key, text), "templates")
-    lines = rows.mapInArrow(lambda b: _lines(b, False), "ka long, kb long, doc_id long, line long")
-    uses = materialize(lines.join(named, "line"), "template-uses")
+    lines = materialize(line_rows(docs, key, text), "lines")
+    named = materialize(templates(docs, lines, key, text, min_docs), "templates")
+    uses = materialize(lines.select("ka", "kb", "doc_id", "line").join(named, "line"), "template-uses")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), "ka", "kb")
     each = uses.groupBy("template", "ka", "kb").agg(F.min(order).alias("o"))
     recurring = each.groupBy("template").agg(F.count("*").alias("n"), F.min("o").alias("first")).where(F.col("n") >= min_docs)

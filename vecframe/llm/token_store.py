@@ -105,7 +105,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 lead = int(null.sum())
                 slots = PerfectHash.load(x["index"]).slots(keys[lead:])
                 first, count = np.frombuffer(x["first_row"], "<u4"), np.frombuffer(x["row_count"], "<u4")
-                nth = row[lead:] - np.searchsorted(keys[lead:], keys[lead:])  # which of the rows with this key
+                nth = row[lead:] - lead - np.searchsorted(keys[lead:], keys[lead:])  # which of the rows with this key
                 if (slots < 0).any() or (nth >= count[slots]).any():
                     raise ValueError("a shard's index doesn't match its keys")
                 row[lead:] = first[slots] + nth

@@ -70,6 +70,12 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda s: s["n"])
 
 
+def _places_of(n: int) -> Column:
+    """Where n words of w have a hash that is among fps<n>."""
+    found = F.filter(_span(0, F.col("n") - n), lambda i: F.array_contains(f"fps{n}", F.xxhash64(F.slice("w", i + 1, n))))
+    return F.transform(found, lambda i: F.struct(i.alias("a"), F.lit(n).alias("size")))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and ka, kb, the row's identity."""
     base = _keyed(docs, key, text)
@@ -102,9 +108,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     starts = F.transform(F.array_distinct(F.flatten(F.transform(hit, around))), lambda i: F.struct(i.alias("a"), F.lit(SPAN).alias("size")))
     places = F.when(F.col("fps").isNotNull(), starts).otherwise(F.array().cast("array<struct<a:int,size:int>>"))
     for n in lengths:
-        own = F.filter(_span(0, F.col("n") - n), lambda i, n=n: F.array_contains(f"fps{n}", F.xxhash64(F.slice("w", i + 1, n))))
-        own = F.transform(own, lambda i, n=n: F.struct(i.alias("a"), F.lit(n).alias("size")))
-        places = F.concat(places, F.when(F.col(f"fps{n}").isNotNull(), own).otherwise(F.array().cast("array<struct<a:int,size:int>>")))
+        places = F.concat(places, F.when(F.col(f"fps{n}").isNotNull(), _places_of(n)).otherwise(F.array().cast("array<struct<a:int,size:int>>")))
     near = near.select("ka", "kb", "w", places.alias("places"))
     texts = F.transform("places", lambda p: F.struct(p["a"].alias("a"), (p["a"] + p["size"]).alias("b"), F.array_join(F.slice("w", p["a"] + 1, p["size"]), " ").alias("window")))
     hits = near.select("ka", "kb", F.explode(texts).alias("x")).select("ka", "kb", "x.*").join(_small(windows), "window")
