@@ -179,3 +179,21 @@ def test_fusion_of_spaces(spark):
     assert got[0].id == 3 and got[0].score == pytest.approx(0.9) and got[0].distances == {"a": 0.1, "b": 0.1}
     only = fusion.fuse_spaces({"a": a, "b": b.limit(0)}, 3, {"a": 1.0, "b": 3.0}).first()
     assert only.id == 1 and only.score == pytest.approx(0.25)
+
+
+def test_factory_strings(spark):
+    kinds = {"Flat": "FlatIndex", "SQ8": "QuantizedFlatIndex", "HNSW16": "HnswIndex", "IVF4,Flat": "IvfIndex", "IVF4,PQ2x4": "IvfPqIndex"}
+    assert {f: type(indexes.from_factory(spark, 4, f)).__name__ for f in kinds} == kinds
+    assert indexes.from_factory(spark, 4, "IVF4,PQ2x4").options == {"n_lists": 4, "pq_m": 2, "pq_k_sub": 16}
+    for bad in ("LSH", "IVF4,PQ2x12", ""):
+        with pytest.raises(ValueError):
+            indexes.from_factory(spark, 4, bad)
+
+
+def test_sparse_index(spark):
+    index = indexes.SparseIndex(spark)
+    assert len(index) == 0 and index.search({1: 1.0}, 3) == []
+    index.upsert_batch([(1, {0: 1.0, 1: 0.5}), (2, {0: 0.2, 3: 0.8})])
+    index.upsert(1, {3: 0.5})
+    assert index.search({0: 1.0, 3: 1.0}, 5) == [{"id": 2, "score": pytest.approx(1.0)}, {"id": 1, "score": 0.5}]
+    assert 1 in index and index.get(1) == {3: 0.5} and index.delete(1) and not index.delete(1) and [i for i, _ in index] == [2]

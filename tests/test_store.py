@@ -225,3 +225,22 @@ def test_repeated_batch_is_recognised(spark, client):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<float>")
     assert c.upsert_frame(df, "b:1") and not c.upsert_frame(df, "b:1") and c.changes().count() == 1
     assert isinstance(errors.DuplicateId(1), KeyError)
+
+
+def test_embedder_of_a_collection(client):
+    c = client.create_collection("c", 4, "l2", "flat")
+    with pytest.raises(RuntimeError):
+        c.search_text("a", 1)
+    c.attach_embedder(Letters())
+    c.upsert_text(1, "banana", {"t": 1})
+    c.upsert_text(2, "ooo")
+    assert c.search_text("banana", 1) == [{"id": 1, "distance": 0.0, "payload": {"t": 1}}]
+    with pytest.raises(ValueError):
+        client.create_collection("d", 3).attach_embedder(Letters())
+
+
+def test_few_collections_stay_loaded(client):
+    client.loaded = 2
+    for name in "abc":
+        client.create_collection(name, 2)
+    assert list(client.open) == ["b", "c"] and client.get_collection("a").name == "a" and list(client.open) == ["c", "a"]

@@ -7,6 +7,7 @@ hnsw refuse known ids instead). What a type derives (codes, lists, graphs) is bu
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import errors
 from ..functions import metrics
-from . import cluster, hnsw, search
+from . import cluster, hnsw, keyword, search
 
 
 class FlatIndex:
@@ -257,3 +258,72 @@ class HnswIndex(FlatIndex):
 
 
 BY_KIND = {c.kind: c for c in (FlatIndex, MmapFlatIndex, QuantizedFlatIndex, Fp16FlatIndex, BinaryFlatIndex, IvfIndex, IvfPqIndex, HnswIndex)}
+
+
+def from_factory(spark: SparkSession, dimensions: int, factory: str, metric: str = "l2") -> FlatIndex:
+    """The index that a factory string names: Flat, SQ8, SQfp16, HNSW<m>, IVF<lists>,Flat or IVF<lists>,PQ<m>[x<bits>]."""
+    if factory in (plain := {"Flat": FlatIndex, "SQ8": QuantizedFlatIndex, "SQfp16": Fp16FlatIndex}):
+        return plain[factory](spark, dimensions, metric)
+    if found := re.fullmatch(r"HNSW(\d+)(,Flat)?", factory):
+        return HnswIndex(spark, dimensions, metric, m=int(found[1]))
+    if found := re.fullmatch(r"IVF(\d+),(Flat|PQ(\d+)(?:x(\d+))?)", factory):
+        lists = int(found[1])
+        if found[2] == "Flat":
+            return IvfIndex(spark, dimensions, metric, n_lists=lists)
+        bits = int(found[4] or 8)
+        if bits > 8:
+            raise errors.InvalidConfig("codes have 8 bits at most")
+        return IvfPqIndex(spark, dimensions, metric, n_lists=lists, pq_m=int(found[3]), pq_k_sub=1 << bits)
+    raise errors.InvalidConfig(f"unknown factory string {factory!r}")
+
+
+class SparseIndex:
+    """Sparse vectors by id, with dot-product search; an upsert replaces the id's vector."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._frames = spark, []
+
+    def _change(self, rows: list[tuple[int, dict | None]]) -> None:
+        changes = [(len(self._frames), n, i, None if v is None else {int(d): float(w) for d, w in v.items()}) for n, (i, v) in enumerate(rows)]
+        self._frames.append(self.spark.createDataFrame(changes, "seq long, n long, id long, vec map<bigint,double>"))
+
+    def upsert(self, id: int, vector: dict) -> None:
+        self._change([(id, vector)])
+
+    def upsert_batch(self, entries: Sequence[tuple[int, dict]]) -> None:
+        self._change(list(entries))
+
+    def rows(self) -> DataFrame:
+        """id, vec (a map) of the vectors that are there."""
+        if not self._frames:
+            return self.spark.createDataFrame([], "id long, vec map<bigint,double>")
+        every = self._frames[0]
+        for x in self._frames[1:]:
+            every = every.unionByName(x)
+        last = every.groupBy("id").agg(F.max_by(F.struct("vec"), F.struct("seq", "n")).alias("x"))
+        return last.select("id", F.col("x.vec").alias("vec")).where("vec is not null")
+
+    def postings(self) -> DataFrame:
+        return self.rows().select("id", F.explode("vec").alias("dim", "w"))
+
+    def get(self, id: int) -> dict | None:
+        found = self.rows().where(F.col("id") == id).first()
+        return None if found is None else dict(found.vec)
+
+    def __contains__(self, id: int) -> bool:
+        return self.get(id) is not None
+
+    def __len__(self) -> int:
+        return self.rows().count()
+
+    def __iter__(self) -> Iterator[tuple[int, dict]]:
+        return ((r.id, dict(r.vec)) for r in self.rows().toLocalIterator())
+
+    def delete(self, id: int) -> bool:
+        if id not in self:
+            return False
+        self._change([(id, None)])
+        return True
+
+    def search(self, query: dict, k: int) -> list[dict]:
+        return [{"id": r.id, "score": r.score} for r in keyword.sparse_top(self.postings(), query, k).collect()]

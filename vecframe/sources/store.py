@@ -84,6 +84,7 @@ class Collection:
         self.spark, self.path, self.files = spark, path, Files(spark, path)
         self.meta = json.loads(self.files.read(f"{path}/meta.json"))
         self._index: tuple[Any, Any] | None = None  # (manifest version, whatever the index type keeps)
+        self._embed: Any = None
 
     name = property(lambda self: self.meta["name"])
     dimensions = property(lambda self: self.meta["dimensions"])
@@ -161,6 +162,24 @@ class Collection:
     def delete_frame(self, ids: DataFrame, batch: str | None = None) -> bool:
         return self.append(ids.select(F.lit("delete").alias("op"), "id", F.lit(None).alias("vec"), F.lit(None).alias("payload"), F.lit(None).alias("sparse"), F.lit(0).alias("n")), batch)
 
+    def attach_embedder(self, embed: Any) -> None:
+        """A function from texts to vectors, for upsert_text and search_text; it isn't stored."""
+        known = getattr(embed, "dimensions", None)
+        if known is not None and known != self.dimensions:
+            raise errors.DimensionMismatch(f"the embedder has {known} dimensions, the collection {self.dimensions}")
+        self._embed = embed
+
+    def _embedded(self, text: str) -> Sequence[float]:
+        if self._embed is None:
+            raise errors.EmbedderMissing("no embedder is attached")
+        return self._embed([text])[0]
+
+    def upsert_text(self, id: int, text: str, payload: Any = None) -> None:
+        self.upsert(id, self._embedded(text), payload)
+
+    def search_text(self, text: str, k: int) -> list[dict]:
+        return self.search(self._embedded(text), k)
+
     # Reading.
 
     def changes(self) -> DataFrame:
@@ -343,7 +362,9 @@ def _result(row: Any, out: dict) -> dict:
 
 
 class Client:
-    """Collections under one folder."""
+    """Collections under one folder; at most ``loaded`` of them keep what they have built, those used last."""
+
+    loaded = 32
 
     def __init__(self, spark: SparkSession, path: str = "./data"):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
@@ -373,9 +394,11 @@ class Client:
     def get_collection(self, name: str) -> Collection:
         if not self.files.exists(f"{self.path}/{check_name(name)}/meta.json"):
             raise errors.CollectionNotFound(name)
-        if name not in self.open:
-            self.open[name] = Collection(self.spark, f"{self.path}/{name}")
-        return self.open[name]
+        found = self.open.pop(name, None) or Collection(self.spark, f"{self.path}/{name}")
+        self.open[name] = found  # the last used is the last
+        while len(self.open) > self.loaded:
+            self.open.pop(next(iter(self.open)))
+        return found
 
     def get_or_create_collection(self, name: str, dimensions: int, metric: str = "cosine", index_type: str = "hnsw", **options: Any) -> Collection:
         try:
