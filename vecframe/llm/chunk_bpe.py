@@ -13,7 +13,6 @@ Nothing is shuffled, so no key can make a task hot, and a lost executor only rep
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -22,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordcache import PLAIN, SYMBOLS, load
+from .common import RecentCache, slices, worker_cache
+from .wordcache import PLAIN, load, symbols
 
 WINDOW = 16
 #: One position in so many ends a chunk.
 MEAN = 256
-CHUNKS, WORDS = 60_000, 600_000
+CHUNKS, WORDS = 12_000, 400_000
 _GEAR = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -45,96 +45,71 @@ def cut_points(data: bytes, mean: int = MEAN, window: int = WINDOW) -> list[int]
 
 
 class ChunkEncoder:
-    """Encodes UTF-8 texts to (ids as little-endian uint32, decoded UTF-8)."""
+    """Encodes UTF-8 texts to ids (little-endian uint32) and decodes those."""
 
     def __init__(self, path: str, chunks: int = CHUNKS, words: int = WORDS):
         self.tokenizer = load(path)
-        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limits = chunks, words
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.units: dict[str, tuple[bytes, bytes]] = {}
-        self.hits = self.misses = 0
-
-    def whole(self, data: bytes) -> tuple[bytes, bytes]:
-        ids = self.tokenizer.encode(data.decode(), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False).encode()
-
-    def word(self, data: bytes) -> tuple[bytes, bytes]:
-        out = self.words.get(data)
-        if out is None:
-            if len(self.words) >= self.limits[1]:
-                self.words.clear()
-            self.words[data] = out = self.plain(data)
-        return out
-
-    def plain(self, data: bytes) -> tuple[bytes, bytes]:
+        added = {k: v.content for k, v in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = [x.encode() for x in added.values()]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.interiors = RecentCache(self.interior, chunks)
+        self.words = RecentCache(self.word, words)
+        self.units = RecentCache(self.unit, words)
+        # Without a decoder the library joins the tokens themselves by spaces.
+        known = {i: t for t, i in self.tokenizer.get_vocab().items()}
+        self.table = None if self.tokenizer.decoder else [known.get(i, "").encode() for i in range(max(known) + 1)]
+        self.misses = 0
+
+    def whole(self, data: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, data: bytes) -> bytes:
         """A word: its letters and its punctuation are units of the vocabulary's splitting; others go through the library."""
         found = PLAIN.fullmatch(data.decode())
-        if not found:
-            return self.whole(data)
-        parts = [self.unit(x) for x in found.groups() if x]
-        return b"".join([x for x, _ in parts]), b" ".join([y for _, y in parts])
-
-    def unit(self, text: str) -> tuple[bytes, bytes]:
-        out = self.units.get(text)
-        if out is None:
-            if len(self.units) >= self.limits[1]:
-                self.units.clear()
-            tokens = self.tokenizer.model.tokenize(text.lower().encode().decode("latin-1").translate(SYMBOLS))
-            self.units[text] = out = np.array([x.id for x in tokens], "<u4").tobytes(), " ".join([x.value for x in tokens]).encode()
-        return out
-
-    def interior(self, data: bytes) -> tuple[bytes, bytes]:
+        return b"".join([self.units[x] for x in found.groups() if x]) if found else self.whole(data)
+
+    def unit(self, text: str) -> bytes:
+        return np.array([x.id for x in self.tokenize(symbols(text.lower()))], "<u4").tobytes()
+
+    def interior(self, data: bytes) -> bytes:
         """Of the words between a chunk's first and last space."""
-        out = self.chunks.get(data)
-        if out is None:
-            self.misses += 1
-            found = [self.word(x) for x in data.split(b" ")]
-            out = b"".join([x for x, _ in found]), b" ".join([y for _, y in found if y])
-            if len(self.chunks) >= self.limits[0]:
-                self.chunks.clear()
-            self.chunks[data] = out
-        else:
-            self.hits += 1
-        return out
+        self.misses += 1
+        return b"".join(map(self.words.__getitem__, data.split(b" ")))
 
-    def __call__(self, data: bytes) -> tuple[bytes, bytes]:
+    def encode(self, data: bytes) -> bytes:
         if any(x in data for x in self.special):
             return self.whole(data)
-        ids, decoded, joint, a = [], [], b"", 0
+        ids, joint, a = [], b"", 0
         for b in cut_points(data):
             first, last = data.find(b" ", a, b), data.rfind(b" ", a, b)
             if first < 0:
                 joint += data[a:b]
             else:
-                parts = [self.word(joint + data[a:first])]
+                ids.append(self.words[joint + data[a:first]])
                 if last > first:
-                    parts.append(self.interior(data[first + 1 : last]))
-                for x, y in parts:
-                    if x:
-                        ids.append(x)
-                        decoded.append(y)
+                    ids.append(self.interiors[data[first + 1 : last]])
                 joint = data[last + 1 : b]
             a = b
-        x, y = self.word(joint)
-        if x:
-            ids.append(x)
-            decoded.append(y)
-        return b"".join(ids), b" ".join(decoded)
+        ids.append(self.words[joint])
+        return b"".join(ids)
 
+    def decode(self, ids: bytes) -> bytes:
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        if self.table is None:
+            return self.tokenizer.decode(numbers, skip_special_tokens=False).encode()
+        return b" ".join(map(self.table.__getitem__, numbers))
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    def __call__(self, data: bytes) -> tuple[bytes, bytes]:
+        ids = self.encode(data)
+        return ids, self.decode(ids)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", payloads: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text; with payloads also ids (binary) and decoded."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
-        for batch in batches:
+        code = worker_cache(("chunk-bpe", tokenizer), lambda: ChunkEncoder(tokenizer))
+        for batch in slices(batches):
             found = [code(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = [
                 batch.column(0), pa.array([len(x) // 4 for x, _ in found], pa.int64()),

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +48,52 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
     path = scratch(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what Python holds of their texts at once is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+_HELD: dict = {}
+
+
+def worker_cache(name: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: the caches of one operator at a time, so that their sizes don't add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+class RecentCache(dict):
+    """value = cache[key], made on a miss; beyond ``limit`` entries those not used since the last turn are dropped."""
+
+    def __init__(self, make: Callable[[Any], Any], limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit // 2, {}
+
+    def __missing__(self, key: Any) -> Any:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
 
 
 def binary_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

@@ -28,22 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_keys
+from .common import materialize, row_keys, slices
 
 DEPTH, SIMILAR, MIN_DOCS, LEAF_MAX = 3, 0.7, 3, 5_000
 DIGIT = re.compile(r"\d")
 WILD = 0
 
 
-class TokenHashes(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        self[token] = out = 1 if DIGIT.search(token) else max(2, zlib.crc32(token.encode()))
-        return out
-
-
-HASHES = TokenHashes()
+def token_hash(token: str) -> int:
+    return 1 if DIGIT.search(token) else max(2, zlib.crc32(token.encode()))
 
 
 def masked(line: str) -> str:
@@ -62,7 +55,7 @@ def leaf_hash(norm: list[str]) -> int:
 def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (ka, kb, doc_id, text): a row for each distinct masked line of a document."""
     digest = xxhash.xxh64_intdigest
-    for batch in batches:
+    for batch in slices(batches):
         at, leaf, line = [], [], []
         for i, text in enumerate(batch.column(3).to_pylist()):
             if not text:
@@ -86,14 +79,14 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (text, wanted): leaf, line, docs and token hashes of the lines wanted; leaves that are full get three more tokens."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             left = {w["line"]: w for w in wanted}
             for raw in (text or "").split("\n"):
                 w = left.pop(line_hash(raw), None) if left and raw.strip() else None
                 if w:
-                    x = np.fromiter(map(HASHES.__getitem__, raw.split()), np.uint32).astype("<u4").tobytes()
+                    x = np.fromiter(map(token_hash, raw.split()), np.uint32).astype("<u4").tobytes()
                     leaf = w["leaf"] if not w["full"] else xxhash.xxh64_intdigest(x[: 8 * DEPTH], len(x)) - (1 << 63)
                     rows.append((leaf, w["line"], w["docs"], x))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -170,7 +163,7 @@ def templates(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str
 
 def _drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (text, gone, ...): the text without the lines that are gone, and counts."""
-    for batch in batches:
+    for batch in slices(batches):
         texts, n_lines, n_dropped = [], [], []
         for text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lines = text.split("\n") if text is not None else []

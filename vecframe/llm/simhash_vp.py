@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, materialize
+from .common import binary_texts, materialize, slices
 
 RADIUS = 4
 LEAF = 48
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     keep = keep or []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(x, size) for x in binary_texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keep])
 

@@ -16,7 +16,6 @@ id is the end id); an empty table makes an empty dataset; other columns are igno
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices, worker_cache
 from .mph import PerfectHash
 from .wordcache import ByteLevelEncoder
 
@@ -33,11 +33,6 @@ SHARD = "part int, seq int, part_start long, n_rows long, n_tokens long, width i
 SHARD_BYTES = 4 << 20
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str, dtype: str) -> ByteLevelEncoder:
-    return ByteLevelEncoder(path, dtype)
-
-
 def _shard(part: int, seq: int, part_start: int, width: int, keys: list, ids: list[bytes]) -> dict:
     null = np.array([k is None for k in keys], np.uint8)
     values = np.array([0 if k is None else k for k in keys], "<i8")
@@ -64,8 +59,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "d
     dtype, end = f"<u{width}", int(end_id).to_bytes(width, "little")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, seq, start, size, keys, ids = encoder(tokenizer, dtype), TaskContext.get().partitionId(), 0, 0, 0, [], []
-        for batch in batches:
+        code = worker_cache(("token-store", tokenizer, dtype), lambda: ByteLevelEncoder(tokenizer, dtype))
+        part, seq, start, size, keys, ids = TaskContext.get().partitionId(), 0, 0, 0, [], []
+        for batch in slices(batches):
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(code(t or "") + end)
                 keys.append(k)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import materialize
+from .common import RecentCache, materialize, slices, worker_cache
 
 ROWS = 12_000
 BUCKETS = 1 << 18
@@ -33,20 +33,12 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«
 BREAK = "\x00"
 
 
-class WordNumbers(dict):
-    """token -> the numbers of its word and of its first PREFIX letters (19 bits each), and whether it ends a sentence."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        word = token.strip(EDGE).lower() if token != BREAK else ""
-        tail = token[len(token.rstrip(EDGE)) :]
-        numbers = [zlib.crc32(x.encode()) % BUCKETS + 1 for x in (word, *(word[:n] + "-" for n in PREFIX if len(word) > n)) if x]
-        self[token] = out = sum(x << 19 * i for i, x in enumerate(numbers)) | (token == BREAK or any(x in tail for x in ".!?…")) << 57
-        return out
-
-
-NUMBERS = WordNumbers()
+def numbers(token: str) -> int:
+    """The numbers of a token's word and of its first PREFIX letters (19 bits each), and whether it ends a sentence."""
+    word = token.strip(EDGE).lower() if token != BREAK else ""
+    tail = token[len(token.rstrip(EDGE)) :]
+    found = [zlib.crc32(x.encode()) % BUCKETS + 1 for x in (word, *(word[:n] + "-" for n in PREFIX if len(word) > n)) if x]
+    return sum(x << 19 * i for i, x in enumerate(found)) | (token == BREAK or any(x in tail for x in ".!?…")) << 57
 
 
 def tokens(text: str) -> list[str]:
@@ -55,7 +47,8 @@ def tokens(text: str) -> list[str]:
 
 def bag(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers, three for each token (0 for none), and where each sentence starts among them."""
-    x = np.fromiter(map(NUMBERS.__getitem__, found), np.int64, len(found))
+    cache = worker_cache("toxicity", lambda: RecentCache(numbers, 300_000))
+    x = np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
     if not len(x):
         return x.astype(np.int32), x
     starts = np.flatnonzero(x >> 57) + 1
@@ -158,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [bag(tokens(x or "")) for x in batch.column(2).to_pylist()]
             words, starts = (pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, starts], ["doc_id", "label", "words", "starts"])
@@ -199,7 +192,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     keep = keep or []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores, counts, worst, offending = [], [], [], []
             for text_ in batch.column(1).to_pylist():
                 found = tokens(text_ or "")

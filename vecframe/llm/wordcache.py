@@ -7,10 +7,13 @@ non-space character is always such a split; so a text's ids are its pieces' ids
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import RecentCache
+
 #: A space with white space on either side may belong to a longer run.
 IRREGULAR = re.compile(r"\s |[ ]\s")
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -30,18 +33,11 @@ def byte_symbols() -> dict[int, str]:
 SYMBOLS = byte_symbols()
 
 
-class PieceCache(dict):
-    """piece -> little-endian ids, filled by the library on a miss; cleared when it reaches its limit."""
-
-    def __init__(self, encode, limit: int):
-        super().__init__()
-        self.encode, self.limit = encode, limit
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[piece] = out = self.encode(piece)
-        return out
+def symbols(text: str) -> str:
+    """The text as the vocabulary writes it; of ASCII units only a leading space changes."""
+    if text.isascii() and text.isprintable():
+        return SYMBOLS[32] + text[1:] if text[0] == " " else text
+    return text.encode().decode("latin-1").translate(SYMBOLS)
 
 
 def load(path: str) -> Tokenizer:
@@ -54,30 +50,36 @@ def load(path: str) -> Tokenizer:
 class ByteLevelEncoder:
     """Ids of whole texts as bytes of the given dtype, equal to those of ``encode(text, add_special_tokens=False)``.
 
-    Texts that hold the string of an added token go through the library whole. The cache is bounded by
-    ``limit`` pieces; what it forgets is encoded again.
+    Texts that hold the string of an added token go through the library whole. The caches are bounded by
+    ``limit`` entries; what they forget is encoded again.
     """
 
     def __init__(self, path: str, dtype: str = "<u4", limit: int = 600_000):
         self.tokenizer, self.dtype = load(path), dtype
+        self.tokenize, self.code = self.tokenizer.model.tokenize, {"<u2": "H", "<u4": "I"}[dtype]
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.units = PieceCache(self.unit, limit)
-        self.first = PieceCache(lambda piece: self.piece(piece, ""), 50_000)
-        self.later = PieceCache(lambda piece: self.piece(piece, " "), limit)
+        self.units = RecentCache(self.unit, limit)
+        self.first = RecentCache(lambda piece: self.piece(piece, ""), 50_000)
+        self.later = RecentCache(lambda piece: self.piece(piece, " "), 2 * limit)
 
     def unit(self, text: str) -> bytes:
         """Ids of what the splitting leaves whole, by the library's model alone."""
-        symbols = text.encode().decode("latin-1").translate(SYMBOLS)
-        return np.array([x.id for x in self.tokenizer.model.tokenize(symbols)], self.dtype).tobytes()
+        return array(self.code, [x.id for x in self.tokenize(symbols(text))]).tobytes()
 
     def piece(self, text: str, space: str) -> bytes:
-        found = PLAIN.fullmatch(text)
-        if not found:
-            return self.whole(space + text)
-        letters, marks = found.groups()
-        if letters and marks:
-            return self.units[space + letters] + self.units[marks]
-        return self.units[space + text] if text or space else b""
+        """Ids of a piece with the space ahead of it: by its lines' letters and marks, if there is nothing else."""
+        out, units = [], self.units
+        for n, line in enumerate(text.split("\n")):
+            found = PLAIN.fullmatch(line)
+            if not found or (n and not line):
+                return self.whole(space + text)
+            letters, marks = found.groups()
+            if n:
+                out.append(units["\n"])
+            elif letters or marks or space:
+                letters, marks = (space + letters, marks) if letters or not marks else (space + marks, "")
+            out += [units[x] for x in (letters, marks) if x]
+        return b"".join(out)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
