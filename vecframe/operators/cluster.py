@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig
 from ..functions import metrics
-from .search import _rank, block_distances, knn, matrix
+from .search import _per_query, _rank, block_distances, knn, matrix
 
 LISTS, PROBES, PASSES = 256, 16, 10
 SUBSPACES, CODES, PQ_PASSES = 8, 256, 25
@@ -92,6 +92,31 @@ def ivf_search(lists: DataFrame, centroids: np.ndarray, query: Sequence[float],
     return knn(lists.where(F.col("list_id").isin(probed_lists(centroids, query, probes, metric))), query, k, metric)
 
 
+def ivf_search_batch(lists: DataFrame, centroids: np.ndarray, queries: Sequence[tuple[int, Sequence[float]]], k: int, probes: int = PROBES, metric: str = "l2") -> DataFrame:
+    """qid, id, distance, rank for a block of (qid, query): each list's rows meet the queries that probe it."""
+    names, q = np.array([x[0] for x in queries], np.int64), np.array([x[1] for x in queries], np.float64)
+    metrics.check_dimensions(q[0], centroids.shape[1])
+    near = np.argsort(block_distances(metric, centroids, q), axis=1, kind="stable")[:, : max(0, probes)]
+    askers = {c: np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near).tolist()}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, which, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), q.shape[1])
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for c in np.unique(which).tolist():
+                rows, who = np.flatnonzero(which == c), askers.get(c)
+                if who is None:
+                    continue
+                d = block_distances(metric, x[rows], q[who])
+                order = np.lexsort((np.broadcast_to(ids[rows], d.shape), d), axis=1)[:, :k]
+                out.append((np.repeat(names[who], order.shape[1]), ids[rows][order].ravel(), np.take_along_axis(d, order, 1).ravel()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["qid", "id", "d"])
+
+    probed = lists.where(F.col("list_id").isin(list(askers)))
+    return _per_query(probed.select(F.col("id").cast("long"), "list_id", "vec").mapInArrow(run, "qid long, id long, d double"), metric, k)
+
+
 def write_lists(lists: DataFrame, path: str) -> None:
     """One folder for each list, so that a search reads the probed ones only."""
     lists.repartition("list_id").sortWithinPartitions("list_id").write.partitionBy("list_id").parquet(path)

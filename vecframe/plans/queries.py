@@ -361,6 +361,15 @@ for _name, _n in (("nprobe1", 1), ("nprobe4", 4), ("all", SEEDS)):
     _ivf(_name, _n)
 
 
+@query("ivf_knn_batch", f"""with {E}, {C}, {NEAREST}, p as (select id as qid, q, cid from (select b.id, b.v as q, cid, row_number() over (partition by b.id order by list_distance(c, b.v), cid) as n from e b, c where b.id < {BATCH}) where n <= 4),
+    s as (select qid, a.id, list_distance(a.v, q) as d from a join p on a.cid = p.cid), r as (select *, row_number() over (partition by qid order by d, id) as n from s)
+    select qid, id, round(d, 6) as distance, cast(n as integer) as "rank" from r where n <= {K}""")
+def ivf_knn_batch(spark, sf_dir):
+    centroids = fixed(spark, sf_dir)
+    asked_ = [(i, v.tolist()) for i, v in enumerate(fixed(spark, sf_dir, 0, BATCH))]
+    return rounded(cluster.ivf_search_batch(cluster.assign(vectors(spark, sf_dir), centroids), centroids, asked_, K, 4), "distance")
+
+
 @query("ivf_knn_partitioned", ORACLE_SQL["ivf_knn_nprobe4"])
 def ivf_knn_partitioned(spark, sf_dir):
     """The same from lists written by list_id, of which four folders are read."""
@@ -537,8 +546,7 @@ def _fusion(name: str, wd: float, ws: float, label: int | None = None) -> None:
     @query(name, fusion_sql(wd, ws, "true" if label is None else f"label <= {label}"))
     def run(spark, sf_dir):
         rows = joined(spark, sf_dir)
-        words = keyword.query_weights(keyword.term_frequencies(rows), asked(spark, sf_dir))
-        postings = keyword.bm25_weights(rows).select("id", F.col("term").alias("dim"), "w")
+        postings, words = keyword.query_postings(rows, asked(spark, sf_dir))
         where = None if label is None else F.col("label") <= label
         out = fusion.hybrid(rows, postings, first(spark, sf_dir), words, K, "cosine", wd, ws, where)
         return rounded(out.withColumnRenamed("score", "fused"), "fused", "dense_distance", "sparse_score")

@@ -56,14 +56,12 @@ class TextCollection:
         words: dict = {}
         if mode != "semantic" and self.bm25:
             texts = self._texts()
-            tf = keyword.term_frequencies(texts)
-            words = keyword.query_weights(tf, text)
+            postings, words = keyword.query_postings(texts, text)
         if mode == "keyword" and not words:
             return []
         query = self.embedding([text])[0]
         if not words:
             return [self._result(r) for r in self.collection.search(query, k, filter)]
-        postings = keyword.bm25_weights(texts).select("id", F.col("term").alias("dim"), "w")
         weights = (0.0, 1.0) if mode == "keyword" else (dense_weight, sparse_weight)
         where = self.collection._where(filter)
         found = fusion.hybrid(texts, postings, query, words, k, self.collection.metric, *weights, where)
