@@ -28,6 +28,8 @@ from .common import binary_texts
 
 ROWS = 10_000
 BLOCK, DICTIONARY, LEVEL = 1024, 65_536, 3
+#: Bytes added to a text's size where it divides, so that a few bytes' chance doesn't decide on short texts.
+SHORT = 100
 MODULUS, REMAINDER = 4, 2
 THRESHOLD = 0.7
 
@@ -68,7 +70,7 @@ class Model:
         if not data:
             return features(0.0, 0.0, 0)
         good, bad = self.sizes(data)
-        return features((bad - good) / len(data), good / len(data), len(data))
+        return features((bad - good) / (len(data) + SHORT), good / (len(data) + SHORT), len(data))
 
     def score(self, x: np.ndarray) -> float:
         return self.constant if self.constant is not None else float(1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30))))
