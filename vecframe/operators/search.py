@@ -93,6 +93,9 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id:
         return df.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
     dims, parts, held = len(first.q), [], []
     step = max(1, BLOCK_VALUES // max(1, dims))
+    block = found.limit(step + 1).toArrow()
+    if block.num_rows <= step:  # all of them
+        return _per_query(_block(df, block.column("qid").to_numpy().astype(np.int64), matrix(block.column("q"), dims), k, metric, id, vec), metric, k)
 
     def flush() -> None:
         if held:
@@ -112,6 +115,19 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id:
     return _per_query(out, metric, k)
 
 
+def nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k least values of each row, in any order; of equal ones those with the least ids, NaN last."""
+    if d.shape[1] <= k:
+        return np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    d = np.where(np.isnan(d), np.inf, d)
+    out = np.argpartition(d, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(d, out, 1).max(axis=1)
+    tied = np.flatnonzero((d <= last[:, None]).sum(axis=1) > k)
+    if len(tied):
+        out[tied] = np.lexsort((np.broadcast_to(ids, (len(tied), d.shape[1])), d[tied]), axis=1)[:, :k]
+    return out
+
+
 def _block(df: DataFrame, names: np.ndarray, q: np.ndarray, k: int, metric: str, id: str, vec: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
@@ -120,8 +136,9 @@ def _block(df: DataFrame, names: np.ndarray, q: np.ndarray, k: int, metric: str,
                 continue
             own = batch.column(0).to_numpy()
             d = block_distances(metric, matrix(batch.column(1), q.shape[1]), q)
-            ids = np.concatenate([ids, np.broadcast_to(own, d.shape)], axis=1)
-            best = np.concatenate([best, d], axis=1)
+            order = nearest(d, own, k)
+            ids = np.concatenate([ids, own[order]], axis=1)
+            best = np.concatenate([best, np.take_along_axis(d, order, 1)], axis=1)
             order = np.lexsort((ids, np.where(np.isnan(best), np.inf, best)), axis=1)[:, :k]
             ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
         n = ids.shape[1]
