@@ -5,7 +5,8 @@ strings are judged on the input. All distinct strings that can be equal meet in
 
 1. Each window of SPAN bytes has a minimiser, the leftmost k-gram of least hash in it. Neighbouring windows with the
    same minimiser form a stretch; equal windows lie in stretches of equal minimiser. Stretches (about one in 85
-   bytes) move as hashes only, and those whose minimiser occurs once are dropped.
+   bytes) move as hashes only, and those whose minimiser occurs once are dropped, by counts aggregated before the
+   shuffle and a join that can split hot keys.
 2. Equal stretches that occur twice repeat as a whole. Of stretches that share a minimiser but differ, one text each
    goes to the minimiser's shard, however often it occurs.
 3. A shard of such texts is sorted by induced sorting (suffix.py). Equal windows are neighbours in suffix order, and
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, materialize, row_keys
+from .common import binary_texts, discard, materialize, row_keys
 from .suffix import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 32
@@ -89,25 +90,6 @@ def _emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by mini, those whose mini another row has."""
-    held: pa.RecordBatch | None = None  # the last row so far, not yet judged
-    before = None  # the mini of the row ahead of it
-    for batch in batches:
-        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        mini = rows.column("mini").to_numpy()
-        twice = np.zeros(len(mini), bool)
-        twice[1:] = mini[1:] == mini[:-1]
-        twice[:-1] |= twice[1:].copy()
-        twice[0] |= before is not None and before == mini[0]
-        out = rows.slice(0, len(mini) - 1).filter(pa.array(twice[:-1]))
-        if out.num_rows:
-            yield out
-        held, before = rows.slice(len(mini) - 1), (mini[-2] if len(mini) > 1 else before)
-    if held is not None and before is not None and before == held.column("mini")[0].as_py():
-        yield held
-
-
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (doc_id, text, wanted): the text of each stretch that is wanted."""
     for batch in batches:
@@ -221,8 +203,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (the bytes left)."""
     base = docs.select(*row_keys(key, text), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shape = "ka long, kb long, start int, n int, mini long, digest long"
-    found = base.select("ka", "kb", "text").mapInArrow(_emit, shape)
-    shared = materialize(found.repartition("mini").sortWithinPartitions("mini").mapInArrow(_shared, shape), "stretches")
+    found = materialize(base.select("ka", "kb", "text").mapInArrow(_emit, shape), "all-stretches")
+    minis = materialize(found.groupBy("mini").agg(F.count("*").alias("times")).where("times > 1").select("mini"), "shared-minimisers")
+    shared = materialize(found.join(minis, "mini").select(*found.columns), "stretches")  # a hot minimiser's rows split over tasks
+    discard(found)
     place = F.min(F.struct("ka", "kb", "start", "n")).alias("place")
     distinct = shared.groupBy("mini", "digest").agg(F.count("*").alias("times"), place)
     mixed = distinct.groupBy("mini").agg((F.count("*") > 1).alias("mixed"))
