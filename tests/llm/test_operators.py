@@ -154,6 +154,31 @@ def test_line_dedup_with_split_leaves(spark):
     assert len(found) == 30 and len({r.template for r in found}) == 1
 
 
+def test_line_dedup_of_a_large_leaf(spark):
+    """5,400 lines of one leaf, with one template that varies in its fourth token and many that don't recur."""
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: "".join(letters[i // 20**j % 20] for j in range(4))
+    rows = [(i, f"a b c {word(i)} e f g h\na b c {word(3 * i)} {word(5 * i)} {word(7 * i)} g h") for i in range(2700)]
+    rows += [(3000 + i, f"a b c {word(i)} {word(i + 1)} {word(i % 50)} g h") for i in range(100)]
+    want = log_templates.brute_force(rows)
+    got = log_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same([(r.doc_id, r.text) for r in got], zip([d for d, _ in rows], want, strict=True))
+    assert sum("e f g h" in r.text for r in got) == 1 and len({h for _, t in rows for h in t.split("\n")}) > 5000
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 8, 9, 13, 40])
+def test_leaf_by_blocks(monkeypatch, size):
+    r = random.Random(size)
+    base = [[r.randrange(2, 9) for _ in range(size)] for _ in range(60)]
+    made = [[x if r.random() < 0.75 else r.randrange(2, 9) for x in r.choice(base)] for _ in range(1500)]
+    tokens = [np.array(x, "<u4").tobytes() for x in made]
+    found = []
+    for scanned in (0, 10, 10_000):
+        monkeypatch.setattr(log_templates, "SCANNED", scanned)
+        found.append(log_templates.parse_leaf(list(range(1500)), tokens))
+    assert found[0] == found[1] == found[2]
+
+
 @pytest.mark.parametrize("limit", [1 << 40, 9000, 300, 1])
 def test_sharding(docs, none, limit):
     out = extendible.assign_shards(docs, limit, keep=["source"]).collect()

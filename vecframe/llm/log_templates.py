@@ -7,9 +7,9 @@ variable; else they start a template. A template that occurs in ``min_docs`` doc
 from every document but the first (least doc_id, nulls last), so that no content vanishes altogether.
 
 Lines are counted by distinct masked line, as hashes, before any text moves; only leaves with several lines are
-parsed, from one copy of each line; a leaf with more than ``LEAF_MAX`` distinct lines is split by its next three
-tokens. Tokens move as 32-bit hashes. Which lines go is decided by joins on
-hashes of lines, and only documents' own lists of them are brought to their texts.
+parsed, from one copy of each line; a leaf of any size is parsed whole, so that its size changes no result. Tokens
+move as 32-bit hashes. Which lines go is decided by joins on hashes of lines, and only documents' own lists of them
+are brought to their texts.
 
 Blank lines stay, wherever they are; null texts stay null and have no lines; a document may become empty. Rows equal
 in doc_id and text count as one document. An empty table gives no rows; all other columns are kept.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_keys, slices
 
-DEPTH, SIMILAR, MIN_DOCS, LEAF_MAX = 3, 0.7, 3, 5_000
+DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 3
+#: Templates of a leaf that are compared one by one; beyond, those that share a block of tokens.
+SCANNED = 100
 DIGIT = re.compile(r"\d")
 WILD = 0
 
@@ -93,46 +96,99 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["leaf", "line", "docs", "tokens"])
 
 
+class Leaf:
+    """The templates of one leaf, from lines in their order of arrival.
+
+    A line that joins a template differs from it in at most ``spare`` positions, so it agrees with it on one of
+    spare + 1 blocks of positions. Beyond ``SCANNED`` templates only those that share a block are compared, which are
+    all that can be joined; a position that became variable equals no token, so blocks stay as they were entered.
+    """
+
+    def __init__(self, size: int, similar: float = SIMILAR):
+        self.size, self.similar = size, similar
+        spare = size - next(m for m in range(size + 1) if m / size >= similar)
+        low = DEPTH if size - DEPTH > spare else 0
+        edges = [4 * (low + (size - low) * i // (spare + 1)) for i in range(spare + 2)]
+        self.blocks = list(zip(edges, edges[1:], strict=False))
+        self.sharing: list[dict[bytes, list[int]]] | None = None
+        self.rows, self.names = np.empty((4, size), "<u4"), []
+
+    def _enter(self, i: int, x: bytes) -> None:
+        for (a, b), found in zip(self.blocks, self.sharing, strict=True):
+            found.setdefault(x[a:b], []).append(i)
+
+    def _best(self, row: np.ndarray, x: bytes) -> tuple[int, float]:
+        """The template that equals the row in the largest share of positions (the first of equals), and the share."""
+        n = len(self.names)
+        if n <= SCANNED:
+            share = (self.rows[:n] == row).mean(axis=1)
+            best = int(share.argmax())
+            return best, share[best]
+        if self.sharing is None:
+            self.sharing = [{} for _ in self.blocks]
+            for i in range(n):
+                self._enter(i, self.rows[i].tobytes())
+        near = {i for (a, b), found in zip(self.blocks, self.sharing, strict=True) for i in found.get(x[a:b], ())}
+        if not near:
+            return -1, -1.0
+        at = np.sort(np.fromiter(near, np.int64, len(near)))
+        share = (self.rows[at] == row).mean(axis=1)
+        best = int(share.argmax())
+        return int(at[best]), share[best]
+
+    def add(self, line: int, x: bytes) -> int:
+        """The number of the line's template; names has the hash of its first line."""
+        row = np.frombuffer(x, "<u4")
+        if self.names:
+            best, share = self._best(row, x)
+            if share >= self.similar:
+                found = self.rows[best]
+                found[found != row] = WILD
+                return best
+        i = len(self.names)
+        if i == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[i] = row
+        self.names.append(line)
+        if self.sharing is not None:
+            self._enter(i, x)
+        return i
+
+
 def parse_leaf(lines: list[int], tokens: list[bytes], similar: float = SIMILAR) -> list[int]:
     """The template (the hash of its first line) of each line of one leaf, lines in their order of arrival."""
-    if len(lines) == 1:
-        return lines
-    rows = np.array([np.frombuffer(x, "<u4") for x in tokens])
-    templates, names, out = np.empty_like(rows), [], []
-    for i, row in enumerate(rows):
-        if names:
-            share = (templates[: len(names)] == row).mean(axis=1)
-            best = int(share.argmax())
-            if share[best] >= similar:
-                templates[best][templates[best] != row] = WILD
-                out.append(names[best])
-                continue
-        templates[len(names)] = row
-        names.append(lines[i])
-        out.append(lines[i])
-    return out
+    leaf = Leaf(len(tokens[0]) // 4, similar)
+    found = [leaf.add(line, x) for line, x in zip(lines, tokens, strict=True)]
+    return [leaf.names[i] for i in found]
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (leaf, line, docs, tokens) sorted by leaf and arrival: line and template where the template may recur."""
-    held: list = []
+    """From (leaf, line, docs, tokens) sorted by leaf and arrival: line and template where the template may recur.
+
+    Of a leaf, its templates and two numbers a line are held, whatever its size.
+    """
+    name, leaf = None, None
+    lines, found, total = array("q"), array("q"), array("q")
 
     def close() -> Iterator[pa.RecordBatch]:
-        if held:
-            found = parse_leaf([x["line"] for x in held], [x["tokens"] for x in held])
-            total: dict[int, int] = {}
-            for x, name in zip(held, found, strict=True):
-                total[name] = total.get(name, 0) + x["docs"]
-            kept = [(x["line"], name) for x, name in zip(held, found, strict=True) if total[name] >= 2]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["line", "template"])
+        if leaf is not None:
+            of, names = np.array(found), np.array(leaf.names)
+            kept = np.array(total)[of] >= 2
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(lines)[kept]), pa.array(names[of[kept]])], ["line", "template"])
 
     for batch in batches:
-        for x in batch.to_pylist():
-            if held and held[-1]["leaf"] != x["leaf"]:
+        for at, line, docs, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if leaf is None or name != at:
                 yield from close()
-                held = []
-            held.append(x)
+                name, leaf = at, Leaf(len(x) // 4)
+                lines, found, total = array("q"), array("q"), array("q")
+            i = leaf.add(line, x)
+            lines.append(line)
+            found.append(i)
+            if i == len(total):
+                total.append(0)
+            total[i] += docs
     yield from close()
 
 
@@ -144,15 +200,16 @@ def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(*row_keys(key, text), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_lines, LINES)
 
 
-def templates(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, leaf_max: int = LEAF_MAX) -> DataFrame:
+def templates(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, leaf_max: int | None = None) -> DataFrame:
     """line, template: hashes of masked lines and of the templates that they belong to, where those may recur.
 
-    A line alone in its leaf is its own template. The others' tokens are read from one document each.
+    A line alone in its leaf is its own template. The others' tokens are read from one document each. With leaf_max,
+    leaves of more distinct lines are split by their next three tokens, which loses templates that vary there.
     """
     distinct = lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("ka", "kb")).alias("place"))
     distinct = materialize(distinct, "distinct-lines")
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("d")).where((F.col("n") > 1) & (F.col("d") >= min_docs))
-    leaves = materialize(leaves.select("leaf", (F.col("n") > leaf_max).alias("full")), "mixed-leaves")
+    leaves = materialize(leaves.select("leaf", (F.lit(False) if leaf_max is None else F.col("n") > leaf_max).alias("full")), "mixed-leaves")
     alone = distinct.where(F.col("docs") >= min_docs).join(leaves, "leaf", "left_anti").select("line", F.col("line").alias("template"))
     wanted = distinct.join(leaves, "leaf").groupBy("place").agg(F.collect_list(F.struct("leaf", "line", "docs", "full")).alias("wanted"))
     texts = docs.select(*row_keys(key, text), F.col(text).alias("text")).join(wanted.select("place.*", "wanted"), ["ka", "kb"])
