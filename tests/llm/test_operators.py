@@ -154,6 +154,14 @@ def test_line_dedup_with_split_leaves(spark):
     assert len(found) == 30 and len({r.template for r in found}) == 1
 
 
+def test_line_dedup_of_two_documents(spark):
+    """A passage of over 50 words in exactly two documents goes from the second, by the default threshold."""
+    r = random.Random(6)
+    rows = [(i, f"{prose(60, r)}\n{PASSAGE}" if i in (3, 7) else prose(60, r)) for i in range(10)]
+    got = {x.doc_id: x.text for x in log_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(PASSAGE.split()) > 50 and got == dict(rows) | {7: rows[7][1].split("\n")[0]}
+
+
 def test_line_dedup_of_a_large_leaf(spark):
     """5,400 lines of one leaf, with one template that varies in its fourth token and many that don't recur."""
     letters = "abcdefghijklmnopqrst"

@@ -3,8 +3,8 @@
 A line's tokens are its runs of non-space characters, those with a digit masked. The tree is of fixed depth: token
 count, then the first ``DEPTH`` tokens. In a leaf, lines (most frequent first, then by hash) join the template that
 equals them in the largest share of positions if that is at least ``SIMILAR``, and positions that differ become
-variable; else they start a template. A template that occurs in ``min_docs`` documents recurs: its lines are dropped
-from every document but the first (least doc_id, nulls last), so that no content vanishes altogether.
+variable; else they start a template. A template that occurs in ``min_docs`` documents (two) recurs: its lines are
+dropped from every document but the first (least doc_id, nulls last), so that no content vanishes altogether.
 
 Lines are counted by distinct masked line, as hashes, before any text moves; only leaves with several lines are
 parsed, from one copy of each line; a leaf of any size is parsed whole, so that its size changes no result. Tokens
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_keys, slices
 
-DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 3
+DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 2
 #: Templates of a leaf that are compared one by one; beyond, those that share a block of tokens.
 SCANNED = 100
 DIGIT = re.compile(r"\d")
