@@ -3,6 +3,7 @@ import pytest
 
 from vecframe import errors
 from vecframe.operators import cluster, fusion, hnsw, indexes, keyword, search
+from vecframe.plans import queries
 
 RNG = np.random.default_rng(42)
 X = RNG.standard_normal((600, 32)).astype(np.float32)
@@ -197,3 +198,11 @@ def test_sparse_index(spark):
     index.upsert(1, {3: 0.5})
     assert index.search({0: 1.0, 3: 1.0}, 5) == [{"id": 2, "score": pytest.approx(1.0)}, {"id": 1, "score": 0.5}]
     assert 1 in index and index.get(1) == {3: 0.5} and index.delete(1) and not index.delete(1) and [i for i, _ in index] == [2]
+
+
+@pytest.mark.parametrize("name", ["ivf", "pq", "ivfpq"])
+def test_recall_of_trained_indexes(spark, name):
+    """Over all queries whose id is divisible by 100, none of which is a centroid by choice."""
+    found = {r.qid: r.recall for r in queries.QUERIES[f"{name}_trained_recall"](spark, "/root/testdata/sf0.1").collect()}
+    ids = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 100 = 0").collect()]
+    assert sorted(found) == sorted(ids) and np.mean(list(found.values())) >= 0.9

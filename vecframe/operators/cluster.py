@@ -7,6 +7,7 @@ closure; rows never leave the executors but as one partial sum a cluster and tas
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,17 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig
 from ..functions import metrics
-from .search import _per_query, _rank, block_distances, knn, matrix
+from .search import BLOCK_VALUES, _per_query, _rank, block_distances, knn, matrix
 
 LISTS, PROBES, PASSES = 256, 16, 10
 SUBSPACES, CODES, PQ_PASSES = 8, 256, 25
 
 
+def sample(df: DataFrame, n: int, id: str = "id", seed: int = 42) -> DataFrame:
+    """The n rows of the least hashes of id (all, if fewer), to train on."""
+    return df.orderBy(F.xxhash64(F.lit(seed), id), id).limit(n)
+
+
 def seeds(df: DataFrame, n: int, id: str = "id", vec: str = "vec", seed: int = 42) -> np.ndarray:
     """n distinct rows' vectors (all, if fewer), chosen by a hash of their id."""
     rows = df.select(F.col(id).alias("id"), F.col(vec).alias("vec")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n).collect()
@@ -117,6 +123,16 @@ def ivf_search_batch(lists: DataFrame, centroids: np.ndarray, queries: Sequence[
     return _per_query(probed.select(F.col("id").cast("long"), "list_id", "vec").mapInArrow(run, "qid long, id long, d double"), metric, k)
 
 
+def ivf_search_frame(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int = PROBES, metric: str = "l2") -> DataFrame:
+    """The same for every row of queries (qid, qvec), gathered in blocks of BLOCK_VALUES values."""
+    step, out = max(1, BLOCK_VALUES // centroids.shape[1]), None
+    rows = queries.select("qid", "qvec").toLocalIterator()
+    while held := [(r.qid, r.qvec) for r in islice(rows, step)]:
+        part = ivf_search_batch(lists, centroids, held, k, probes, metric)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else lists.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
+
+
 def write_lists(lists: DataFrame, path: str) -> None:
     """One folder for each list, so that a search reads the probed ones only."""
     lists.repartition("list_id").sortWithinPartitions("list_id").write.partitionBy("list_id").parquet(path)
@@ -189,6 +205,19 @@ def pq_decode(df: DataFrame, book: np.ndarray) -> DataFrame:
     return df.select("id", "codes").mapInArrow(run, "id long, vec array<double>")
 
 
+def ivfpq_decode(df: DataFrame, centroids: np.ndarray, book: np.ndarray) -> DataFrame:
+    """id, list_id, vec: the list's centroid plus what the codes of the residual stand for."""
+    m = book.shape[0]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, m)
+            vec = centroids[batch.column(1).to_numpy()] + np.concatenate([book[s][codes[:, s]] for s in range(m)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(vec), pa.list_(pa.float64()))], ["id", "list_id", "vec"])
+
+    return df.select("id", "list_id", "codes").mapInArrow(run, "id long, list_id int, vec array<double>")
+
+
 def adc_table(book: np.ndarray, query: Sequence[float]) -> np.ndarray:
     """Squared distances of the query's parts to each code."""
     q = np.asarray(query, np.float64).reshape(book.shape[0], 1, book.shape[2])

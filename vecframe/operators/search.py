@@ -174,6 +174,12 @@ def rerank(candidates: DataFrame, df: DataFrame, query: Sequence[float], k: int,
     return knn(df.join(F.broadcast(candidates.select(F.col("id").alias(id))), id, "left_semi"), query, k, metric, id, vec)
 
 
+def rerank_batch(candidates: DataFrame, df: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """qid, id, distance, rank: the exact nearest of each query's candidates (qid, id); df (id, vec), queries (qid, qvec)."""
+    pairs = candidates.select("qid", "id").join(df.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")
+    return _per_query(pairs.select("qid", "id", metrics.ordering_distance(metric, F.col("vec"), F.col("qvec")).alias("d")), metric, k)
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """qid, recall: the share of truth's (qid, id) that found has."""
     hit = truth.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
