@@ -38,6 +38,28 @@ def test_queries_equal_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+HUNDREDTH = ["knn_hundredth_l2", "knn_hundredth_cosine", "knn_hundredth_dot", "knn_hundredth_columns_l2", "recall_int8_hundredth", "ivf_knn_hundredth", "pairwise_stats_all"]
+
+
+@pytest.mark.parametrize("name", HUNDREDTH)
+def test_whole_query_sets_equal_sql(spark, duck, name):
+    got, want = entry.queries()[name](spark, SF).toPandas(), duck.execute(entry.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+    step = 1 if name == "pairwise_stats_all" else 100
+    ids = {i for (i,) in duck.execute(f"select vec_id from embeddings where vec_id % {step} = 0").fetchall()}
+    assert set(got.qid) == ids and max(ids) >= 20
+
+
+def test_all_sparse_pairs_equal_sql(spark, duck):
+    got, want = entry.queries()["sparse_dot_pairs_all"](spark, SF).toPandas(), duck.execute(entry.oracle_sql()["sparse_dot_pairs_all"]).df()
+    assert rows(got) == rows(want) and got.a_id.max() >= 20
+
+
+def test_graph_recall_over_the_whole_query_set(spark):
+    got = entry.queries()["hnsw_recall_hundredth"](spark, SF).toPandas()
+    assert sorted(got.qid) == list(range(0, 500, 100)) and got.recall.mean() >= 0.9
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() == 10
 

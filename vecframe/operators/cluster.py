@@ -7,7 +7,6 @@ closure; rows never leave the executors but as one partial sum a cluster and tas
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig
 from ..functions import metrics
-from .search import BLOCK_VALUES, _per_query, _rank, block_distances, knn, matrix
+from .search import _per_query, _rank, block_distances, in_blocks, knn, matrix
 
 LISTS, PROBES, PASSES = 256, 16, 10
 SUBSPACES, CODES, PQ_PASSES = 8, 256, 25
@@ -125,11 +124,7 @@ def ivf_search_batch(lists: DataFrame, centroids: np.ndarray, queries: Sequence[
 
 def ivf_search_frame(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int = PROBES, metric: str = "l2") -> DataFrame:
     """The same for every row of queries (qid, qvec), gathered in blocks of BLOCK_VALUES values."""
-    step, out = max(1, BLOCK_VALUES // centroids.shape[1]), None
-    rows = queries.select("qid", "qvec").toLocalIterator()
-    while held := [(r.qid, r.qvec) for r in islice(rows, step)]:
-        part = ivf_search_batch(lists, centroids, held, k, probes, metric)
-        out = part if out is None else out.unionByName(part)
+    out = in_blocks(queries, centroids.shape[1], lambda held: ivf_search_batch(lists, centroids, held, k, probes, metric))
     return out if out is not None else lists.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
 
 

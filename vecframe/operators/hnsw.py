@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import _per_query, block_distances, matrix
+from .search import _per_query, block_distances, in_blocks, matrix
 
 M, EF_BUILD, EF_SEARCH = 12, 200, 50
 SHARD_ROWS = 50_000
@@ -141,6 +141,13 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
     return _per_query(out, metric, k)
 
 
+def search_frame(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2", ef_search: int = EF_SEARCH) -> DataFrame:
+    """The same for every row of queries (qid, qvec), in blocks."""
+    first = queries.first()
+    out = None if first is None else in_blocks(queries, len(first.qvec), lambda held: search(index, held, k, metric, ef_search))
+    return out if out is not None else index.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
+
+
 def edges(index: DataFrame) -> DataFrame:
     """The graph as rows: shard, layer, id, neighbour."""
     layers = index.select("shard", "id", F.posexplode("links").alias("layer", "near"))

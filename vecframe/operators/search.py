@@ -7,7 +7,8 @@ partial step keeps k rows before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -131,9 +132,8 @@ def nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _block(df: DataFrame, names: np.ndarray, q: np.ndarray, k: int, metric: str, id: str, vec: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, BLOCK_VALUES // len(q))  # distances held at once
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             own = batch.column(0).to_numpy()
             d = block_distances(metric, matrix(batch.column(1), q.shape[1]), q)
             order = nearest(d, own, k)
@@ -174,6 +174,51 @@ def rerank(candidates: DataFrame, df: DataFrame, query: Sequence[float], k: int,
     return knn(df.join(F.broadcast(candidates.select(F.col("id").alias(id))), id, "left_semi"), query, k, metric, id, vec)
 
 
+def in_blocks(queries: DataFrame, dims: int, run: Callable[[list[tuple]], DataFrame]) -> DataFrame | None:
+    """The union of run over blocks of BLOCK_VALUES values of (qid, qvec); None without queries."""
+    out, rows = None, queries.select("qid", "qvec").toLocalIterator()
+    while held := [(r.qid, r.qvec) for r in islice(rows, max(1, BLOCK_VALUES // dims))]:
+        part = run(held)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pair_stats(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, least, most, mean of each query's (qid, qvec) distances (l2) to all rows (id, vec): one row a query and task moves."""
+    first = queries.first()
+
+    def block(held: list[tuple]) -> DataFrame:
+        names, q = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.float64)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            least, most, total, n = np.full(len(q), np.inf), np.full(len(q), -np.inf), np.zeros(len(q)), 0
+            for batch in batches:
+                x = matrix(batch.column(0), q.shape[1])
+                n += len(x)
+                step = max(1, BLOCK_VALUES // max(1, len(x)))
+                for at in range(0, len(q) if len(x) else 0, step):
+                    part = slice(at, at + step)
+                    d = block_distances("l2", x, q[part])
+                    # What nearly cancels is computed from the differences.
+                    i, j = np.nonzero(d <= 1e-6 * np.einsum("ij,ij->i", q[part], q[part])[:, None])
+                    for a in range(0, len(i), 10_000):
+                        b = slice(a, a + 10_000)
+                        d[i[b], j[b]] = ((q[part][i[b]] - x[j[b]]) ** 2).sum(axis=1)
+                    d = np.sqrt(d)
+                    least[part] = np.minimum(least[part], d.min(axis=1))
+                    most[part] = np.maximum(most[part], d.max(axis=1))
+                    total[part] += d.sum(axis=1)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(least), pa.array(most), pa.array(total), pa.array(np.full(len(q), n))], ["qid", "a", "b", "s", "n"])
+
+        return df.select("vec").mapInArrow(run, "qid long, a double, b double, s double, n long")
+
+    parts = None if first is None else in_blocks(queries, len(first.qvec), block)
+    if parts is None:
+        return df.sparkSession.createDataFrame([], "qid long, least double, most double, mean double")
+    return parts.groupBy("qid").agg(F.min("a").alias("least"), F.max("b").alias("most"), (F.sum("s") / F.sum("n")).alias("mean"))
+
+
 def rerank_batch(candidates: DataFrame, df: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """qid, id, distance, rank: the exact nearest of each query's candidates (qid, id); df (id, vec), queries (qid, qvec)."""
     pairs = candidates.select("qid", "id").join(df.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")

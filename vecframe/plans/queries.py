@@ -51,6 +51,11 @@ def fixed(spark: SparkSession, sf_dir: str, low: int = 0, high: int = SEEDS) ->
     return np.array([r.vec for r in rows], np.float64)
 
 
+def asked_hundredth(e: DataFrame) -> DataFrame:
+    """The queries of the *_hundredth_* and *_trained_* queries: every row whose id is divisible by 100."""
+    return e.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+
+
 def first(spark: SparkSession, sf_dir: str) -> list[float]:
     return fixed(spark, sf_dir, 0, 1)[0].tolist()
 
@@ -119,6 +124,18 @@ def _knn(metric: str) -> None:
         q = e.where(F.col("id") < BATCH).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
         return rounded(search.knn_batch_columns(e, q, K, metric), "distance")
 
+    every_sql = batch_sql.replace(f"b.id < {BATCH}", "b.id % 100 = 0")
+
+    @query(f"knn_hundredth_{SHORT[metric]}", every_sql)
+    def every(spark, sf_dir):
+        e = vectors(spark, sf_dir)
+        return rounded(search.knn_batch(e, asked_hundredth(e), K, metric), "distance")
+
+    @query(f"knn_hundredth_columns_{SHORT[metric]}", every_sql)
+    def every_columns(spark, sf_dir):
+        e = vectors(spark, sf_dir)
+        return rounded(search.knn_batch_columns(e, asked_hundredth(e), K, metric), "distance")
+
     @query(f"distance_{SHORT[metric]}", f"with {E}, {Q} select id, round({d}, 6) as distance from e, q")
     def distance(spark, sf_dir):
         return vectors(spark, sf_dir).select("id", r6(metrics.distance(metric, F.col("vec"), metrics.vector(first(spark, sf_dir)))).alias("distance"))
@@ -168,6 +185,14 @@ def pairwise_stats(spark, sf_dir):
     return e.crossJoin(F.broadcast(q)).groupBy("qid").agg(r6(F.min(d)).alias("least"), r6(F.max(d)).alias("most"), r6(F.avg(d)).alias("mean"))
 
 
+@query("pairwise_stats_all", ORACLE_SQL["pairwise_stats"].replace(f"where b.id < {BATCH} ", ""))
+def pairwise_stats_all(spark, sf_dir):
+    """The same for every row against all rows."""
+    e = vectors(spark, sf_dir)
+    out = search.pair_stats(e, e.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")))
+    return rounded(out, "least", "most", "mean")
+
+
 @query("knn_filtered_exact", f"with {E}, {Q} select id, round(list_distance(v, q), 6) as distance from (select * from e, q where label = 3 order by list_distance(v, q), id limit {K})")
 def knn_filtered_exact(spark, sf_dir):
     e = vectors(spark, sf_dir).withColumn("payload", F.struct("label"))
@@ -325,6 +350,13 @@ def recall_int8(spark, sf_dir):
     return search.recall(search.knn_batch(codes, q, K), search.knn_batch(e, q, K))
 
 
+@query("recall_int8_hundredth", ORACLE_SQL["recall_int8"].replace(f"b.id < {BATCH}", "b.id % 100 = 0"))
+def recall_int8_hundredth(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    codes = e.select("id", quantize.int8_decode(quantize.int8_encode(F.col("vec")), quantize.int8_scale(F.col("vec"))).alias("vec"))
+    return search.recall(search.knn_batch(codes, asked_hundredth(e), K), search.knn_batch(e, asked_hundredth(e), K))
+
+
 # Clusters, inverted lists, product quantisation.
 
 NEAREST = f"a as (select id, v, cid, c from (select *, row_number() over (partition by id order by {sq('v', 'c')}, cid) as n from e, c) where n = 1)"
@@ -371,6 +403,12 @@ def ivf_knn_batch(spark, sf_dir):
     return rounded(cluster.ivf_search_batch(cluster.assign(vectors(spark, sf_dir), centroids), centroids, asked_, K, 4), "distance")
 
 
+@query("ivf_knn_hundredth", ORACLE_SQL["ivf_knn_batch"].replace(f"b.id < {BATCH}", "b.id % 100 = 0"))
+def ivf_knn_hundredth(spark, sf_dir):
+    e, centroids = vectors(spark, sf_dir), fixed(spark, sf_dir)
+    return rounded(cluster.ivf_search_frame(cluster.assign(e, centroids), centroids, asked_hundredth(e), K, 4), "distance")
+
+
 @query("ivf_knn_partitioned", ORACLE_SQL["ivf_knn_nprobe4"])
 def ivf_knn_partitioned(spark, sf_dir):
     """The same from lists written by list_id, of which four folders are read."""
@@ -434,10 +472,6 @@ def ivfpq_knn(spark, sf_dir):
 TRAIN, TRAIN_PASSES, TRAINED_PROBES, FINE_PARTS, RERANK, RERANK_LISTS = 20_000, 5, 12, 16, 400, 200
 
 
-def asked_hundredth(e: DataFrame) -> DataFrame:
-    return e.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-
-
 def training(spark: SparkSession, e: DataFrame) -> DataFrame:
     """The rows to train on, written once as every pass reads them."""
     path = folder(spark)
@@ -495,6 +529,18 @@ def hnsw_recall(spark, sf_dir):
     return search.recall(hnsw.search(hnsw.build(e, shards=4), q, K), search.knn_batch(e, asked, K))
 
 
+@query("hnsw_knn_hundredth")
+def hnsw_knn_hundredth(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    return rounded(hnsw.search_frame(hnsw.build(e, shards=4), asked_hundredth(e), K), "distance")
+
+
+@query("hnsw_recall_hundredth")
+def hnsw_recall_hundredth(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    return search.recall(hnsw.search_frame(hnsw.build(e, shards=4), asked_hundredth(e), K), search.knn_batch(e, asked_hundredth(e), K))
+
+
 # Keywords.
 
 TF = f"""k as (select doc_id as id, {TOKENS} as t from documents), z as (select id, len(t) as dl from k where len(t) > 0),
@@ -577,6 +623,13 @@ def sparse_dot_pairs(spark, sf_dir):
     return keyword.sparse_dot(p.where(F.col("id") < BATCH), p)
 
 
+@query("sparse_dot_pairs_all", ORACLE_SQL["sparse_dot_pairs"].replace(f"where a.id < {BATCH} ", ""))
+def sparse_dot_pairs_all(spark, sf_dir):
+    """The same for all pairs of documents that share a term."""
+    p = term_postings(spark, sf_dir)
+    return keyword.sparse_dot(p, p)
+
+
 # Fusion.
 
 JOINED = f"""{E}, {Q}, rows as (select e.id, e.v, e.label, d.text from e join documents d on e.id = d.doc_id),
