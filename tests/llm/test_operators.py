@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -247,6 +248,20 @@ def test_winnowing(spark, docs, none, monkeypatch, broadcast):
     assert winnow.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_winnowing_of_items_without_id(spark, docs):
+    """Their windows hit; they count as one item, as the SQL has it."""
+    items = [(None, PASSAGE), (None, "tiny"), (4, "two spaces"), (5, " ".join(PASSAGE.split()[5:18]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = winnow.decontaminate(docs, bench).drop("ka", "kb").collect()
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", ROWS), ("benchmark", "item_id", items)):
+        con.execute(f"create table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    same(got, con.execute(winnow.ORACLE).fetchall())
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[5].n_hit == 70 and by_id[5].contaminated and by_id[5].n_items == 2 and by_id[11].contaminated and by_id[11].n_items == 1
+
+
 def test_chunk_bpe(docs, none):
     lib, want = load(WORD), []
     for d, t in ROWS:

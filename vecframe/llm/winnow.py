@@ -9,7 +9,8 @@ text. Items of fewer than 13 words are found by the hash of all their words, and
 The benchmark side is broadcast only if it has at most ``BROADCAST`` rows, and shuffled otherwise. Documents are
 identified by two hashes of doc_id and text, so equal rows share their result and nulls need no care: a null text
 has no words (no hits, not contaminated), an item without words has no windows. Items that repeat count once by
-item_id. Empty tables give no rows or no hits; other columns are ignored.
+item_id; windows of items whose item_id is null hit like any others, and these items count as one in n_items but have
+no part in items_sha256. Empty tables give no rows or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,8 +83,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     split = items.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     split = materialize(split, "items")
     pieces = split.select("item", "w", F.explode(_span(0, F.greatest(F.size("w") - SPAN, F.lit(0)))).alias("at"))
-    windows = pieces.select("item", F.array_join(F.slice("w", F.col("at") + 1, SPAN), " ").alias("window")).where(F.col("item").isNotNull())
-    windows = materialize(windows.groupBy("window").agg(F.collect_set("item").alias("items")), "windows")
+    windows = pieces.select("item", F.array_join(F.slice("w", F.col("at") + 1, SPAN), " ").alias("window"))
+    windows = windows.groupBy("window").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull().cast("int")).alias("unnamed"))
+    windows = materialize(windows, "windows")
     kept = split.where(F.size("w") >= SPAN).select(grams("w", GRAM).alias("h")).where(F.size("h") > 0).select(F.explode(winnowed("h")).alias("fp"))
     kept = materialize(kept.distinct(), "fingerprints")
     short = split.where(F.size("w") < SPAN).select(F.size("w").alias("n"), F.xxhash64("w").alias("fp")).distinct()
@@ -112,8 +114,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     near = near.select("ka", "kb", "w", places.alias("places"))
     texts = F.transform("places", lambda p: F.struct(p["a"].alias("a"), (p["a"] + p["size"]).alias("b"), F.array_join(F.slice("w", p["a"] + 1, p["size"]), " ").alias("window")))
     hits = near.select("ka", "kb", F.explode(texts).alias("x")).select("ka", "kb", "x.*").join(_small(windows), "window")
-    hits = hits.groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    hits = hits.select("ka", "kb", _covered(F.array_sort("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    hits = hits.groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("unnamed").alias("unnamed"))
+    hits = hits.select("ka", "kb", _covered(F.array_sort("spans")).alias("n_hit"), (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
 
     counted = base.select("doc_id", "ka", "kb", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
     out = counted.join(hits, ["ka", "kb"], "left")
