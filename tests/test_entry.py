@@ -55,6 +55,11 @@ def test_all_sparse_pairs_equal_sql(spark, duck):
     assert rows(got) == rows(want) and got.a_id.max() >= 20
 
 
+def test_filtered_fusion_equals_sql(spark, duck):
+    for name in ("hybrid_fusion_filtered", "hybrid_fusion_filtered_exact"):
+        assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(duck.execute(entry.oracle_sql()[name]).df())
+
+
 def test_graph_recall_over_the_whole_query_set(spark):
     got = entry.queries()["hnsw_recall_hundredth"](spark, SF).toPandas()
     assert sorted(got.qid) == list(range(0, 500, 100)) and got.recall.mean() >= 0.9

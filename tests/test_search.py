@@ -206,3 +206,11 @@ def test_recall_of_trained_indexes(spark, name):
     found = {r.qid: r.recall for r in queries.QUERIES[f"{name}_trained_recall"](spark, "/root/testdata/sf0.1").collect()}
     ids = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 100 = 0").collect()]
     assert sorted(found) == sorted(ids) and np.mean(list(found.values())) >= 0.9
+
+
+def test_hybrid_with_a_selective_filter(spark):
+    """All 5 rows that match come, though they are among the farthest and lowest scored of 300."""
+    made = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(300)], "id long, vec array<double>")
+    postings = spark.createDataFrame([(i, 7, float(300 - i)) for i in range(300)], "id long, dim long, w double")
+    ask = lambda mode: [r.id for r in fusion.hybrid(made, postings, [0.0, 0.0], {7: 1.0}, 5, where=made.id >= 295, mode=mode).collect()]
+    assert ask("exact") == [295, 296, 297, 298, 299] and ask("overscan") == []

@@ -34,8 +34,15 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int, dense_weight: float = DENS
     return scored.select("id", "score", "dense_distance", "sparse_score").orderBy(F.desc("score"), "id").limit(max(0, k))
 
 
-def hybrid(rows: DataFrame, postings: DataFrame, query: Sequence[float], sparse_query: dict, k: int, metric: str = "l2", dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, where: Column | None = None, clip: bool = False) -> DataFrame:
-    """Fusion of the nearest and the best-scored OVERSCAN * k of rows (id, vec) and postings (id, dim, w)."""
+def hybrid(rows: DataFrame, postings: DataFrame, query: Sequence[float], sparse_query: dict, k: int, metric: str = "l2", dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, where: Column | None = None, clip: bool = False, mode: str = "exact") -> DataFrame:
+    """Fusion of the nearest and the best-scored OVERSCAN * k of rows (id, vec) and postings (id, dim, w).
+
+    where restricts the candidates. mode "exact" filters both sides first, so k come if there are k; "overscan" filters
+    the candidates of all rows, so it may return fewer.
+    """
+    if where is not None and mode == "exact":
+        rows, where = rows.where(where), None
+        postings = postings.join(rows.select("id"), "id", "left_semi")
     dense = knn(rows, query, OVERSCAN * k, metric)
     sparse = sparse_top(postings, sparse_query, OVERSCAN * k)
     return fuse(dense, sparse, k, dense_weight, sparse_weight, rows.where(where).select("id") if where is not None else None, clip)

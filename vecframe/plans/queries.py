@@ -649,18 +649,26 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).join(documents(spark, sf_dir), "id")
 
 
-def _fusion(name: str, wd: float, ws: float, label: int | None = None) -> None:
-    @query(name, fusion_sql(wd, ws, "true" if label is None else f"label <= {label}"))
+def exact_fusion_sql(wd: float, ws: float, where: str) -> str:
+    """The same with the filter before the candidates of both sides are taken."""
+    return fusion_sql(wd, ws).replace("from rows, q order by", f"from rows, q where {where} order by").replace("where w > 0 and q > 0 group by id", f"where w > 0 and q > 0 and id in (select id from rows where {where}) group by id")
+
+
+def _fusion(name: str, wd: float, ws: float, label: int | None = None, mode: str = "overscan") -> None:
+    where_sql = "true" if label is None else f"label <= {label}"
+
+    @query(name, fusion_sql(wd, ws, where_sql) if mode == "overscan" else exact_fusion_sql(wd, ws, where_sql))
     def run(spark, sf_dir):
         rows = joined(spark, sf_dir)
         postings, words = keyword.query_postings(rows, asked(spark, sf_dir))
         where = None if label is None else F.col("label") <= label
-        out = fusion.hybrid(rows, postings, first(spark, sf_dir), words, K, "cosine", wd, ws, where)
+        out = fusion.hybrid(rows, postings, first(spark, sf_dir), words, K, "cosine", wd, ws, where, mode=mode)
         return rounded(out.withColumnRenamed("score", "fused"), "fused", "dense_distance", "sparse_score")
 
 
 _fusion("hybrid_fusion", 0.7, 0.3)
 _fusion("hybrid_fusion_filtered", 0.7, 0.3, 4)
+_fusion("hybrid_fusion_filtered_exact", 0.7, 0.3, 0, "exact")
 _fusion("keyword_mode", 0.0, 1.0)
 
 

@@ -47,8 +47,11 @@ class TextCollection:
         payload = F.try_parse_json("payload")
         return self.collection.rows().select("id", "vec", "payload", F.try_variant_get(payload, f"$.{DOCUMENT}", "string").alias("text"))
 
-    def query(self, text: str, k: int = 10, mode: str = "hybrid", dense_weight: float = fusion.DENSE_WEIGHT, sparse_weight: float = fusion.SPARSE_WEIGHT, filter: dict | None = None) -> list[dict]:
-        """mode: hybrid, semantic or keyword. Keyword ranks may end with documents that lack every keyword."""
+    def query(self, text: str, k: int = 10, mode: str = "hybrid", dense_weight: float = fusion.DENSE_WEIGHT, sparse_weight: float = fusion.SPARSE_WEIGHT, filter: dict | None = None, filter_mode: str = "exact") -> list[dict]:
+        """mode: hybrid, semantic or keyword. Keyword ranks may end with documents that lack every keyword.
+
+        filter_mode: exact, or overscan (which may return fewer than k).
+        """
         if mode not in ("hybrid", "semantic", "keyword"):
             raise errors.InvalidConfig(f"unknown mode {mode!r}")
         if mode == "keyword" and not self.bm25:
@@ -61,10 +64,10 @@ class TextCollection:
             return []
         query = self.embedding([text])[0]
         if not words:
-            return [self._result(r) for r in self.collection.search(query, k, filter)]
+            return [self._result(r) for r in self.collection.search(query, k, filter, filter_mode)]
         weights = (0.0, 1.0) if mode == "keyword" else (dense_weight, sparse_weight)
         where = self.collection._where(filter)
-        found = fusion.hybrid(texts, postings, query, words, k, self.collection.metric, *weights, where)
+        found = fusion.hybrid(texts, postings, query, words, k, self.collection.metric, *weights, where, mode=filter_mode)
         rows = found.join(texts.select("id", "payload"), "id").orderBy(F.desc("score"), "id").collect()
         return [self._result({"id": r.id, "score": r.score, "dense_distance": r.dense_distance, "sparse_score": r.sparse_score, "payload": json.loads(r.payload)}) for r in rows]
 

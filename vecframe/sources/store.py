@@ -241,10 +241,10 @@ class Collection:
     def search(self, query: Sequence[float], k: int, filter: dict | None = None, mode: str = "exact") -> list[dict]:
         return [_result(r, {"id": r.id, "distance": r.distance}) for r in self.search_frame(query, k, filter, mode).collect()]
 
-    def search_hybrid(self, dense_query: Sequence[float], sparse_query: dict, k: int, dense_weight: float = fusion.DENSE_WEIGHT, sparse_weight: float = fusion.SPARSE_WEIGHT, filter: dict | None = None) -> list[dict]:
+    def search_hybrid(self, dense_query: Sequence[float], sparse_query: dict, k: int, dense_weight: float = fusion.DENSE_WEIGHT, sparse_weight: float = fusion.SPARSE_WEIGHT, filter: dict | None = None, mode: str = "exact") -> list[dict]:
         metrics.check_dimensions(dense_query, self.dimensions)
         rows = self.rows()
-        found = fusion.hybrid(rows, self.postings(), dense_query, sparse_query, k, self.metric, dense_weight, sparse_weight, self._where(filter))
+        found = fusion.hybrid(rows, self.postings(), dense_query, sparse_query, k, self.metric, dense_weight, sparse_weight, self._where(filter), mode=mode)
         out = found.join(rows.select("id", "payload"), "id").orderBy(F.desc("score"), "id").collect()
         return [_result(r, {"id": r.id, "score": r.score, "dense_distance": r.dense_distance, "sparse_score": r.sparse_score}) for r in out]
 
