@@ -1,6 +1,7 @@
 """Every operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -34,7 +35,8 @@ ROWS = [
 def docs(spark):
     """With columns whose names the operators use themselves."""
     df = spark.createDataFrame([(i, t, f"s{n % 3}", n) for n, (i, t) in enumerate(ROWS)], "doc_id long, text string, source string, n long")
-    return df.select("doc_id", "text", "source", "n", F.lit(1).alias("fp"), F.lit(2).alias("component"), F.lit("x").alias("shard"), F.lit(3).alias("label"), F.lit(4).alias("id"), F.lit(5).alias("line")).persist()
+    own = "fp component shard label id line ka kb r gone a.b __n_lines __n_dropped kept_0 c1 __text t k n_bytes wanted hits home `q`".split()
+    return df.select("doc_id", "text", "source", "n", *[F.lit(i).alias(c) for i, c in enumerate(own)]).persist()
 
 
 @pytest.fixture(scope="module")
@@ -133,7 +135,8 @@ def test_quality(spark, docs, none):
 @pytest.mark.parametrize("min_docs", [2, 3])
 def test_line_dedup(docs, none, min_docs):
     out = log_templates.dedup_lines(docs, min_docs=min_docs)
-    assert out.columns == [*docs.columns, "__n_lines", "__n_dropped"]
+    assert out.columns == [*docs.columns, "___n_lines", "___n_dropped"]
+    assert {(r["a.b"], r["__n_lines"], r["`q`"]) for r in out.collect()} == {(10, 11, 22)} and log_templates.digest(out).columns[1:3] == ["n_lines", "n_dropped"]
     same([(r.doc_id, r.text) for r in out.collect()], zip([d for d, _ in ROWS], log_templates.brute_force(ROWS, min_docs), strict=True))
     assert log_templates.dedup_lines(none).count() == 0
 
@@ -146,11 +149,9 @@ def test_line_dedup_on_templates(spark):
     assert got == want and "Licensed" in got[0] and all("Licensed" not in got[i] and "logged" not in got[i] for i in range(1, 40))
 
 
-def test_line_dedup_with_split_leaves(spark):
+def test_line_dedup_generalises_beyond_the_tree(spark):
     rows = [(i, f"a b c {w} e f g h") for i, w in enumerate(WORDS[:30])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = log_templates.templates(df, log_templates.line_rows(df), leaf_max=5).collect()
-    assert all(r.line == r.template for r in found)
     found = log_templates.templates(df, log_templates.line_rows(df)).collect()
     assert len(found) == 30 and len({r.template for r in found}) == 1
 
@@ -284,20 +285,42 @@ def brute_components(rows):
     return [(r[0], f"{f:016x}", low[g]) for r, f, g in zip(rows, fp, group, strict=True)]
 
 
-@pytest.mark.parametrize("hot", [30_000, 3])
-def test_simhash(spark, docs, none, monkeypatch, hot):
+@pytest.mark.parametrize(("shard", "leaf"), [(8192, 128), (8192, 4), (3, 2)])
+def test_simhash(spark, docs, none, monkeypatch, shard, leaf):
+    """With one shard a tree, with deep trees in the shards, and with many shards that visitors cross."""
     base = prose(400).split()
     r = random.Random(2)
     near = [(100 + i, " ".join([*base[: (at := r.randrange(400))], "changed", *base[at + 1 :]])) for i in range(60)]
     rows = [*ROWS, *near]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    if hot == 3:
-        plain = simhash_vp.links
-        monkeypatch.setattr(simhash_vp, "links", lambda nodes: plain(nodes, hot=3))
+    plain = simhash_vp.links
+    monkeypatch.setattr(simhash_vp, "links", lambda nodes: plain(nodes, shard=shard))
+    monkeypatch.setattr(simhash_vp, "LEAF", leaf)
     want = brute_components(rows)
     same(simhash_vp.near_duplicates(df).collect(), want)
     assert len({w[2] for w in want if (w[0] or 0) >= 100}) < 60
-    assert simhash_vp.near_duplicates(none).count() == 0
+    out = simhash_vp.near_duplicates(docs, keep=["ka", "a.b"])
+    assert out.columns[3:] == ["class_fp", "kept_0", "kept_1"] and simhash_vp.near_duplicates(none).count() == 0
+
+
+def test_simhash_trees_at_work(spark):
+    """Over the documents of sf0.01 the trees split nodes, and their links are those of every pair compared."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the test tables aren't here")
+    found = simhash_vp.fingerprints(spark.read.parquet(path)).select("fp").distinct()
+    x = np.array([r.fp for r in found.collect()], np.int64).view(np.uint64)
+    every, split = np.arange(len(x)), 0
+    a, b = simhash_vp.Forest(len(x)), simhash_vp.Forest(len(x))
+    for mask in simhash_vp.parts():
+        split += simhash_vp.vantage_links(x, every, every[:0], a, mask, 1)
+    simhash_vp._compare(x, every, every, b)
+    assert split > 20 and (a.roots() == b.roots()).all() and len(set(a.roots().tolist())) < len(x)
+    edges = simhash_vp.links(found, shard=100).collect()
+    c = simhash_vp.Forest(len(x))
+    place = {int(v): i for i, v in enumerate(x.view(np.int64).tolist())}
+    c.link(np.array([place[e.u] for e in edges]), np.array([place[e.v] for e in edges]))
+    assert (c.roots() == b.roots()).all()
 
 
 def test_components_of_a_chain(spark):

@@ -133,27 +133,51 @@ def test_fingerprint(text):
     assert simhash_vp.fingerprint(text.encode()) == simhash_by_hand(text)
 
 
-@pytest.mark.parametrize("spread", [12, 62])
-def test_vantage_tree_finds_the_links_of_brute_force(spread):
+def sample(spread):
     rng = np.random.default_rng(spread)
     x = np.unique(rng.integers(0, 1 << spread, 1500).astype(np.uint64))
     near = x[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
-    x = np.unique(np.concatenate([x, near]))
-    a, b = simhash_vp.Forest(len(x)), simhash_vp.Forest(len(x))
-    simhash_vp.vantage_links(x, np.arange(len(x)), a)
-    simhash_vp._compare(x, np.arange(len(x)), np.arange(len(x)), b, 4)
-    assert (a.roots() == b.roots()).all()
+    return np.unique(np.concatenate([x, near]))
+
+
+@pytest.mark.parametrize("spread", [12, 40, 62])
+def test_vantage_trees_find_the_links_of_brute_force(spread):
+    x = sample(spread)
+    every = np.arange(len(x))
+    a, b, c = (simhash_vp.Forest(len(x)) for _ in range(3))
+    assert simhash_vp.vantage_links(x, every, every[:0], a) > 10
+    for mask in simhash_vp.parts():
+        simhash_vp.vantage_links(x, every, every[:0], c, mask, 1)
+    simhash_vp._compare(x, every, every, b, 4)
+    assert (a.roots() == b.roots()).all() and (c.roots() == b.roots()).all()
 
 
-@pytest.mark.parametrize("blocks", [5, 6, 8])
-def test_masks_lose_no_pair(blocks):
-    r = random.Random(blocks)
+@pytest.mark.parametrize("spread", [12, 62])
+def test_linked_fingerprints_meet_at_a_shard(spread):
+    x = sample(spread)
+    found = set()
+    for mask in simhash_vp.parts():
+        tree, leaves = simhash_vp.plant(x[::3], mask, 5)
+        homes = []
+        for leaf, m, v in simhash_vp.route(tree, x, mask, 1):
+            assert leaf < leaves
+            homes += m.tolist()
+            both = np.concatenate([m, v])
+            i, j = np.nonzero(np.bitwise_count(x[m][:, None] ^ x[both][None, :]) <= 4)
+            found |= {(min(p), max(p)) for p in zip(m[i].tolist(), both[j].tolist())}
+        assert sorted(homes) == list(range(len(x)))
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4)
+    assert found == {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a <= b}
+
+
+def test_parts_lose_no_pair():
+    r = random.Random(3)
     for _ in range(300):
         x = r.getrandbits(64)
         y = x
         for b in r.sample(range(64), 4):
             y ^= 1 << b
-        assert any(x & m == y & m for m in simhash_vp.masks(blocks))
+        assert any(((x ^ y) & m).bit_count() <= 1 for m in simhash_vp.parts())
 
 
 def test_noisy_or_finds_the_sentence():

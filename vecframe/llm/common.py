@@ -101,7 +101,27 @@ def binary_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, which clash with no name of ours; ``toDF(*df.columns)`` undoes it."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores ahead as it takes for df to have none of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def row_keys(key: str, *columns: str) -> list[Column]:
     """Two hashes, ka and kb, that identify a row by its content; equal rows share them, nulls included."""
-    parts = [F.col(c) for c in (key, *columns)]
+    parts = [column(c) for c in (key, *columns)]
     return [F.xxhash64(*parts).alias("ka"), F.xxhash64(F.lit(1), *reversed(parts)).alias("kb")]
