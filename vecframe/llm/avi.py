@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import binary_texts
+from .common import binary_texts, column
 
 UNIT, FRAME, FPS = 192, 3072, 25
 BINS, MEMORY, FLOOR = 32, 8, 0.25
@@ -163,7 +163,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             if rows:
                 yield batch_of(rows)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(column(key).cast("long").alias("doc_id"), column(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def probe_media(files: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import binary_texts
+from .common import binary_texts, column
 
 ROWS = 10_000
 BLOCK, DICTIONARY, LEVEL = 1024, 65_536, 3
@@ -123,5 +123,5 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array([float(v[1]) / 10 for v in x], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "difference"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text"))
+    rows = docs.select(column(key).cast("long").alias("doc_id"), column(text).alias("__text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, difference double")

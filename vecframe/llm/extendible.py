@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import column, materialize
 
 BITS = 60
 #: Production size of a shard.
@@ -58,9 +58,9 @@ def _split(rows: DataFrame, group: list[str], address: str, low: int, high: int,
 def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, shard (its prefix in bits, with /page in overflow), depth, shard_bytes, shard_docs; and the columns of keep."""
     keep = keep or []
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), size.alias("n_bytes"), _bits60(F.col(key)).alias("a"), *keep)
-    hashed = docs.select(_bits60(F.col(key)).alias("a"), _bits60(F.col(text)).alias("c"), F.col(key).alias("doc_id"), size.alias("n_bytes"), *keep)
+    size = F.coalesce(F.octet_length(column(text)), F.lit(0)).cast("long")
+    rows = docs.select(column(key).alias("doc_id"), size.alias("n_bytes"), _bits60(column(key)).alias("a"), *[column(c) for c in keep])
+    hashed = docs.select(_bits60(column(key)).alias("a"), _bits60(column(text)).alias("c"), column(key).alias("doc_id"), size.alias("n_bytes"), *[column(c) for c in keep])
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     high = 0 if total <= limit else min(BITS, math.ceil(math.log2(total / limit)) + 4)
     first = materialize(_split(rows.select("a", "n_bytes"), [], "a", 0, high, limit), "directory")
@@ -99,7 +99,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:
     """Write every column of docs as Parquet, in one folder for each shard (column __shard)."""
     columns = docs.columns
-    wrapped = docs.select(F.col(key).alias("__key"), F.col(text).alias("__body"), F.struct(*[docs[c] for c in columns]).alias("__row"))
+    wrapped = docs.select(column(key).alias("__key"), column(text).alias("__body"), F.struct(*[column(c) for c in columns]).alias("__row"))
     out = assign_shards(wrapped, limit, "__key", "__body", ["__row"]).select("__row.*", F.col("shard").alias("__shard"))
     out.repartition("__shard").write.partitionBy("__shard").parquet(path)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 
 def held_out(key, modulus: int, remainder: int):
     """Whether crc32 of the key as text leaves the remainder; a null key counts as the empty string."""
@@ -16,7 +18,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: i
 
     At most ``rows`` (key, label) pairs are broadcast; documents are only scanned. Null keys and labels don't count.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key), modulus, remainder))
-    known = known.groupBy(F.col(key).alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    known = labels.where(column(label).isNotNull() & column(key).isNotNull() & ~held_out(column(key), modulus, remainder))
+    known = known.groupBy(column(key).alias("doc_id")).agg(F.max(column(label)).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
+    return docs.select(column(key).alias("doc_id"), column(text).alias("text")).join(F.broadcast(known), "doc_id")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_keys, slices
+from .common import column, fresh, materialize, plain_names, row_keys, slices
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 2
 #: Templates of a leaf that are compared one by one; beyond, those that share a block of tokens.
@@ -81,7 +81,7 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, wanted): leaf, line, docs and token hashes of the lines wanted; leaves that are full get three more tokens."""
+    """From (text, wanted): leaf, line, docs and token hashes of the lines wanted."""
     for batch in slices(batches):
         rows = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -90,8 +90,7 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w = left.pop(line_hash(raw), None) if left and raw.strip() else None
                 if w:
                     x = np.fromiter(map(token_hash, raw.split()), np.uint32).astype("<u4").tobytes()
-                    leaf = w["leaf"] if not w["full"] else xxhash.xxh64_intdigest(x[: 8 * DEPTH], len(x)) - (1 << 63)
-                    rows.append((leaf, w["line"], w["docs"], x))
+                    rows.append((w["leaf"], w["line"], w["docs"], x))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["leaf", "line", "docs", "tokens"])
 
@@ -197,22 +196,21 @@ LINES = "ka long, kb long, doc_id long, leaf long, line long"
 
 def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """ka, kb, doc_id, leaf, line for the distinct masked lines of each document."""
-    return docs.select(*row_keys(key, text), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_lines, LINES)
+    return docs.select(*row_keys(key, text), column(key).cast("long").alias("doc_id"), column(text).alias("text")).mapInArrow(_lines, LINES)
 
 
-def templates(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, leaf_max: int | None = None) -> DataFrame:
+def templates(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """line, template: hashes of masked lines and of the templates that they belong to, where those may recur.
 
-    A line alone in its leaf is its own template. The others' tokens are read from one document each. With leaf_max,
-    leaves of more distinct lines are split by their next three tokens, which loses templates that vary there.
+    A line alone in its leaf is its own template. The others' tokens are read from one document each.
     """
     distinct = lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("ka", "kb")).alias("place"))
     distinct = materialize(distinct, "distinct-lines")
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("d")).where((F.col("n") > 1) & (F.col("d") >= min_docs))
-    leaves = materialize(leaves.select("leaf", (F.lit(False) if leaf_max is None else F.col("n") > leaf_max).alias("full")), "mixed-leaves")
+    leaves = materialize(leaves.select("leaf"), "mixed-leaves")
     alone = distinct.where(F.col("docs") >= min_docs).join(leaves, "leaf", "left_anti").select("line", F.col("line").alias("template"))
-    wanted = distinct.join(leaves, "leaf").groupBy("place").agg(F.collect_list(F.struct("leaf", "line", "docs", "full")).alias("wanted"))
-    texts = docs.select(*row_keys(key, text), F.col(text).alias("text")).join(wanted.select("place.*", "wanted"), ["ka", "kb"])
+    wanted = distinct.join(leaves, "leaf").groupBy("place").agg(F.collect_list(F.struct("leaf", "line", "docs")).alias("wanted"))
+    texts = docs.select(*row_keys(key, text), column(text).alias("text")).join(wanted.select("place.*", "wanted"), ["ka", "kb"])
     dealt = texts.select("text", "wanted").mapInArrow(_tokens, "leaf long, line long, docs long, tokens binary")
     dealt = dealt.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "line")
     return dealt.mapInArrow(_parse, "line long, template long").distinct().unionByName(alone)
@@ -239,29 +237,34 @@ def _drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """The columns of docs, with the lines of recurring templates dropped from text; and __n_lines, __n_dropped."""
+    """The columns of docs, with the lines of recurring templates dropped from text; then how many lines there were and went.
+
+    These two are __n_lines and __n_dropped, with more underscores ahead if docs has such names.
+    """
     lines = materialize(line_rows(docs, key, text), "lines")
     named = materialize(templates(docs, lines, key, text, min_docs), "templates")
     uses = materialize(lines.select("ka", "kb", "doc_id", "line").join(named, "line"), "template-uses")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), "ka", "kb")
     each = uses.groupBy("template", "ka", "kb").agg(F.min(order).alias("o"))
     recurring = each.groupBy("template").agg(F.count("*").alias("n"), F.min("o").alias("first")).where(F.col("n") >= min_docs)
-    gone = uses.join(recurring.select("template", F.col("first.ka").alias("fa"), F.col("first.kb").alias("fb")), "template")
-    gone = gone.where("ka <> fa or kb <> fb").groupBy("ka", "kb").agg(F.collect_set("line").alias("gone"))
+    # Written, so that the join reads rows dealt for it alone: a hot template's rows can then be split over tasks.
+    recurring = materialize(recurring.select("template", F.col("first.ka").alias("fa"), F.col("first.kb").alias("fb")), "recurring-templates")
+    gone = uses.join(recurring, "template").where("ka <> fa or kb <> fb").groupBy("ka", "kb").agg(F.collect_set("line").alias("gone"))
     gone = materialize(gone, "dropped-lines")
-    columns = docs.columns
-    other = [c for c in columns if c != text]
-    whole = docs.select(*row_keys(key, text), F.struct(*[docs[c] for c in columns]).alias("r")).join(gone, ["ka", "kb"], "left")
-    whole = whole.select(F.col(f"r.{text}").alias("text"), "gone", *[F.col(f"r.`{c}`").alias(f"c{i}") for i, c in enumerate(other)])
-    kinds = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(other))
+    plain = plain_names(docs)
+    k, t = (f"c{docs.columns.index(c)}" for c in (key, text))
+    other = [c for c in plain.columns if c != t]
+    whole = plain.select(*row_keys(k, t), F.struct(*plain.columns).alias("r")).join(gone, ["ka", "kb"], "left")
+    whole = whole.select(F.col(f"r.{t}").alias("text"), "gone", *[f"r.{c}" for c in other])
+    kinds = "".join(f", {c} {plain.schema[c].dataType.simpleString()}" for c in other)
     out = whole.mapInArrow(_drop, "text string, n_lines long, n_dropped long" + kinds)
-    names = {c: f"c{i}" for i, c in enumerate(other)} | {text: "text"}
-    return out.select(*[F.col(names[c]).alias(c) for c in columns], F.col("n_lines").alias("__n_lines"), F.col("n_dropped").alias("__n_dropped"))
+    return out.select(*["text" if c == t else c for c in plain.columns], "n_lines", "n_dropped").toDF(*docs.columns, *fresh(docs, "__n_lines", "__n_dropped"))
 
 
 def digest(out: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of what dedup_lines returns."""
-    return out.select(F.col(key).alias("doc_id"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    n_lines, n_dropped = (column(c) for c in out.columns[-2:])
+    return out.select(column(key).alias("doc_id"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.sha2(F.coalesce(column(text), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def brute_force(docs: list[tuple[int | None, str | None]], min_docs: int = MIN_DOCS) -> list[str | None]:

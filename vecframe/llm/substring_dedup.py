@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, discard, materialize, row_keys
+from .common import binary_texts, column, discard, materialize, row_keys
 from .suffix import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 32
@@ -201,7 +201,7 @@ def _cut(with_kept: bool):
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (the bytes left)."""
-    base = docs.select(*row_keys(key, text), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = docs.select(*row_keys(key, text), column(key).cast("long").alias("doc_id"), column(text).alias("text"))
     shape = "ka long, kb long, start int, n int, mini long, digest long"
     found = materialize(base.select("ka", "kb", "text").mapInArrow(_emit, shape), "all-stretches")
     minis = materialize(found.groupBy("mini").agg(F.count("*").alias("times")).where("times > 1").select("mini"), "shared-minimisers")

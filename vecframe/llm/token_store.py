@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, worker_cache
+from .common import column, slices, worker_cache
 from .mph import PerfectHash
 from .wordcache import ByteLevelEncoder
 
@@ -73,7 +73,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "d
             yield pa.RecordBatch.from_pylist([_shard(part, seq, start, width, keys, ids)], schema)
 
     schema = _arrow_schema()
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    rows = docs.select(column(key).cast("long").alias("k"), column(text).alias("t"))
     rows.repartitionByRange("k").sortWithinPartitions("k", "t").mapInArrow(encode, SHARD).write.option("compression", "zstd").parquet(path)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import RecentCache, materialize, slices, worker_cache
+from .common import RecentCache, column, materialize, slices, worker_cache
 
 ROWS = 12_000
 BUCKETS = 1 << 18
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names, *[f"kept_{i}" for i in range(len(keep))]])
 
     names = ["doc_id", "score", "predicted", "n_sentences", "worst_sentence", "offending"]
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text"), *[docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)])
+    rows = docs.select(column(key).cast("long").alias("doc_id"), column(text).alias("__text"), *[column(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     schema = "doc_id long, score double, predicted int, n_sentences int, worst_sentence int, offending array<string>"
     for i, c in enumerate(keep):
         schema += f", kept_{i} {docs.schema[c].dataType.simpleString()}"

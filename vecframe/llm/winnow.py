@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_keys
+from .common import column, materialize, row_keys
 
 SPAN, GRAM = 13, 7
 WINDOW = SPAN - GRAM + 1
@@ -61,7 +61,7 @@ def with_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *row_keys(key, text))
+    return docs.select(column(key).alias("doc_id"), column(text).alias("text"), *row_keys(key, text))
 
 
 def _covered(spans: Column) -> Column:
@@ -80,7 +80,7 @@ def _places_of(n: int) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and ka, kb, the row's identity."""
     base = _keyed(docs, key, text)
-    split = items.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
+    split = items.select(column(item).cast("string").alias("item"), words(column(item_text)).alias("w")).where(F.size("w") > 0)
     split = materialize(split, "items")
     pieces = split.select("item", "w", F.explode(_span(0, F.greatest(F.size("w") - SPAN, F.lit(0)))).alias("at"))
     windows = pieces.select("item", F.array_join(F.slice("w", F.col("at") + 1, SPAN), " ").alias("window"))
