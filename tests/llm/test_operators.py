@@ -263,14 +263,22 @@ def test_winnowing_of_items_without_id(spark, docs):
     assert by_id[5].n_hit == 70 and by_id[5].contaminated and by_id[5].n_items == 2 and by_id[11].contaminated and by_id[11].n_items == 1
 
 
-def test_chunk_bpe(docs, none):
+@pytest.mark.parametrize(("mean", "bits"), [(256, 1 << 26), (24, 1 << 26), (24, 64)])
+def test_chunk_bpe(docs, none, mean, bits):
+    """By chunks of the size in use, by small ones, and with a filter that knows everything."""
     lib, want = load(WORD), []
     for d, t in ROWS:
         ids = lib.encode(t or "", add_special_tokens=False).ids
         text = lib.decode(ids, skip_special_tokens=False)
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-    same(chunk_bpe.encode_decode(docs, WORD).collect(), want)
-    assert chunk_bpe.encode_decode(docs, WORD, payloads=True).where("n_tokens <> octet_length(ids) / 4").count() == 0 and chunk_bpe.encode_decode(none, WORD).count() == 0
+    got = chunk_bpe.encode_decode(docs, WORD, mean=mean, most=bits).collect()
+    same([r[:4] for r in got], want)
+    if mean == 24:
+        shared = [r for r in got if r.doc_id in (5, 7) and r.n_tokens > 50]
+        assert all(r.n_reused > r.n_tokens // 2 for r in shared) and (bits == 64 or not any(r.n_reused for r in got if r.doc_id in (8, 11, 16)))
+    full = chunk_bpe.encode_decode(docs, WORD, payloads=True, mean=mean).collect()
+    same([(r.doc_id, len(r.ids) // 4, hashlib.sha256(bytes(r.ids)).hexdigest(), hashlib.sha256(r.decoded.encode()).hexdigest()) for r in full], want)
+    assert chunk_bpe.encode_decode(none, WORD).count() == 0
 
 
 def brute_components(rows):

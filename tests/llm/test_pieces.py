@@ -1,6 +1,7 @@
 """Parts that need no Spark session."""
 
 import random
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vecframe.llm import avi, compress_quality, jpeg, simhash_vp, substring_dedup, toxicity
-from vecframe.llm.chunk_bpe import ChunkEncoder
+from vecframe.llm import chunk_bpe
+from vecframe.llm.chunk_bpe import ChunkEncoder, Filter
 from vecframe.llm.mph import PerfectHash
 from vecframe.llm.suffix import suffix_array
 from vecframe.llm.wordcache import ByteLevelEncoder, load
@@ -29,7 +31,20 @@ def check(coders, text):
     byte, byte_lib, word, word_lib = coders
     assert byte(text) == np.array(byte_lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     ids = word_lib.encode(text, add_special_tokens=False).ids
-    assert word(text.encode()) == (np.array(ids, "<u4").tobytes(), word_lib.decode(ids, skip_special_tokens=False).encode())
+    data, want = text.encode(), np.array(ids, "<u4").tobytes()
+    assert word.decode(want) == word_lib.decode(ids, skip_special_tokens=False).encode()
+    if not word.plain(data):
+        assert word.whole(data) == want
+        return
+    assert word.run(data) == want
+    # Every chunk shared, cut as often as may be.
+    plain, word.mean = chunk_bpe.cut_points, 2
+    chunk_bpe.cut_points = lambda x, mean: plain(x, mean, 4)
+    try:
+        parts = word.parts(data, Filter(np.full(1, 0xFFFFFFFFFFFFFFFF, np.uint64)))
+    finally:
+        chunk_bpe.cut_points, word.mean = plain, 256
+    assert b"".join(ids + (word.run(data[a:b]) if digest else b"") for ids, digest, a, b in parts) == want
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -43,12 +58,20 @@ def test_encoders_equal_the_library(coders, text):
     check(coders, text)
 
 
-def test_chunks_are_reused_across_documents():
+def test_chunks_are_shared_wherever_a_passage_starts():
     code, passage = ChunkEncoder(WORD), " ".join(f"word{i}" for i in range(3000))
-    code(("first " + passage).encode())
-    before = code.misses
-    code(("another start of it " + passage + " and end").encode())
-    assert before > 10 and code.misses - before <= 3
+    one, two = ({d for _, _, d in code.interiors(x.encode())} for x in ("first " + passage, "another start of it " + passage + " and end"))
+    assert len(one) > 20 and len(one - two) <= 2
+
+
+def test_filter():
+    digests = [np.random.default_rng(i).bytes(16) for i in range(500)]
+    words = np.zeros(256, np.uint64)
+    for d in digests:
+        for x in struct.unpack("<qq", d):
+            words[(x & 16383) >> 6] |= np.uint64(1) << np.uint64(x & 63)
+    known = Filter(words)
+    assert all(d in known for d in digests) and sum(np.random.default_rng(i).bytes(16) in known for i in range(1000, 2000)) < 50
 
 
 @settings(max_examples=150, deadline=None)
