@@ -78,11 +78,15 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
-def test_substring_dedup_in_small_shards_and_by_counting(docs, monkeypatch):
-    """Shards of a few bytes take the path of large groups."""
-    rows = [x.encode() for x in [PASSAGE + " a", PASSAGE + " b c", "z " + PASSAGE]]
-    hits = substring_dedup.counted_windows(rows)
-    assert [h.any() for h in hits] == [True] * 3
+def test_substring_dedup_of_split_minimisers(spark):
+    """Groups over 400 bytes are split by classes, up to the finest."""
+    r = random.Random(11)
+    rows = [(i, prose(r.randrange(30), r) + " " + PASSAGE[r.randrange(60) : 200 + r.randrange(200)] + " " + prose(r.randrange(30), r)) for i in range(60)]
+    rows += [(100, PASSAGE), (100, PASSAGE), (101, "ab" * 500), (102, None), (None, PASSAGE[7:260])]
+    want = [(d, *x) for (d, _), x in zip(rows, substring_dedup.brute_force([(t or "").encode() for _, t in rows]), strict=True)]
+    for shard in (1 << 22, 3000, 400):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard=shard).collect()
+        same([(r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], want)
 
 
 def test_media(docs, none):

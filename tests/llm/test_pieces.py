@@ -81,20 +81,45 @@ def test_suffix_array(symbols):
     assert suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
-def test_repeated_windows_equal_brute_force():
-    r = random.Random(3)
+def mixture(seed):
+    r = random.Random(seed)
     word = lambda n, a: "".join(r.choice(a) for _ in range(n)).encode()
-    for _ in range(8):
-        parts = [word(r.randint(150, 400), "abcdefgh ") for _ in range(4)]
-        docs = [b"".join(r.choice([*parts, word(r.randint(1, 80), "ab ")]) for _ in range(r.randint(1, 5))) for _ in range(8)]
-        docs += [b"a" * r.randint(150, 500), b"xyz" * r.randint(50, 120), b""]
-        want = substring_dedup.brute_force(docs)
-        for found in (substring_dedup.repeated_windows(docs), substring_dedup.counted_windows(docs)):
-            for d, f, (removed, _, _) in zip(docs, found, want, strict=True):
-                gone = np.zeros(len(d), bool)
-                for i in np.flatnonzero(f):
-                    gone[i : i + 200] = True
-                assert gone.sum() == removed
+    parts = [word(r.randint(150, 400), "abcdefgh ") for _ in range(4)]
+    docs = [b"".join(r.choice([*parts, word(r.randint(1, 80), "ab ")]) for _ in range(r.randint(1, 5))) for _ in range(8)]
+    return docs + [b"a" * r.randint(150, 500), b"xyz" * r.randint(50, 120), b""]
+
+
+def removed(doc, windows):
+    gone = np.zeros(len(doc), bool)
+    for i in np.flatnonzero(windows):
+        gone[i : i + 200] = True
+    return gone.sum()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_repeated_windows_equal_brute_force(seed):
+    docs = mixture(seed)
+    want = [n for n, _, _ in substring_dedup.brute_force(docs)]
+    assert [removed(d, f) for d, f in zip(docs, substring_dedup.repeated_windows(docs), strict=True)] == want
+    once = sorted(set(docs))
+    found = dict(zip(once, substring_dedup.repeated_windows(once, [docs.count(d) > 1 for d in once]), strict=True))
+    assert [removed(d, found[d]) for d in docs] == want
+
+
+@pytest.mark.parametrize("level", [0, 1, 2, 3])
+def test_suffix_arrays_decide_every_removed_window(level):
+    """By stretches, classes and the suffix array alone, shard for shard."""
+    docs = [d for d in mixture(level) if len(d) >= 200]
+    shards = {}
+    for i, d in enumerate(docs):
+        for start, n, off, mini in zip(*(x.tolist() for x in substring_dedup.stretches(np.frombuffer(d, np.uint8))), strict=True):
+            for shard, first, k in substring_dedup.classes(d, start, n, off, level) if level else [(mini, 0, n)]:
+                shards.setdefault(shard, []).append((i, start + first, d[start + first : start + first + k + 199]))
+    windows = [np.zeros(len(d), bool) for d in docs]
+    for rows in shards.values():
+        for (i, at, _), f in zip(rows, substring_dedup.repeated_windows([b for _, _, b in rows]), strict=True):
+            windows[i][at : at + len(f)] |= f
+    assert [removed(d, f) for d, f in zip(docs, windows, strict=True)] == [n for n, _, _ in substring_dedup.brute_force(docs)]
 
 
 @settings(max_examples=60, deadline=None)

@@ -7,13 +7,17 @@ strings are judged on the input. All distinct strings that can be equal meet in
    same minimiser form a stretch; equal windows lie in stretches of equal minimiser. Stretches (about one in 85
    bytes) move as hashes only, and those whose minimiser occurs once are dropped, by counts aggregated before the
    shuffle and a join that can split hot keys.
-2. Equal stretches that occur twice repeat as a whole. Of stretches that share a minimiser but differ, one text each
-   goes to the minimiser's shard, however often it occurs.
+2. Of equal stretches one text goes to the minimiser's shard, with the number of times that it occurs.
 3. A shard of such texts is sorted by induced sorting (suffix.py). Equal windows are neighbours in suffix order, and
-   the common prefixes of neighbours, in text order, tell which windows occur twice.
+   the common prefixes of neighbours, in text order, tell which windows occur twice; so do all windows of a text
+   that occurs twice itself.
 4. The windows found are brought back to the documents by hash joins, and their union is cut out.
 
-A minimiser whose texts exceed ``SHARD`` bytes is not sorted but has its windows counted by 128-bit digest.
+Equal windows have the minimiser at the same place. A minimiser with more than ``SHARD`` bytes of distinct texts is
+therefore split: its windows fall into 2, 4 or 8 classes by that place, the windows of a class share the bytes that
+all of them have around the minimiser if they are equal, and each such string of bytes has a shard of its own. The
+shards are sorted in the same way.
+
 Stretches are identified by two 64-bit hashes. Texts are UTF-8, null is empty; texts under SPAN bytes stay whole;
 rows equal in doc_id and text are separate occurrences; an empty table gives no rows. What is left may be cut inside
 a character, so it is returned as bytes.
@@ -34,7 +38,8 @@ from .common import binary_texts, column, discard, materialize, row_keys
 from .suffix import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 32
-SHARD = 4 << 20
+#: Bytes of a shard, and the most that its classes are halved.
+SHARD, LEVELS = 4 << 20, 3
 _TABLE = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -50,8 +55,8 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def stretches(data: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text of at least span bytes: start, windows and minimiser of each stretch."""
+def stretches(data: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text of at least span bytes: start, windows, minimiser's place after the start, and minimiser of each stretch."""
     h = gram_hashes(data)
     x = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
     wide, width = span - GRAM + 1, 1
@@ -62,49 +67,53 @@ def stretches(data: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarra
         x = np.minimum(x[: len(x) - (wide - width)], x[wide - width :])
     at = (x & _LOW).astype(np.int64)
     start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return start, np.diff(np.append(start, len(at))), h[at[start]]
+    return start, np.diff(np.append(start, len(at))), at[start] - start, h[at[start]]
 
 
 def _emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (ka, kb, text): a row for each stretch."""
     for batch in batches:
-        index, starts, counts, minis, digests = [], [], [], [], []
+        index, numbers, minis, digests = [], [], [], []
         for i, text in enumerate(binary_texts(batch.column(2))):
             if len(text) < SPAN:
                 continue
-            start, count, mini = stretches(np.frombuffer(text, np.uint8))
+            start, count, off, mini = stretches(np.frombuffer(text, np.uint8))
             index.append(np.full(len(start), i))
-            starts.append(start)
-            counts.append(count)
+            numbers.append(np.stack([start, count, off]))
             minis.append(mini)
             view = memoryview(text)
             digests += [xxhash.xxh3_64_intdigest(view[a : a + n + SPAN - 1]) for a, n in zip(start.tolist(), count.tolist(), strict=True)]
         if index:
-            take = pa.array(np.concatenate(index))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32)),
-                    pa.array(np.concatenate(minis).view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)),
-                ],
-                ["ka", "kb", "start", "n", "mini", "digest"],
-            )
+            take, places = pa.array(np.concatenate(index)), np.concatenate(numbers, axis=1).astype(np.int32)
+            hashes = [pa.array(x.view(np.int64)) for x in (np.concatenate(minis), np.array(digests, np.uint64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, places), *hashes], ["ka", "kb", "start", "n", "off", "mini", "digest"])
+
+
+def classes(text: bytes, start: int, n: int, off: int, level: int) -> Iterator[tuple[int, int, int]]:
+    """Of a stretch: the shard, first window and number of windows of each of its 2 ** level classes that has any."""
+    at, room, many = start + off, SPAN - GRAM, 1 << level
+    for c in range(many):
+        low, high = -(-c * (room + 1) // many), -(-(c + 1) * (room + 1) // many) - 1  # of the minimiser's place in the window
+        first, last = max(0, off - high), min(n - 1, off - low)
+        if first <= last:
+            yield xxhash.xxh3_64_intdigest(text[at - low : at - high + SPAN], 8 * level + c) - (1 << 63), first, last - first + 1
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text, wanted): the text of each stretch that is wanted."""
+    """From (doc_id, text, wanted): the text of each stretch that is wanted, with its shard."""
+    names, kinds = ["shard", "mini", "digest", "first", "many", "body"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
     for batch in batches:
-        mini, digest, many, body = [], [], [], []
+        rows: list[tuple] = []
         for text, wanted in zip(binary_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             for w in wanted:
-                mini.append(w["mini"])
-                digest.append(w["digest"])
-                many.append(w["many"])
-                body.append(text[w["start"] : w["start"] + w["n"] + SPAN - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(mini, pa.int64()), pa.array(digest, pa.int64()), pa.array(many, pa.bool_()), pa.array(body, pa.binary())], ["mini", "digest", "many", "body"])
+                start, n = w["start"], w["n"]
+                found = classes(text, start, n, w["off"], w["level"]) if w["level"] else [(w["mini"], 0, n)]
+                rows += [(shard, w["mini"], w["digest"], first, w["many"], text[start + first : start + first + k + SPAN - 1]) for shard, first, k in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def repeated_windows(bodies: list[bytes], span: int = SPAN) -> list[np.ndarray]:
-    """Which windows of each text also start elsewhere in these texts, by a suffix array."""
+def repeated_windows(bodies: list[bytes], many: list[bool] | None = None, span: int = SPAN) -> list[np.ndarray]:
+    """Which windows of each text also start elsewhere in these texts, by a suffix array; many: the texts that occur twice."""
     sizes = np.array([len(b) for b in bodies])
     ends = np.cumsum(sizes + 1)  # one separator after each text
     starts = ends - sizes - 1
@@ -125,47 +134,42 @@ def repeated_windows(bodies: list[bytes], span: int = SPAN) -> list[np.ndarray]:
     prefix[order[1:]] = same
     twice = prefix >= span
     twice[order[:-1][same >= span]] = True
+    for a, n, often in zip(starts.tolist(), sizes.tolist(), many or [False] * len(bodies), strict=True):
+        twice[a : a + n] |= often
     return [twice[a : a + max(0, n - span + 1)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
-def counted_windows(bodies: list[bytes], span: int = SPAN) -> list[np.ndarray]:
-    """The same by counting digests, for more text than is sorted at once."""
-    counts = [max(0, len(b) - span + 1) for b in bodies]
-    keys = np.concatenate([np.frombuffer(b"".join(xxhash.xxh3_128_digest(b[i : i + span]) for i in range(n)), "<u8").reshape(-1, 2) for b, n in zip(bodies, counts, strict=True)])
-    _, inverse, times = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
-    return np.split(times[inverse.ravel()] > 1, np.cumsum(counts)[:-1])
-
-
 def _sorted_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (mini, digest, many, body) sorted by mini: the windows of each stretch that repeat (null: all)."""
-    ready: dict = {}
-    group: dict = {}
-    size = group_size = 0
-    last = None
+    """From (shard, mini, digest, first, many, body) sorted by shard: the windows of each stretch that repeat.
 
-    def close(rows: dict, total: int) -> Iterator[pa.RecordBatch]:
-        if rows:
-            found = (repeated_windows if total <= 2 * SHARD else counted_windows)([b for _, b in rows.values()])
-            out = [(m, d, None if many or f.all() else np.packbits(f).tobytes()) for ((m, d), (many, _)), f in zip(rows.items(), found, strict=True) if many or f.any()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["mini", "digest", "windows"])
+    Small shards are sorted together, up to SHARD bytes.
+    """
 
+    def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            found = repeated_windows([r[4] for r in rows], [r[3] for r in rows])
+            out = [(m, d, first, len(f), np.packbits(f).tobytes()) for (m, d, first, _, _), f in zip(rows, found, strict=True) if f.any()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["mini", "digest", "first", "count", "windows"])
+
+    ready: list[tuple] = []
+    group: list[tuple] = []
+    size, group_size, last = 0, 0, None
     for batch in batches:
-        for mini, digest, many, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if mini != last:
+        for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != last:
                 if size + group_size > SHARD:
-                    yield from close(ready, size)
-                    ready, size = {}, 0
-                ready |= group
+                    yield from close(ready)
+                    ready, size = [], 0
+                ready += group
                 size += group_size
-                group, group_size, last = {}, 0, mini
-            if (mini, digest) not in group:
-                group[mini, digest] = many, body
-                group_size += len(body)
+                group, group_size, last = [], 0, shard
+            group.append(tuple(row))
+            group_size += len(row[4])
     if size + group_size > SHARD:
-        yield from close(ready, size)
-        ready, size = {}, 0
-    yield from close(ready | group, size + group_size)
+        yield from close(ready)
+        ready = []
+    yield from close(ready + group)
 
 
 def _cut(with_kept: bool):
@@ -177,13 +181,9 @@ def _cut(with_kept: bool):
                 if hits:
                     marks = np.zeros(len(text) + 1, np.int32)
                     for h in hits:
-                        if h["windows"] is None:
-                            marks[h["start"]] += 1
-                            marks[h["start"] + h["n"] + SPAN - 1] -= 1
-                        else:
-                            s = h["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(h["windows"], np.uint8), count=h["n"]))
-                            marks[s] += 1
-                            marks[s + SPAN] -= 1
+                        at = h["start"] + h["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(h["windows"], np.uint8), count=h["count"]))
+                        marks[at] += 1
+                        marks[at + SPAN] -= 1
                     gone = np.cumsum(marks[:-1]) > 0
                     removed = int(gone.sum())
                     spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
@@ -199,26 +199,27 @@ def _cut(with_kept: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (the bytes left)."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: bool = True, shard: int = SHARD) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (the bytes left).
+
+    A minimiser with more than ``shard`` bytes of distinct texts is split by classes.
+    """
     base = docs.select(*row_keys(key, text), column(key).cast("long").alias("doc_id"), column(text).alias("text"))
-    shape = "ka long, kb long, start int, n int, mini long, digest long"
+    shape = "ka long, kb long, start int, n int, off int, mini long, digest long"
     found = materialize(base.select("ka", "kb", "text").mapInArrow(_emit, shape), "all-stretches")
     minis = materialize(found.groupBy("mini").agg(F.count("*").alias("times")).where("times > 1").select("mini"), "shared-minimisers")
     shared = materialize(found.join(minis, "mini").select(*found.columns), "stretches")  # a hot minimiser's rows split over tasks
     discard(found)
-    place = F.min(F.struct("ka", "kb", "start", "n")).alias("place")
-    distinct = shared.groupBy("mini", "digest").agg(F.count("*").alias("times"), place)
-    mixed = distinct.groupBy("mini").agg((F.count("*") > 1).alias("mixed"))
-    distinct = materialize(distinct.join(mixed, "mini"), "distinct-stretches")
-    wanted = distinct.where("mixed").select("place.*", "mini", "digest", (F.col("times") > 1).alias("many"))
-    wanted = wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("start", "n", "mini", "digest", "many")).alias("wanted"))
-    texts = base.join(wanted, ["ka", "kb"]).select("doc_id", "text", "wanted").mapInArrow(_texts, "mini long, digest long, many boolean, body binary")
-    texts = texts.repartition("mini").sortWithinPartitions("mini")
-    windows = texts.mapInArrow(_sorted_shards, "mini long, digest long, windows binary")
-    whole = distinct.where("not mixed and times > 1").select("mini", "digest", F.lit(None).cast("binary").alias("windows"))
-    hits = shared.join(windows.unionByName(whole), ["mini", "digest"]).groupBy("ka", "kb")
-    hits = hits.agg(F.collect_set(F.struct("start", "n", "windows")).alias("hits"))
+    place = F.min(F.struct("ka", "kb", "start", "n", "off")).alias("place")
+    distinct = shared.groupBy("mini", "digest").agg((F.count("*") > 1).alias("many"), place)
+    distinct = materialize(distinct.select("mini", "digest", "many", "place.*"), "distinct-stretches")
+    halvings = F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("bytes") / shard))).cast("int")
+    large = distinct.groupBy("mini").agg(F.sum(F.col("n") + SPAN - 1).alias("bytes")).where(F.col("bytes") > shard).select("mini", halvings.alias("level"))
+    wanted = distinct.join(materialize(large, "large-minimisers"), "mini", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    wanted = wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("start", "n", "off", "mini", "digest", "many", "level")).alias("wanted"))
+    texts = base.join(wanted, ["ka", "kb"]).select("doc_id", "text", "wanted").mapInArrow(_texts, "shard long, mini long, digest long, first int, many boolean, body binary")
+    windows = texts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sorted_shards, "mini long, digest long, first int, count int, windows binary")
+    hits = shared.join(windows, ["mini", "digest"]).groupBy("ka", "kb").agg(F.collect_set(F.struct("start", "first", "count", "windows")).alias("hits"))
     out = base.join(hits, ["ka", "kb"], "left").select("doc_id", "text", "hits")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
     return out.mapInArrow(_cut(kept), schema)

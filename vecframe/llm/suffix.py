@@ -13,8 +13,8 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 
 def _deal(sa: np.ndarray, symbols: np.ndarray, suffixes: np.ndarray, at: np.ndarray, step: int) -> None:
-    """Put suffixes, in order, at the heads (step 1) or tails (step -1) of their symbols' buckets."""
-    order = np.argsort(symbols, kind="stable")
+    """Put suffixes, in order, at the heads (step 1) or tails (step -1) of their symbols' buckets, by a radix pass."""
+    order = np.argsort(symbols, kind="stable")  # symbols have 16 bits, for which this is a radix sort
     s = symbols[order]
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     counts = np.diff(np.append(first, len(s)))
