@@ -1,6 +1,7 @@
 """Every operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -58,14 +59,25 @@ def test_token_shards(spark, docs, none, tmp_path):
         token_store.write_token_shards(docs, path, BYTE, shard_bytes=size)
         got = token_store.read_token_shards(spark, path).collect()
         lib, want, start = load(BYTE), [], 0
-        for d, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        texts = spark.createDataFrame([(t,) for _, t in ROWS], "t string").select("t", token_store.order_of_text("t").alias("h"))
+        order = {r.t: (r.h is not None, r.h) for r in texts.collect()}
+        for d, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, *order[r[1]])):
             ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
             want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
         same([(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got], want)
         assert all(r.by_index == (r.doc_id is not None) for r in got)
         assert token_store.lookup(spark, path, 11) == [[*lib.encode("tiny", add_special_tokens=False).ids, 2]]
-        assert len(token_store.lookup(spark, path, 7)) == 3 and token_store.lookup(spark, path, 999) == []
+        assert sorted(token_store.lookup(spark, path, 7)) == sorted([*lib.encode(t, add_special_tokens=False).ids, 2] for d, t in ROWS if d == 7)
+        assert token_store.lookup(spark, path, 999) == [] and len(token_store.lookup(spark, path, 10)[0]) > 4000
+    hot = spark.createDataFrame([(1, "a copy")] * 60 + [(1, f"text {i}") for i in range(60)] + [(None, "x")] * 60, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows are one task's
+    token_store.write_token_shards(hot, str(tmp_path / "h"), BYTE)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_store.read_token_shards(spark, str(tmp_path / "h"))
+    assert got.count() == 180 and got.select("shard").distinct().count() > 2 and len(token_store.lookup(spark, str(tmp_path / "h"), 1)) == 120
+    starts = sorted((r.start, r.n_tokens) for r in got.collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     token_store.write_token_shards(none, str(tmp_path / "n"), BYTE)
     assert token_store.read_token_shards(spark, str(tmp_path / "n")).count() == 0
 
@@ -89,15 +101,50 @@ def test_substring_dedup_of_split_minimisers(spark):
         same([(r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], want)
 
 
-def test_media(docs, none):
-    got = {r.doc_id: r for r in avi.probe_media(avi.store(docs)).where("doc_id is not null and doc_id <> 7").collect()}
-    for d, t in ROWS:
+def brute_shots(text):
+    """Shots of a text's frames in plain Python."""
+    size, frame = max(192, -(-len(text) // 192) * 192), min(3072, max(192, -(-len(text) // 192) * 192))
+    counts = [[0] * 32 for _ in range(-(-size // frame))]
+    for i, b in enumerate(text):
+        counts[i // frame][b // 8] += 1
+    starts, recent = [0], []
+    for i in range(1, len(counts)):
+        n, m = sum(counts[i - 1]), sum(counts[i])
+        if m:
+            d = sum(abs(a / n - b / m) for a, b in zip(counts[i - 1], counts[i])) / 2
+            mean = sum(recent[-8:]) / max(1, len(recent[-8:]))
+            spread = (sum((x - mean) ** 2 for x in recent[-8:]) / max(1, len(recent[-8:]))) ** 0.5
+            limit = (max(0.25, mean + 3 * spread) if len(recent) >= 3 else 0.5) + (32 / (2 * math.pi * m)) ** 0.5
+            recent = [*recent, d]
+            if d > limit:
+                starts, recent = [*starts, i], []
+    found = zip(starts, [*[s - 1 for s in starts[1:]], len(counts) - 1])
+    return f"fps=25;frames={len(counts)};shots=" + ",".join(f"{a}-{b}@{40 * a}-{40 * (b + 1)}ms" for a, b in found)
+
+
+def test_media(spark, docs, none):
+    r = random.Random(7)
+    junk = "".join(r.choice("0123456789+/=") for _ in range(9000))
+    more = [(200, prose(600)), (201, prose(1500) + junk), (202, junk + prose(3000) + junk[:3500]), (203, "x" * 3073), (204, prose(620)[:3080]), (205, (prose(900)[:3072] + "é" * 1500) * 3)]
+    rows, frame = ROWS + more, docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r for r in avi.probe_media(avi.store(frame)).where("doc_id is not null and doc_id <> 7").collect()}
+    for d, t in rows:
         if d in got:
-            p = avi.pad((t or "").encode())
+            data = (t or "").encode()
+            p = avi.pad(data)
             r = got[d]
-            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
-            assert r.media_sha256 == hashlib.sha256(avi.write(p, r.n_bytes)).hexdigest() and r.feature.startswith("fps=25")
-    assert avi.store(none).count() == 0 and avi.clips(avi.store(docs)).where("doc_id = 10").count() >= 1
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+            assert r.media_sha256 == hashlib.sha256(avi.write(p, r.n_bytes)).hexdigest() and r.feature == brute_shots(data)
+            assert r.feature.endswith(",".join(f"{c.first_frame}-{c.last_frame}@{c.start_ms}-{c.end_ms}ms" for c in r.clips))
+    assert [len(got[d].clips) for d in (10, 200, 201, 203, 204)] == [1, 1, 2, 1, 1] and len(got[202].clips) >= 3
+    clips = avi.clips(avi.store(frame)).where("doc_id = 202").orderBy("clip").collect()
+    assert [(c.first_frame, c.end_ms) for c in clips] == [(c.first_frame, c.end_ms) for c in got[202].clips] and avi.store(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 3070, 3073, 3264, 6200, 20000])
+def test_homogeneous_text_is_one_shot(n):
+    text = prose(6000)[:n].encode()
+    assert len(avi.media(avi.write(avi.pad(text), n))[1]) == 1
 
 
 def labelled(spark, n=240):
@@ -134,6 +181,8 @@ def test_quality(spark, docs, none):
     assert np.mean([r.predicted == r.quality for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]) >= 0.9
     assert len(compress_quality.score(docs, model).collect()) == len(ROWS) and compress_quality.score(none, model).count() == 0
     assert compress_quality.score(docs, compress_quality.fit(train, labels.limit(0))).first().score == 0.5
+    few = compress_quality.fit(train, labels, most=20_000)
+    assert few.constant is None and len(few.good) < len(model.good) and compress_quality.fit(train, labels, most=10).constant == 0.5
 
 
 @pytest.mark.parametrize("min_docs", [2, 3])

@@ -123,13 +123,15 @@ def test_suffix_arrays_decide_every_removed_window(level):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=300))
+@given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=300) | st.integers(1, 4000).map(lambda n: set(range(-n, 3 * n, 3))))
 def test_perfect_hash(keys):
     keys = np.array(sorted(keys), np.int64)
     found = PerfectHash.load(PerfectHash.build(keys).dump())
     assert sorted(found.slots(keys).tolist()) == list(range(len(keys)))
     foreign = np.array([k for k in range(1000) if k not in set(keys.tolist())])
     assert (found.slots(foreign) < 0).all()
+    data = PerfectHash.build(keys).dump()
+    assert [PerfectHash.probe(data, int(k)) for k in keys] == found.slots(keys).tolist() and PerfectHash.probe(data, int(foreign[0])) == -1
 
 
 @pytest.mark.parametrize("text", [b"", b"a", b"hello " * 1000, bytes(range(256)) * 40])
@@ -158,8 +160,8 @@ def test_general_jpeg_decoding_by_symbols():
 def test_shots_are_found_where_histograms_jump():
     dark, light = np.zeros(avi.BINS), np.zeros(avi.BINS)
     dark[0] = light[-1] = 1
-    assert avi.shots([dark] * 5 + [light] * 4) == [(0, 4), (5, 8)]
-    assert avi.shots([]) == []
+    assert avi.shots([1000 * dark] * 5 + [1000 * light] * 4) == [(0, 4), (5, 8)]
+    assert avi.shots([1000 * dark] * 5 + [light]) == [(0, 5)] and avi.shots([1000 * dark, 0 * dark]) == [(0, 1)] and avi.shots([]) == []
     frames = [jpeg.encode(bytes([v]) * 192) for v in (1, 1, 250)]
     assert [avi.histogram(jpeg.blocks(f)).argmax() for f in frames] == [0, 0, 31]
 

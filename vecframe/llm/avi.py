@@ -2,12 +2,14 @@
 
 ``store`` turns texts into AVI files: the UTF-8 bytes, padded with spaces to a positive multiple of 192, are samples
 of grey JPEG frames (one byte is one flat block, see jpeg.py), at most ``FRAME`` bytes in each; the last frame is
-filled with zeros. ``probe`` parses a file by its RIFF index, decodes its intra frames, and finds the payload, its
-digests, and shots. ``clips`` gives a row for each shot, with times. ``probe_media`` and ``clips`` read any AVI whose
+filled up with its own bytes again. ``probe_media`` parses a file by its RIFF index, decodes its intra frames, and
+finds the payload, its digests, and shots. ``clips`` gives a row for each shot, with times. Both read any AVI whose
 frames are baseline JPEG.
 
-Shots: the luma histograms of neighbouring frames are compared; a shot begins where the difference is over the mean
-of the last ``MEMORY`` differences by three of their deviations and over ``FLOOR``.
+Shots: the luma histograms of neighbouring frames are compared; of our own files they leave out what isn't text. A
+shot begins where the difference is over the mean of the last ``MEMORY`` ones of this shot by three of their
+deviations, and over ``FLOOR``; until a shot has ``WARM`` differences, where it is over ``FIRST``. What frames of so
+few samples differ by chance is added to the limit, so a last frame of a few bytes begins no shot.
 
 Null texts count as empty (192 spaces); equal texts give equal files; an empty table gives no rows.
 """
@@ -28,7 +30,7 @@ from . import jpeg
 from .common import binary_texts, column
 
 UNIT, FRAME, FPS = 192, 3072, 25
-BINS, MEMORY, FLOOR = 32, 8, 0.25
+BINS, MEMORY, FLOOR, WARM, FIRST = 32, 8, 0.25, 3, 0.5
 #: Bytes of media after which a batch is passed on.
 BATCH = 32 << 20
 
@@ -48,7 +50,7 @@ def pad(data: bytes) -> bytes:
 def write(payload: bytes, n_bytes: int) -> bytes:
     """An AVI file of the payload; n_bytes of it are text."""
     frame = min(len(payload), FRAME)
-    frames = [jpeg.encode(payload[i : i + frame].ljust(frame, b"\0")) for i in range(0, len(payload), frame)]
+    frames = [jpeg.encode(np.resize(np.frombuffer(payload, np.uint8, min(frame, len(payload) - i), i), frame).tobytes()) for i in range(0, len(payload), frame)]
     wide, high = jpeg.BLOCKS_WIDE * 8, frame // jpeg.BLOCKS_WIDE * 8
     most = max(map(len, frames))
     avih = struct.pack("<14I", 1_000_000 // FPS, most * FPS, 0, 0x10, len(frames), 0, 1, most, wide, high, 0, 0, 0, 0)
@@ -111,19 +113,27 @@ def parse(data: bytes) -> dict:
 
 
 def histogram(samples: np.ndarray) -> np.ndarray:
-    counts = np.bincount(samples.ravel() >> 3, minlength=BINS)
-    return counts / max(1, counts.sum())
+    """How many samples each bin has."""
+    return np.bincount(samples.ravel() >> 3, minlength=BINS)
+
+
+def chance(n: int) -> float:
+    """About half the absolute difference of two histograms of which the smaller has n samples."""
+    return float(np.sqrt(BINS / (2 * np.pi * n)))
 
 
 def shots(histograms: list[np.ndarray]) -> list[tuple[int, int]]:
     """(first, last) frame of each shot."""
     if not histograms:
         return []
-    jumps = [float(np.abs(a - b).sum()) / 2 for a, b in zip(histograms, histograms[1:], strict=False)]
     starts, recent = [0], []
-    for i, d in enumerate(jumps, 1):
-        limit = np.mean(recent) + 3 * np.std(recent) if recent else 0.0
-        if d > FLOOR and d > limit:
+    for i, (a, b) in enumerate(zip(histograms, histograms[1:], strict=False), 1):
+        n, m = int(a.sum()), int(b.sum())
+        if not n or not m:
+            continue
+        d = float(np.abs(a / n - b / m).sum()) / 2
+        limit = FIRST if len(recent) < WARM else max(FLOOR, float(np.mean(recent) + 3 * np.std(recent)))
+        if d > limit + chance(min(n, m)):
             starts.append(i)
             recent = []
         else:
@@ -136,8 +146,12 @@ def media(data: bytes) -> tuple[bytes | None, list[tuple[int, int]], float]:
     found = parse(data)
     words = found["comment"].split()
     if words[:1] == ["payload"]:
+        size, n_text, at, counts = int(words[1]), int(words[3]), 0, []
         values = [jpeg.blocks(x) for x in found["frames"]]
-        return b"".join(x.tobytes() for x in values)[: int(words[1])], shots([histogram(x) for x in values]), found["fps"]
+        for x in values:
+            counts.append(histogram(x[: max(0, n_text - at)]))
+            at += len(x)
+        return b"".join(x.tobytes() for x in values)[:size], shots(counts), found["fps"]
     return None, shots([histogram(jpeg.decode(x)[0]) for x in found["frames"]]), found["fps"]
 
 
@@ -166,26 +180,33 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(column(key).cast("long").alias("doc_id"), column(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+CLIPS = pa.list_(pa.struct([(n, pa.int32()) for n in ("first_frame", "last_frame", "start_ms", "end_ms")]))
+
+
+def timed(found: list[tuple[int, int]], fps: float) -> list[dict]:
+    return [{"first_frame": a, "last_frame": b, "start_ms": round(1000 * a / fps), "end_ms": round(1000 * (b + 1) / fps)} for a, b in found]
+
+
 def probe_media(files: DataFrame) -> DataFrame:
-    """From doc_id, n_bytes, media: payload and media sizes and digests, and the shots as a string (feature)."""
+    """From doc_id, n_bytes, media: payload and media sizes and digests, the shots as a string (feature) and as timed clips."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for x in batch.column(2).to_pylist():
                 payload, found, fps = media(x or b"") if x else (None, [], float(FPS))
                 row = (
                     None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest(),
-                    None if payload is None else zlib.crc32(payload[-16:]), len(x or b""), hashlib.sha256(x or b"").hexdigest(), describe(found, fps),
+                    None if payload is None else zlib.crc32(payload[-16:]), len(x or b""), hashlib.sha256(x or b"").hexdigest(), describe(found, fps), timed(found, fps),
                 )
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                for column_, value in zip(out, row, strict=True):
+                    column_.append(value)
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), CLIPS]
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{schema}, clips array<struct<first_frame: int, last_frame: int, start_ms: int, end_ms: int>>")
 
 
 def clips(files: DataFrame) -> DataFrame:
@@ -196,7 +217,7 @@ def clips(files: DataFrame) -> DataFrame:
             rows = []
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, found, fps = media(x) if x else (None, [], 1.0)
-                rows += [{"doc_id": k, "clip": i, "first_frame": a, "last_frame": b, "start_ms": round(1000 * a / fps), "end_ms": round(1000 * (b + 1) / fps)} for i, (a, b) in enumerate(found)]
+                rows += [{"doc_id": k, "clip": i, **x} for i, x in enumerate(timed(found, fps))]
             schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int32()) for n in ("clip", "first_frame", "last_frame", "start_ms", "end_ms")]])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
