@@ -6,7 +6,8 @@ import struct
 
 import numpy as np
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bits for each of which a rank is stored.
+BLOCK = 512
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -65,14 +66,38 @@ class PerfectHash:
         return out
 
     def dump(self) -> bytes:
-        head = struct.pack("<II", len(self.fingerprints), len(self.levels)) + b"".join(struct.pack("<I", len(x)) for x in self.levels)
-        return head + b"".join(np.packbits(x).tobytes() for x in self.levels) + self.fingerprints.astype("<u4").tobytes()
+        """Numbers of keys, levels and bits; each level's bits and the ranks at its blocks; fingerprints."""
+        out = [struct.pack("<II", len(self.fingerprints), len(self.levels)), *(struct.pack("<I", len(x)) for x in self.levels)]
+        for level, rank in zip(self.levels, self.ranks, strict=True):
+            out += [np.packbits(level, bitorder="little").tobytes(), rank[::BLOCK].astype("<u4").tobytes()]
+        return b"".join(out) + self.fingerprints.astype("<u4").tobytes()
+
+    @staticmethod
+    def _places(data: bytes) -> tuple[int, list[tuple[int, int, int]], int]:
+        """Keys; bits, and where bits and ranks start, of each level; where fingerprints start."""
+        n, k = struct.unpack_from("<II", data)
+        at, out = 8 + 4 * k, []
+        for size in struct.unpack_from(f"<{k}I", data, 8):
+            ranks = at + (size + 7) // 8
+            out.append((size, at, ranks))
+            at = ranks + 4 * -(-size // BLOCK)
+        return n, out, at
 
     @classmethod
     def load(cls, data: bytes) -> PerfectHash:
-        n, k = struct.unpack_from("<II", data)
-        sizes, at, levels = struct.unpack_from(f"<{k}I", data, 8), 8 + 4 * k, []
-        for size in sizes:
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, (size + 7) // 8, at), count=size))
-            at += (size + 7) // 8
+        n, places, at = cls._places(data)
+        levels = [np.unpackbits(np.frombuffer(data, np.uint8, (size + 7) // 8, bits), count=size, bitorder="little") for size, bits, _ in places]
         return cls(levels, np.frombuffer(data, "<u4", n, at).copy())
+
+    @classmethod
+    def probe(cls, data: bytes, key: int) -> int:
+        """The slot of one key in what dump wrote, -1 if it is foreign: a bit, a rank and a block a level are read."""
+        x, (_, places, prints) = np.array([key]).astype(np.uint64), cls._places(data)
+        for i, (size, bits, ranks) in enumerate(places):
+            at = int(mix(x, i + 1)[0] % np.uint64(size))
+            if data[bits + (at >> 3)] >> (at & 7) & 1:
+                block = at // BLOCK
+                ahead = int.from_bytes(data[bits + block * (BLOCK // 8) : bits + (at >> 3) + 1], "little") & ((1 << at % BLOCK) - 1)
+                slot = struct.unpack_from("<I", data, ranks + 4 * block)[0] + ahead.bit_count()
+                return slot if struct.unpack_from("<I", data, prints + 4 * slot)[0] == int(cls.fingerprint(x)[0]) else -1
+        return -1

@@ -9,20 +9,25 @@ The file format is a Parquet dataset with one row per shard:
   ``first_row`` / ``row_count`` give, by its slots, the rows of a key;
 * ``min_key, max_key`` route a key to its shards (Parquet statistics prune the others).
 
-Rows are in ascending key order, nulls first; rows of equal key are ordered by text. A shard is closed when
-its payload reaches ``shard_bytes``, so it holds at most that plus one document. Null text is empty (its only
+Rows are in ascending key order, nulls first; rows of equal key are ordered by a hash of their text (null before
+empty), and copies by where they were read, so that even one key's rows are dealt to many tasks. A shard is closed
+when its payload reaches ``shard_bytes``, so it holds at most that plus one document. Null text is empty (its only
 id is the end id); an empty table makes an empty dataset; other columns are ignored.
+
+A key is looked up in constant time: its shard by the key ranges, its slot by one probed bit a level and a sampled
+rank, and of the payload only the key's own bytes leave the files' reader.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, slices, worker_cache
@@ -51,6 +56,11 @@ def _shard(part: int, seq: int, part_start: int, width: int, keys: list, ids: li
     }
 
 
+def order_of_text(text: str) -> Column:
+    """What rows of equal key are ordered by."""
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
+
+
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every text, append end_id and write the shards described above to path."""
     from tokenizers import Tokenizer
@@ -73,8 +83,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "d
             yield pa.RecordBatch.from_pylist([_shard(part, seq, start, width, keys, ids)], schema)
 
     schema = _arrow_schema()
-    rows = docs.select(column(key).cast("long").alias("k"), column(text).alias("t"))
-    rows.repartitionByRange("k").sortWithinPartitions("k", "t").mapInArrow(encode, SHARD).write.option("compression", "zstd").parquet(path)
+    rows = docs.select(column(key).cast("long").alias("k"), column(text).alias("t")).select("*", order_of_text("t").alias("h"), F.monotonically_increasing_id().alias("i"))
+    rows.repartitionByRange("k", "h", "i").sortWithinPartitions("k", "h", "i").select("k", "t").mapInArrow(encode, SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def _arrow_schema() -> pa.Schema:
@@ -122,15 +132,20 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
 
 def lookup(spark: SparkSession, path: str, key: int) -> list[list[int]]:
     """The ids of each row of a key, end id included; empty for a key that isn't there."""
-    shards = spark.read.schema(SHARD).parquet(path).where((F.col("min_key") <= key) & (F.col("max_key") >= key)).orderBy("part", "seq")
+    shards = spark.read.schema(SHARD).parquet(path)
+    index = shards.where((F.col("min_key") <= key) & (F.col("max_key") >= key)).select("part", "seq", "width", "index", "first_row", "row_count").orderBy("part", "seq")
     out = []
-    for x in shards.toLocalIterator():
-        slot = int(PerfectHash.load(x["index"]).slots(np.array([key]))[0])
+    for x in index.toLocalIterator():
+        slot = PerfectHash.probe(x["index"], key)
         if slot < 0:
             continue
-        first, n = int(np.frombuffer(x["first_row"], "<u4")[slot]), int(np.frombuffer(x["row_count"], "<u4")[slot])
-        if int(np.frombuffer(x["keys"], "<i8")[first]) != key:  # a foreign key with the same fingerprint
+        first, n = (struct.unpack_from("<I", x[c], 4 * slot)[0] for c in ("first_row", "row_count"))
+        one = shards.where((F.col("part") == x["part"]) & (F.col("seq") == x["seq"]))
+        near = one.select(F.substring("keys", 8 * first + 1, 8).alias("key"), F.substring("offsets", 8 * first + 1, 8 * (n + 1)).alias("offsets")).first()
+        if struct.unpack("<q", near["key"])[0] != key:  # a foreign key with the same fingerprint
             continue
-        offsets, ids = np.frombuffer(x["offsets"], "<u8"), np.frombuffer(x["payload"], f"<u{x['width']}")
-        out += [ids[int(offsets[r]) : int(offsets[r + 1])].tolist() for r in range(first, first + n)]
+        offsets = np.frombuffer(near["offsets"], "<u8").astype(np.int64)
+        low, high = int(offsets[0]) * x["width"], int(offsets[-1]) * x["width"]
+        ids = np.frombuffer(one.select(F.substring("payload", low + 1, high - low).alias("ids")).first()["ids"], f"<u{x['width']}")
+        out += [ids[a:b].tolist() for a, b in zip(offsets - offsets[0], offsets[1:] - offsets[0], strict=False)]
     return out
