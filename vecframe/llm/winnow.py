@@ -50,9 +50,10 @@ def winnowed(hashes: str) -> Column:
     return F.array_distinct(F.transform(F.when(F.size(hashes) > 0, _span(0, last)).otherwise(F.array().cast("array<int>")), lambda i: F.array_min(F.slice(hashes, i + 1, WINDOW))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def _small(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """df, to be broadcast if it has few enough rows, or entries where a row has size of them."""
+    n = df.agg(F.sum(F.lit(1) if size is None else size)).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST else df
 
 
 def with_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,7 +114,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         places = F.concat(places, F.when(F.col(f"fps{n}").isNotNull(), _places_of(n)).otherwise(F.array().cast("array<struct<a:int,size:int>>")))
     near = near.select("ka", "kb", "w", places.alias("places"))
     texts = F.transform("places", lambda p: F.struct(p["a"].alias("a"), (p["a"] + p["size"]).alias("b"), F.array_join(F.slice("w", p["a"] + 1, p["size"]), " ").alias("window")))
-    hits = near.select("ka", "kb", F.explode(texts).alias("x")).select("ka", "kb", "x.*").join(_small(windows), "window")
+    hits = near.select("ka", "kb", F.explode(texts).alias("x")).select("ka", "kb", "x.*").join(_small(windows, F.size("items") + 1), "window")
     hits = hits.groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("unnamed").alias("unnamed"))
     hits = hits.select("ka", "kb", _covered(F.array_sort("spans")).alias("n_hit"), (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
 
