@@ -117,47 +117,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return train([bytes(r.t) for r in found], [r.label for r in found])
 
 
-def score(self, x: np.ndarray) -> float:
-        return self.constant if self.constant is not None else float(1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30))))
-
-
-def features(difference: float, ratio: float, size: int) -> np.ndarray:
-    d, r, n = 10 * difference, ratio, np.log1p(size) / 10
-    return np.array([1, d, r, n, d * d, r * r, n * n, d * r, d * n, r * n, d**3])
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def train(texts: list[bytes], labels: list[int]) -> Model:
-    y = np.array(labels, float)
-    half = np.arange(len(y)) % 2 == 0
-    if len(y) < 8 or any(y[m].min() == y[m].max() for m in (half, ~half)):
-        return Model(b"", b"", np.zeros(11), constant=float((y.sum() + 1) / (len(y) + 2)))
-    pick = lambda label: dictionary([t for t, k, h in zip(texts, labels, half, strict=True) if h and k == label])
-    model = Model(pick(1), pick(0), np.zeros(11))
-    x = np.array([model.features(t) for t, h in zip(texts, half, strict=True) if not h])
-    model.curve = logistic(x, y[~half])
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, key: str = "doc_id", text: str = "text") -> Model:
-    """Train on at most ``rows`` labelled documents outside the held-out fold."""
-    found = labelled.sample(docs, labels, label, rows, MODULUS, REMAINDER, key, text)
-    found = found.select(F.xxhash64("doc_id").alias("h"), "doc_id", "label", F.coalesce("text", F.lit("")).cast("binary").alias("t")).collect()
-    found.sort(key=lambda r: (r.h, r.doc_id, bytes(r.t)))
-    return train([bytes(r.t) for r in found], [r.label for r in found])
-
-
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, predicted (score >= THRESHOLD), difference (normalised, positive: closer to good text)."""
 
