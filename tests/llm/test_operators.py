@@ -96,8 +96,8 @@ def test_substring_dedup_of_split_minimisers(spark):
     rows = [(i, prose(r.randrange(30), r) + " " + PASSAGE[r.randrange(60) : 200 + r.randrange(200)] + " " + prose(r.randrange(30), r)) for i in range(60)]
     rows += [(100, PASSAGE), (100, PASSAGE), (101, "ab" * 500), (102, None), (None, PASSAGE[7:260])]
     want = [(d, *x) for (d, _), x in zip(rows, substring_dedup.brute_force([(t or "").encode() for _, t in rows]), strict=True)]
-    for shard in (1 << 22, 3000, 400):
-        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard=shard).collect()
+    for split in (1 << 22, 3000, 400):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), split=split).collect()
         same([(r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], want)
 
 
@@ -324,12 +324,12 @@ def test_chunk_bpe(docs, none, mean, bits):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         text = lib.decode(ids, skip_special_tokens=False)
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-    got = chunk_bpe.encode_decode(docs, WORD, mean=mean, most=bits).collect()
+    got = chunk_bpe.encode_decode(docs, WORD, mean=mean, most=bits, share=0.2 if mean == 256 else 0.0).collect()
     same([r[:4] for r in got], want)
     if mean == 24:
         shared = [r for r in got if r.doc_id in (5, 7) and r.n_tokens > 50]
         assert all(r.n_reused > r.n_tokens // 2 for r in shared) and (bits == 64 or not any(r.n_reused for r in got if r.doc_id in (8, 11, 16)))
-    full = chunk_bpe.encode_decode(docs, WORD, payloads=True, mean=mean).collect()
+    full = chunk_bpe.encode_decode(docs, WORD, payloads=True, mean=mean, share=0.1).collect()
     same([(r.doc_id, len(r.ids) // 4, hashlib.sha256(bytes(r.ids)).hexdigest(), hashlib.sha256(r.decoded.encode()).hexdigest()) for r in full], want)
     assert chunk_bpe.encode_decode(none, WORD).count() == 0
 

@@ -38,7 +38,7 @@ def check(coders, text):
         return
     assert word.run(data) == want
     # Every chunk shared, cut as often as may be.
-    plain, word.mean = chunk_bpe.cut_points, 2
+    plain, word.mean, word.share = chunk_bpe.cut_points, 2, 0.0
     chunk_bpe.cut_points = lambda x, mean: plain(x, mean, 4)
     try:
         parts = word.parts(data, Filter(np.full(1, 0xFFFFFFFFFFFFFFFF, np.uint64)))

@@ -10,6 +10,9 @@ share passages share chunks. What lies between a chunk's first and last space is
 3. Each such interior is encoded once, and its ids are joined to the references.
 4. The parts of a document meet and give its ids, which are decoded.
 
+A text of which known interiors are less than ``SHARE`` is encoded where it is read all the same: to move the ids of
+all the rest of it would cost more than to encode these interiors again.
+
 Joints: at a reference the words on both sides of a chunk's border are joined again and re-encoded as a run. Where a
 run meets an interior, the library encodes the words on both sides of the joint together. If that agrees with
 their ids apart, the joint holds; else the run grows over the chunk to the next joint, and goes through the library
@@ -40,6 +43,8 @@ from .wordcache import PLAIN, load, symbols
 WINDOW = 16
 #: One position in so many ends a chunk.
 MEAN = 256
+#: The least part of a text that known interiors must be, to be referred to.
+SHARE = 0.2
 WORDS, JOINTS = 400_000, 100_000
 #: Bits of the largest filter, and digests that a task remembers to have passed on.
 FILTER, PASSED = 1 << 26, 200_000
@@ -75,8 +80,8 @@ class Filter:
 class ChunkEncoder:
     """Encodes UTF-8 texts to ids (little-endian uint32) and decodes those."""
 
-    def __init__(self, path: str, mean: int = MEAN, words: int = WORDS):
-        self.tokenizer, self.mean = load(path), mean
+    def __init__(self, path: str, mean: int = MEAN, share: float = SHARE, words: int = WORDS):
+        self.tokenizer, self.mean, self.share = load(path), mean, share
         added = {k: v.content for k, v in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = [x.encode() for x in added.values()]
         self.tokenize = self.tokenizer.model.tokenize
@@ -125,9 +130,10 @@ class ChunkEncoder:
     def parts(self, data: bytes, known: Filter) -> list[tuple[bytes, bytes | None, int, int]]:
         """Runs, as ids, each with the interior that follows it (digest, start, end; none after the last)."""
         out, start, odd = [], 0, False
-        for a, b, digest in self.interiors(data):
-            if digest not in known:
-                continue
+        found = [x for x in self.interiors(data) if x[2] in known]
+        if sum(b - a for a, b, _ in found) < self.share * len(data):
+            found = []
+        for a, b, digest in found:
             if not self.holds(data, start, a, b):
                 odd = True
                 continue
@@ -152,15 +158,15 @@ class ChunkEncoder:
         return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if self.narrow else ids
 
 
-def _encoder(tokenizer: str, mean: int) -> ChunkEncoder:
-    return worker_cache(("chunk-bpe", tokenizer, mean), lambda: ChunkEncoder(tokenizer, mean))
+def _encoder(tokenizer: str, mean: int, share: float) -> ChunkEncoder:
+    return worker_cache(("chunk-bpe", tokenizer, mean, share), lambda: ChunkEncoder(tokenizer, mean, share))
 
 
-def shared_interiors(texts: DataFrame, tokenizer: str, mean: int = MEAN) -> DataFrame:
+def shared_interiors(texts: DataFrame, tokenizer: str, mean: int = MEAN, share: float = SHARE) -> DataFrame:
     """h1, h2: the digests of interiors that occur twice or more in the texts (column text)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _encoder(tokenizer, mean)
+        code = _encoder(tokenizer, mean, share)
         for batch in slices(batches):
             found = b"".join(d for x in batch.column(0).cast(pa.binary()).to_pylist() if x and code.plain(x) for _, _, d in code.interiors(x))
             keys, n = np.unique(np.frombuffer(found, "V16"), return_counts=True)
@@ -199,16 +205,16 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", payloads: bool = False, mean: int = MEAN, most: int = FILTER) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", payloads: bool = False, mean: int = MEAN, share: float = SHARE, most: int = FILTER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_reused (ids that came from shared interiors) of every text.
 
     With payloads also ids (binary) and decoded.
     """
     texts = docs.select(column(key).cast("long").alias("doc_id"), column(text).alias("text"))
-    known = filter_of(materialize(shared_interiors(texts, tokenizer, mean), "shared-interiors"), most)
+    known = filter_of(materialize(shared_interiors(texts, tokenizer, mean, share), "shared-interiors"), most)
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, schema, passed, nothing = _encoder(tokenizer, mean), _schema(PARTS), set(), (None,) * 6
+        code, schema, passed, nothing = _encoder(tokenizer, mean, share), _schema(PARTS), set(), (None,) * 6
         rid = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             rows = []
@@ -229,17 +235,17 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
             yield _batch(rows, schema)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _encoder(tokenizer, mean)
+        code = _encoder(tokenizer, mean, share)
         for batch in slices(batches):
             ids = [code.pack(code.run(x)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["h1", "h2", "inner"])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, schema = _encoder(tokenizer, mean), _schema(f"doc_id long, {RESULT}")
+        code, schema = _encoder(tokenizer, mean, share), _schema(f"doc_id long, {RESULT}")
         for batch in slices(batches):
             rows = []
             for doc, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.sort(key=lambda p: p["pos"])
+                parts.sort(key=lambda p: (p["pos"], p["run"] is None))  # an interior comes after its run
                 ids = code.unpack(b"".join([y for p in parts for y in (p["run"], p["inner"]) if y]))
                 reused = sum(len(p["inner"]) for p in parts if p["inner"]) // (2 if code.narrow else 4)
                 rows.append((doc, *_result(code, ids, reused, payloads)))
@@ -248,9 +254,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
     found = materialize(texts.mapInArrow(split, PARTS), "text-parts")
     encoded = found.where(F.col("kind") == BODY).groupBy("h1", "h2").agg(F.first("body").alias("body")).mapInArrow(encode, "h1 long, h2 long, inner binary")
     parts = found.where(F.col("kind") == PART)
-    last = parts.where("h1 is null").select("rid", "doc_id", "pos", "run", F.lit(None).cast("binary").alias("inner"))
-    joined = parts.join(encoded, ["h1", "h2"]).select("rid", "doc_id", "pos", "run", "inner").unionByName(last)
-    whole = joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("pos", "run", "inner")).alias("parts"))
+    nothing = F.lit(None).cast("binary")
+    inner = parts.where("h1 is not null").select("rid", "doc_id", "pos", "h1", "h2").join(encoded, ["h1", "h2"]).select("rid", "doc_id", "pos", nothing.alias("run"), "inner")
+    both = parts.select("rid", "doc_id", "pos", "run", nothing.alias("inner")).unionByName(inner)
+    whole = both.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("pos", "run", "inner")).alias("parts"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_reused", *(["ids", "decoded"] if payloads else [])]
     done = found.where(F.col("kind") == DONE).select(*names)
     return done.unionByName(whole.select("doc_id", "parts").mapInArrow(join, f"doc_id long, {RESULT}").select(*names))
