@@ -13,7 +13,7 @@ strings are judged on the input. All distinct strings that can be equal meet in
    that occurs twice itself.
 4. The windows found are brought back to the documents by hash joins, and their union is cut out.
 
-Equal windows have the minimiser at the same place. A minimiser with more than ``SHARD`` bytes of distinct texts is
+Equal windows have the minimiser at the same place. A minimiser with more than ``SPLIT`` bytes of distinct texts is
 therefore split: its windows fall into 2, 4 or 8 classes by that place, the windows of a class share the bytes that
 all of them have around the minimiser if they are equal, and each such string of bytes has a shard of its own. The
 shards are sorted in the same way.
@@ -38,8 +38,8 @@ from .common import binary_texts, column, discard, materialize, row_keys
 from .suffix import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 32
-#: Bytes of a shard, and the most that its classes are halved.
-SHARD, LEVELS = 4 << 20, 3
+#: Bytes sorted together; bytes of a minimiser's texts above which it is split, and into how many classes (a power of two).
+SHARD, SPLIT, LEVELS = 2 << 20, 256 << 10, 3
 _TABLE = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -124,10 +124,10 @@ def repeated_windows(bodies: list[bytes], many: list[bool] | None = None, span:
     symbols[ends - 1] = 1
     opens = np.zeros(len(symbols), bool)  # where a window starts
     marks = np.zeros(len(symbols) + 1, np.int32)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, starts + np.maximum(sizes - span + 1, 0), -1)
+    marks[starts] += 1
+    marks[starts + np.maximum(sizes - span + 1, 0)] -= 1
     opens = np.cumsum(marks)[:-1] > 0
-    order = suffix_array(symbols, depth=256)
+    order = suffix_array(symbols, depth=span // 2)  # names are two symbols apart at least
     order = order[opens[order]].astype(np.int64)
     prefix = np.zeros(len(symbols), np.int16)  # of each window with the one before it in suffix order
     same = common_prefixes(data, order[:-1], order[1:], span)
@@ -140,7 +140,7 @@ def repeated_windows(bodies: list[bytes], many: list[bool] | None = None, span:
 
 
 def _sorted_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (shard, mini, digest, first, many, body) sorted by shard: the windows of each stretch that repeat.
+    """From (shard, mini, digest, first, many, body) sorted by shard: the windows of each stretch that repeat (null: all).
 
     Small shards are sorted together, up to SHARD bytes.
     """
@@ -148,7 +148,7 @@ def _sorted_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
             found = repeated_windows([r[4] for r in rows], [r[3] for r in rows])
-            out = [(m, d, first, len(f), np.packbits(f).tobytes()) for (m, d, first, _, _), f in zip(rows, found, strict=True) if f.any()]
+            out = [(m, d, first, len(f), None if f.all() else np.packbits(f).tobytes()) for (m, d, first, _, _), f in zip(rows, found, strict=True) if f.any()]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["mini", "digest", "first", "count", "windows"])
 
@@ -181,9 +181,14 @@ def _cut(with_kept: bool):
                 if hits:
                     marks = np.zeros(len(text) + 1, np.int32)
                     for h in hits:
-                        at = h["start"] + h["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(h["windows"], np.uint8), count=h["count"]))
-                        marks[at] += 1
-                        marks[at + SPAN] -= 1
+                        at = h["start"] + h["first"]
+                        if h["windows"] is None:
+                            marks[at] += 1
+                            marks[at + h["count"] + SPAN - 1] -= 1
+                        else:
+                            at += np.flatnonzero(np.unpackbits(np.frombuffer(h["windows"], np.uint8), count=h["count"]))
+                            marks[at] += 1
+                            marks[at + SPAN] -= 1
                     gone = np.cumsum(marks[:-1]) > 0
                     removed = int(gone.sum())
                     spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
@@ -199,10 +204,10 @@ def _cut(with_kept: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: bool = True, shard: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: bool = True, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (the bytes left).
 
-    A minimiser with more than ``shard`` bytes of distinct texts is split by classes.
+    A minimiser with more than ``split`` bytes of distinct texts is split by classes.
     """
     base = docs.select(*row_keys(key, text), column(key).cast("long").alias("doc_id"), column(text).alias("text"))
     shape = "ka long, kb long, start int, n int, off int, mini long, digest long"
@@ -213,8 +218,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
     place = F.min(F.struct("ka", "kb", "start", "n", "off")).alias("place")
     distinct = shared.groupBy("mini", "digest").agg((F.count("*") > 1).alias("many"), place)
     distinct = materialize(distinct.select("mini", "digest", "many", "place.*"), "distinct-stretches")
-    halvings = F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("bytes") / shard))).cast("int")
-    large = distinct.groupBy("mini").agg(F.sum(F.col("n") + SPAN - 1).alias("bytes")).where(F.col("bytes") > shard).select("mini", halvings.alias("level"))
+    halvings = F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("bytes") / split))).cast("int")
+    large = distinct.groupBy("mini").agg(F.sum(F.col("n") + SPAN - 1).alias("bytes")).where(F.col("bytes") > split).select("mini", halvings.alias("level"))
     wanted = distinct.join(materialize(large, "large-minimisers"), "mini", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     wanted = wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("start", "n", "off", "mini", "digest", "many", "level")).alias("wanted"))
     texts = base.join(wanted, ["ka", "kb"]).select("doc_id", "text", "wanted").mapInArrow(_texts, "shard long, mini long, digest long, first int, many boolean, body binary")

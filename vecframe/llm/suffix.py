@@ -66,15 +66,24 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarra
 
 
 def _order_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of the reduced string in order, compared by ``depth`` names at least (all of them, if 0), then by place."""
-    rank, width = names.astype(np.int64), 1
-    while width < len(rank) and (not depth or width < depth):
-        later = np.zeros(len(rank), np.int64)
-        later[:-width] = rank[width:] + 1
-        _, new = np.unique(rank * (len(rank) + 2) + later, return_inverse=True)
-        rank, width = new, 2 * width
-        if rank.max() == len(rank) - 1:
-            break
+    """The suffixes of the reduced string in order, compared by ``depth`` names at least (all of them, if 0), then by place.
+
+    A rank is where the group of equals starts; a round doubles the names compared, of those that are still equal.
+    """
+    n, counts = len(names), np.bincount(names)
+    rank, width = (np.cumsum(counts) - counts)[names], 1
+    tied = np.flatnonzero(counts[names] > 1)
+    while len(tied) and width < n and (not depth or width < depth):
+        later = np.where(tied + width < n, rank[np.minimum(tied + width, n - 1)] + 1, 0)
+        key = rank[tied] * (n + 2) + later
+        order = np.argsort(key)
+        key, tied = key[order], tied[order]
+        own, at = rank[tied], np.arange(len(tied))
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        group = np.maximum.accumulate(np.where(np.concatenate(([True], own[1:] != own[:-1])), at, 0))
+        rank[tied] = own + np.maximum.accumulate(np.where(first, at, 0)) - group
+        size = np.diff(np.append(np.flatnonzero(first), len(tied)))
+        tied, width = tied[np.repeat(size > 1, size)], 2 * width
     return np.argsort(rank, kind="stable")
 
 
