@@ -32,16 +32,16 @@ def seeds(df: DataFrame, n: int, id: str = "id", vec: str = "vec", seed: int = 4
     return np.array([r.vec for r in rows], np.float64)
 
 
-def assign(df: DataFrame, centroids: np.ndarray, metric: str = "l2", id: str = "id", vec: str = "vec") -> DataFrame:
-    """id, list_id (the nearest centroid, the first of equals), vec."""
+def assign(df: DataFrame, centroids: np.ndarray, metric: str = "l2", id: str = "id", vec: str = "vec", keep: Sequence[str] = ()) -> DataFrame:
+    """id, list_id (the nearest centroid, the first of equals), vec, and keep."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = block_distances(metric, matrix(batch.column(1), centroids.shape[1]), centroids).argmin(axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), batch.column(1)], ["id", "list_id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), *batch.columns[1:]], ["id", "list_id", "vec", *keep])
 
-    kind = df.schema[vec].dataType.simpleString()
-    return df.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec")).mapInArrow(run, f"id long, list_id int, vec {kind}")
+    kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"), *keep).mapInArrow(run, f"id long, list_id int, vec {df.schema[vec].dataType.simpleString()}{kinds}")
 
 
 def _sums(df: DataFrame, centroids: np.ndarray, metric: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +91,10 @@ def probed_lists(centroids: np.ndarray, query: Sequence[float], probes: int, met
     return np.argsort(d, kind="stable")[: max(0, probes)].tolist()
 
 
-def ivf_search(lists: DataFrame, centroids: np.ndarray, query: Sequence[float], k: int, probes: int = PROBES, metric: str = "l2") -> DataFrame:
+def ivf_search(lists: DataFrame, centroids: np.ndarray, query: Sequence[float], k: int, probes: int = PROBES, metric: str = "l2", keep: Sequence[str] = ()) -> DataFrame:
     """Exact within the probed lists of ``lists`` (id, list_id, vec): partitions, where it is written by list_id."""
     metrics.check_dimensions(query, centroids.shape[1])
-    return knn(lists.where(F.col("list_id").isin(probed_lists(centroids, query, probes, metric))), query, k, metric)
+    return knn(lists.where(F.col("list_id").isin(probed_lists(centroids, query, probes, metric))), query, k, metric, keep=keep)
 
 
 def ivf_search_batch(lists: DataFrame, centroids: np.ndarray, queries: Sequence[tuple[int, Sequence[float]]], k: int, probes: int = PROBES, metric: str = "l2") -> DataFrame:
@@ -219,7 +219,7 @@ def adc_table(book: np.ndarray, query: Sequence[float]) -> np.ndarray:
     return ((book - q) ** 2).sum(axis=2)
 
 
-def _adc(df: DataFrame, tables: dict[int | None, np.ndarray]) -> DataFrame:
+def _adc(df: DataFrame, tables: dict[int | None, np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
     m = next(iter(tables.values())).shape[0] if tables else 0
     by_list = None not in tables
 
@@ -230,9 +230,10 @@ def _adc(df: DataFrame, tables: dict[int | None, np.ndarray]) -> DataFrame:
             for name, table in tables.items():
                 rows = np.flatnonzero(which == name) if by_list else slice(None)
                 out[rows] = table[np.arange(m), codes[rows]].sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["id", "__d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *batch.columns[2 + by_list :]], ["id", "__d", *keep])
 
-    return df.select("id", "codes", *(["list_id"] if by_list else [])).mapInArrow(run, "id long, __d double")
+    kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select("id", "codes", *(["list_id"] if by_list else []), *keep).mapInArrow(run, "id long, __d double" + kinds)
 
 
 def pq_search(df: DataFrame, book: np.ndarray, query: Sequence[float], k: int) -> DataFrame:
@@ -240,23 +241,24 @@ def pq_search(df: DataFrame, book: np.ndarray, query: Sequence[float], k: int) -
     return _rank(_adc(df, {None: adc_table(book, query)}), "dot_product", k, ())
 
 
-def ivfpq_encode(df: DataFrame, centroids: np.ndarray, book: np.ndarray, metric: str = "l2", id: str = "id", vec: str = "vec") -> DataFrame:
-    """id, list_id, codes of the residuals (vector minus its list's centroid)."""
-    return pq_encode(residuals(df, centroids, metric, id, vec), book, keep=["list_id"])
+def ivfpq_encode(df: DataFrame, centroids: np.ndarray, book: np.ndarray, metric: str = "l2", id: str = "id", vec: str = "vec", keep: Sequence[str] = ()) -> DataFrame:
+    """id, codes of the residuals (vector minus its list's centroid), list_id, and keep."""
+    return pq_encode(residuals(df, centroids, metric, id, vec, keep), book, keep=["list_id", *keep])
 
 
-def residuals(df: DataFrame, centroids: np.ndarray, metric: str = "l2", id: str = "id", vec: str = "vec") -> DataFrame:
+def residuals(df: DataFrame, centroids: np.ndarray, metric: str = "l2", id: str = "id", vec: str = "vec", keep: Sequence[str] = ()) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(2), centroids.shape[1]) - centroids[batch.column(1).to_numpy()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "list_id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64())), *batch.columns[3:]], ["id", "list_id", "vec", *keep])
 
-    return assign(df, centroids, metric, id, vec).mapInArrow(run, "id long, list_id int, vec array<double>")
+    kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return assign(df, centroids, metric, id, vec, keep).mapInArrow(run, "id long, list_id int, vec array<double>" + kinds)
 
 
-def ivfpq_search(codes: DataFrame, centroids: np.ndarray, book: np.ndarray, query: Sequence[float], k: int, probes: int = PROBES, metric: str = "l2") -> DataFrame:
+def ivfpq_search(codes: DataFrame, centroids: np.ndarray, book: np.ndarray, query: Sequence[float], k: int, probes: int = PROBES, metric: str = "l2", keep: Sequence[str] = ()) -> DataFrame:
     """id, distance: squared distances by lookup in the probed lists, whatever the metric (which ranks the lists)."""
     metrics.check_dimensions(query, centroids.shape[1])
     lists = probed_lists(centroids, query, probes, metric)
     tables = {c: adc_table(book, np.asarray(query, np.float64) - centroids[c]) for c in lists}
-    return _rank(_adc(codes.where(F.col("list_id").isin(lists)), tables), "dot_product", k, ())
+    return _rank(_adc(codes.where(F.col("list_id").isin(lists)), tables, keep), "dot_product", k, keep)

@@ -1,16 +1,21 @@
-"""Approximate search by small-world graphs, one for each shard of the rows (Malkov and Yashunin, 2016).
+"""Approximate search by hierarchical proximity graphs, one for each shard of the rows (after Malkov and Yashunin, 2016).
 
 A shard is the rows of one hash of the id, bounded in size by the number of shards; every shard is built and searched
-on its own, and the shards' results are merged. Levels come from a hash of the id, so a rebuilt graph is the same.
-The index is a DataFrame (shard, id, level, vec, links), links being the neighbours' ids by layer; it can be written
-as Parquet. Deleted ids are left out of results by an anti join and of the graph when it is rebuilt.
+on its own, and the shards' results are merged. An index is a DataFrame of one row a shard, in packed arrays: ids,
+vectors, and for each layer its nodes and their links. It can be written as Parquet, and a search reads it without a
+shuffle: shards pass by as they lie, and each meets a block of queries.
+
+Layers: a node's highest layer comes from a hash of its id, so a rebuilt graph is the same; a part of a layer that
+links don't connect to others sends its first node one layer up. Links: of a node's nearest in its layer, found by
+matrix products, those nearer to it than to another one that is linked already, then the nearest of the rest; and
+back. A search runs all queries of a block at once: from the top, a beam in each layer gives the starts of the next.
+Deleted ids are passed through, not returned; a beam that holds too many of them is widened until k are left.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,141 +26,275 @@ from .search import _per_query, block_distances, in_blocks, matrix
 
 M, EF_BUILD, EF_SEARCH = 12, 200, 50
 SHARD_ROWS = 50_000
+#: Candidates for each link; nodes that a beam expands at once; distances that a task holds at once.
+CANDIDATES, STEP, HELD = 4, 4, 8_000_000
+INDEX = "shard int, shards int, dims int, ids binary, vecs binary, layers array<struct<nodes: binary, links: binary>>"
 
 
-def level(id: int, m: int) -> int:
+def levels(ids: np.ndarray, m: int) -> np.ndarray:
     """Geometric by a hash of the id."""
-    x = (int(id) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    u = ((x ^ x >> 31) >> 11) / (1 << 53)
-    return int(-math.log(max(u, 1e-18)) / math.log(max(m, 2)))
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x7F4A7C15)
+    for factor, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    u = ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    return np.floor(-np.log(np.maximum(u, 1e-18)) / math.log(max(m, 2))).astype(np.int32)
+
+
+def prepared(x: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors as the graph compares them: of length 1 for cosine distances."""
+    if metric == "cosine":
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(size == 0, 1, size)
+    return np.ascontiguousarray(x, np.float32)
+
+
+def _near(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Ordering distances of prepared vectors, over the last axis."""
+    if metric == "l2":
+        d = a - b
+        return np.einsum("...i,...i->...", d, d)
+    return -np.einsum("...i,...i->...", a, b)
+
+
+def _links(x: np.ndarray, metric: str, cap: int, width: int) -> np.ndarray:
+    """Of each node up to 2 * cap neighbours (-1: none)."""
+    n = len(x)
+    wide = min(max(cap + 1, min(width, CANDIDATES * cap)), n - 1)
+    kept = np.full((n, min(cap, max(wide, 0))), -1, np.int32)
+    step = max(1, HELD // max(n, wide * x.shape[1]))
+    for at in range(0, n if wide > 0 else 0, step):
+        own = np.arange(at, min(n, at + step))
+        d = block_distances("l2" if metric == "l2" else "dot_product", x, x[own])
+        d[np.arange(len(own)), own] = np.inf
+        near = np.argpartition(d, wide - 1, axis=1)[:, :wide]
+        d = np.take_along_axis(d, near, 1)
+        order = np.argsort(d, axis=1, kind="stable")
+        near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+        apart, count = np.zeros(near.shape, bool), np.zeros(len(own), np.int64)
+        chosen = np.full((len(own), kept.shape[1]), -1, np.int32)
+        for j in range(wide):
+            least = np.full(len(own), np.inf)
+            used = int(count.max())
+            if used:
+                others = _near(x[near[:, j], None], x[chosen[:, :used]], metric)
+                least = np.where(chosen[:, :used] >= 0, others, np.inf).min(axis=1)
+            good = np.flatnonzero((d[:, j] < least) & (count < kept.shape[1]))
+            chosen[good, count[good]] = near[good, j]
+            apart[good, j] = True
+            count[good] += 1
+        # Then the nearest of the rest, in the places that are left.
+        rest = np.argsort(np.where(apart, wide, np.arange(wide)), axis=1, kind="stable")
+        place = np.arange(kept.shape[1])
+        fill = np.take_along_axis(near, np.take_along_axis(rest, np.maximum(place - count[:, None], 0), 1), 1)
+        kept[own] = np.where(place < count[:, None], chosen, fill)
+    # And back: to each node those that chose it, the nearest first.
+    a, b = np.repeat(np.arange(n), kept.shape[1]), kept.ravel()
+    a, b = a[b >= 0], b[b >= 0]
+    pairs = np.unique(np.concatenate([a * n + b, b.astype(np.int64) * n + a]))
+    a, b = pairs // n, pairs % n
+    d = np.concatenate([_near(x[a[i : i + 100_000]], x[b[i : i + 100_000]], metric) for i in range(0, len(a), 100_000)]) if len(a) else np.zeros(0)
+    forward = np.isin(pairs, np.repeat(np.arange(n), kept.shape[1])[kept.ravel() >= 0] * n + kept.ravel()[kept.ravel() >= 0])
+    order = np.lexsort((d, ~forward, a))
+    a, b = a[order], b[order]
+    first = np.searchsorted(a, np.arange(n))
+    place = np.arange(len(a)) - first[a]
+    out = np.full((n, 2 * cap), -1, np.int32)
+    fits = place < 2 * cap
+    out[a[fits], place[fits]] = b[fits]
+    return out
+
+
+def _parts(links: np.ndarray) -> np.ndarray:
+    """Of each node the first node of what it is connected with."""
+    n = len(links)
+    a, at = np.nonzero(links >= 0)
+    b, root = links[a, at], np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
+        least = least[least]
+        if np.array_equal(least, root):
+            return root
+        root = least
 
 
 class Graph:
-    """A graph over the rows of a matrix."""
-
-    def __init__(self, vectors: np.ndarray, metric: str, levels: list[int], links: list[list[list[int]]] | None = None):
-        self.x, self.metric, self.levels = vectors, metric, levels
-        self.links = links if links is not None else [[[] for _ in range(n + 1)] for n in levels]
-        self.entry = -1 if links is None else int(np.argmax(levels)) if levels else -1
-
-    def _far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
-        return block_distances(self.metric, self.x[nodes], q[None, :])[0]
-
-    def _descend(self, q: np.ndarray, top: int, bottom: int, at: int) -> int:
-        best = float(self._far(q, [at])[0])
-        for layer in range(top, bottom, -1):
-            while self.links[at][layer]:
-                near = self.links[at][layer]
-                d = self._far(q, near)
-                j = int(d.argmin())
-                if d[j] >= best:
-                    break
-                at, best = near[j], float(d[j])
-        return at
-
-    def beam(self, q: np.ndarray, at: int, width: int, layer: int) -> list[tuple[float, int]]:
-        """The ``width`` nearest found from a node within a layer, nearest first."""
-        d = float(self._far(q, [at])[0])
-        seen, todo, best = {at}, [(d, at)], [(-d, at)]
-        while todo:
-            d, node = heapq.heappop(todo)
-            if len(best) == width and d > -best[0][0]:
+    """The layers over the rows of a matrix: (nodes, links by place among them), from the lowest on."""
+
+    def __init__(self, x: np.ndarray, metric: str, layers: list[tuple[np.ndarray, np.ndarray]]):
+        self.x, self.metric, self.layers = prepared(x, metric), metric, layers
+
+    @classmethod
+    def build(cls, x: np.ndarray, metric: str, ids: np.ndarray, m: int = M, width: int = EF_BUILD) -> Graph:
+        out, high, nodes, layer = cls(x, metric, []), levels(ids, m), np.arange(len(x)), 0
+        while len(nodes):
+            links = _links(out.x[nodes], metric, 2 * m if layer == 0 else m, width)
+            out.layers.append((nodes.astype(np.int32), links))
+            roots = np.unique(_parts(links))
+            up = high[nodes] > layer
+            if len(roots) > 1:
+                up[roots] = True
+            if up.all():
                 break
-            fresh = [n for n in self.links[node][layer] if n not in seen]
-            if not fresh:
+            nodes, layer = nodes[up], layer + 1
+        return out
+
+    def beam(self, q: np.ndarray, starts: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query (prepared) the nearest found from starts (places in the layer, -1: none), as places and distances."""
+        nodes, links = self.layers[layer]
+        x, many, ends = self.x, len(q), len(nodes)
+        width = min(width, ends)
+        seen = np.zeros((many, ends), bool)
+        rows, at = np.nonzero(starts >= 0)
+        place = np.full((many, max(width, starts.shape[1])), -1, np.int64)
+        far = np.full(place.shape, np.inf, np.float32)
+        found = starts[rows, at]
+        place[rows, at], far[rows, at] = found, _near(x[nodes[found]], q[rows], self.metric)
+        seen[rows, found] = True
+        done = place < 0
+        while True:
+            open_ = np.where(done, np.inf, far)
+            step = min(STEP, open_.shape[1])
+            pick = np.argpartition(open_, step - 1, axis=1)[:, :step]
+            rows, at = np.nonzero(np.isfinite(np.take_along_axis(open_, pick, 1)))
+            if not len(rows):
+                break
+            at = pick[rows, at]
+            done[rows, at] = True
+            to = links[place[rows, at]]
+            own = np.repeat(rows, to.shape[1])
+            to = to.ravel()
+            own, to = own[to >= 0], to[to >= 0]
+            fresh = ~seen[own, to]
+            own, to = own[fresh], to[fresh]
+            pair = np.unique(own * ends + to)  # one node may be reached from several
+            own, to = pair // ends, pair % ends
+            seen[own, to] = True
+            if not len(own):
                 continue
-            seen.update(fresh)
-            for dist, n in zip(self._far(q, fresh).tolist(), fresh, strict=True):
-                if len(best) < width or dist < -best[0][0]:
-                    heapq.heappush(todo, (dist, n))
-                    heapq.heappush(best, (-dist, n))
-                    if len(best) > width:
-                        heapq.heappop(best)
-        return sorted((-d, n) for d, n in best)
-
-    def insert(self, node: int, m: int, width: int) -> None:
-        if self.entry < 0:
-            self.entry = node
-            return
-        q, own, top = self.x[node], self.levels[node], self.levels[self.entry]
-        at = self._descend(q, top, min(own, top), self.entry)
-        for layer in range(min(own, top), -1, -1):
-            found = self.beam(q, at, width, layer)
-            cap = 2 * m if layer == 0 else m
-            self.links[node][layer] = [n for _, n in found[:cap]]
-            for _, n in found[:cap]:
-                near = self.links[n][layer]
-                near.append(node)
-                if len(near) > cap:
-                    near.pop(int(self._far(self.x[n], near).argmax()))
-            at = found[0][1]
-        if own > top:
-            self.entry = node
-
-    def search(self, q: np.ndarray, k: int, width: int) -> list[tuple[float, int]]:
-        if self.entry < 0 or k <= 0:
-            return []
-        at = self._descend(q, self.levels[self.entry], 0, self.entry)
-        return self.beam(q, at, max(width, k), 0)[:k]
+            d = _near(x[nodes[to]], q[own], self.metric)
+            first = np.searchsorted(own, np.arange(many))
+            slot = np.arange(len(own)) - first[own]
+            more = int(slot.max()) + 1
+            place = np.concatenate([place, np.full((many, more), -1)], axis=1)
+            far = np.concatenate([far, np.full((many, more), np.inf, np.float32)], axis=1)
+            done = np.concatenate([done, np.ones((many, more), bool)], axis=1)
+            slot += place.shape[1] - more
+            place[own, slot], far[own, slot], done[own, slot] = to, d, False
+            if place.shape[1] > width:
+                best = np.argpartition(far, width - 1, axis=1)[:, :width]
+                place, far, done = (np.take_along_axis(z, best, 1) for z in (place, far, done))
+        return place, far
+
+    def search(self, q: np.ndarray, width: int) -> np.ndarray:
+        """Of each query the nodes of the lowest layer's beam (-1: none)."""
+        if not self.layers:
+            return np.zeros((len(q), 0), np.int64)
+        q, top = prepared(q, self.metric), len(self.layers) - 1
+        starts = np.zeros((len(q), 1), np.int64)
+        for layer in range(top, 0, -1):
+            place, _ = self.beam(q, starts, max(1, width // 4), layer)
+            below = np.searchsorted(self.layers[layer - 1][0], self.layers[layer][0])
+            starts = np.where(place >= 0, below[place], -1)
+        return self.beam(q, starts, width, 0)[0]
+
 
 
 def build(df: DataFrame, metric: str = "l2", m: int = M, ef_construction: int = EF_BUILD, shards: int | None = None, id: str = "id", vec: str = "vec") -> DataFrame:
-    """The index of the rows: shard, id, level, vec, links."""
+    """The index of the rows, one row a shard (INDEX)."""
     n = shards or max(1, math.ceil(df.count() / SHARD_ROWS))
-    kind = df.schema[vec].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        ids = table.column("id").to_pylist()
-        graph = Graph(matrix(table.column("vec")), metric, [level(i, m) for i in ids])
-        for node in range(len(ids)):
-            graph.insert(node, m, ef_construction)
-        links = [[[ids[n] for n in layer] for layer in node] for node in graph.links]
-        return pa.table({"shard": table.column("shard"), "id": table.column("id"), "level": pa.array(graph.levels, pa.int32()), "vec": table.column("vec"), "links": pa.array(links, pa.list_(pa.list_(pa.int64())))})
+        table = table.take(pa.array(np.argsort(table.column("id").to_numpy(), kind="stable")))
+        ids, x = table.column("id").to_numpy(), matrix(table.column("vec"))
+        graph = Graph.build(x, metric, ids, m, ef_construction)
+        layers = [{"nodes": nodes.tobytes(), "links": links.tobytes()} for nodes, links in graph.layers]
+        row = {"shard": table.column("shard")[0].as_py(), "shards": n, "dims": x.shape[1], "ids": ids.astype("<i8").tobytes(), "vecs": x.astype("<f4").tobytes(), "layers": layers}
+        kinds = [("shard", pa.int32()), ("shards", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("layers", pa.list_(pa.struct([("nodes", pa.binary()), ("links", pa.binary())])))]
+        return pa.Table.from_pylist([row], pa.schema(kinds))
 
-    rows = df.select(F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(n)).cast("int").alias("shard"), F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
-    return rows.groupBy("shard").applyInArrow(run, f"shard int, id long, level int, vec {kind}, links array<array<bigint>>")
+    rows = df.select(_shard(F.col(id).cast("long"), n).alias("shard"), F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
+    return rows.groupBy("shard").applyInArrow(run, INDEX)
 
 
-def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, metric: str = "l2", ef_search: int = EF_SEARCH, deleted: DataFrame | None = None) -> DataFrame:
-    """qid, id, distance, rank for each (qid, query): every shard's beam, then the best of them.
+def _shard(id: F.Column, n: int | F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(id), F.lit(n) if isinstance(n, int) else n).cast("int")
 
-    deleted: ids to leave out; as many more candidates are taken as there are, up to the beam's width.
-    """
-    names, q = [x[0] for x in queries], np.array([x[1] for x in queries], np.float64)
-    want = max(k, ef_search) if deleted is not None else k
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_pylist()
-        place = {i: n for n, i in enumerate(ids)}
-        links = [[[place[i] for i in layer] for layer in node] for node in table.column("links").to_pylist()]
-        graph = Graph(matrix(table.column("vec")), metric, table.column("level").to_pylist(), links)
-        found = [(name, ids[n], d) for name, v in zip(names, q, strict=True) for d, n in graph.search(v, want, ef_search)]
-        return pa.table({"qid": pa.array([f[0] for f in found], pa.int64()), "id": pa.array([f[1] for f in found], pa.int64()), "d": pa.array([f[2] for f in found], pa.float64())})
+def _opened(row: dict, metric: str) -> tuple[np.ndarray, np.ndarray, Graph]:
+    ids = np.frombuffer(row["ids"], "<i8")
+    x = np.frombuffer(row["vecs"], "<f4").reshape(len(ids), row["dims"])
+    layers = [(nodes := np.frombuffer(y["nodes"], np.int32), np.frombuffer(y["links"], np.int32).reshape(len(nodes), -1)) for y in row["layers"]]
+    return ids, x, Graph(x, metric, layers)
 
-    out = index.groupBy("shard").applyInArrow(run, "qid long, id long, d double")
-    if deleted is not None:
-        out = out.join(deleted.select("id"), "id", "left_anti")
-    return _per_query(out, metric, k)
 
+def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, metric: str = "l2", ef_search: int = EF_SEARCH, deleted: DataFrame | None = None) -> DataFrame:
+    """qid, id, distance, rank for each (qid, query): every shard's beam, then the best of them.
 
-def search_frame(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2", ef_search: int = EF_SEARCH) -> DataFrame:
+    deleted: ids (column id) to leave out; each shard gets its own.
+    """
+    names, q = np.array([x[0] for x in queries], np.int64), np.array([x[1] for x in queries], np.float64)
+    if deleted is None:
+        given = index.withColumn("gone", F.lit(None).cast("array<long>"))
+    else:
+        number = index.select("shards").first()
+        own = deleted.select(_shard(F.col("id").cast("long"), number.shards if number else 1).alias("shard"), F.col("id").cast("long").alias("id"))
+        given = index.join(own.groupBy("shard").agg(F.collect_set("id").alias("gone")), "shard", "left")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            ids, x, graph = _opened(row, metric)
+            gone = np.isin(ids, row["gone"]) if row["gone"] else np.zeros(len(ids), bool)
+            step = max(1, HELD // max(1, len(ids)))
+            for at in range(0, len(q), step):
+                todo, width = np.arange(at, min(len(q), at + step)), max(ef_search, k)
+                while len(todo):
+                    nodes = graph.search(q[todo], width)
+                    live = (nodes >= 0) & ~gone[nodes]
+                    enough = live.sum(axis=1) >= min(k, len(ids) - int(gone.sum())) if gone.any() and width < len(ids) else np.ones(len(todo), bool)
+                    for i in np.flatnonzero(enough).tolist():
+                        some = nodes[i, live[i]]
+                        d = block_distances(metric, x[some].astype(np.float64), q[todo[i], None])[0]
+                        best = np.lexsort((ids[some], d))[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), names[todo[i]])), pa.array(ids[some[best]]), pa.array(d[best])], ["qid", "id", "d"])
+                    todo, width = todo[~enough], 2 * width
+
+    return _per_query(given.select("shard", "dims", "ids", "vecs", "layers", "gone").mapInArrow(run, "qid long, id long, d double"), metric, k)
+
+
+def search_frame(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2", ef_search: int = EF_SEARCH, deleted: DataFrame | None = None) -> DataFrame:
     """The same for every row of queries (qid, qvec), in blocks."""
     first = queries.first()
-    out = None if first is None else in_blocks(queries, len(first.qvec), lambda held: search(index, held, k, metric, ef_search))
+    out = None if first is None else in_blocks(queries, len(first.qvec), lambda held: search(index, held, k, metric, ef_search, deleted))
     return out if out is not None else index.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
 
 
 def edges(index: DataFrame) -> DataFrame:
     """The graph as rows: shard, layer, id, neighbour."""
-    layers = index.select("shard", "id", F.posexplode("links").alias("layer", "near"))
-    return layers.select("shard", "layer", "id", F.explode("near").alias("neighbour"))
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            ids, _, graph = _opened(row, "l2")
+            for layer, (nodes, links) in enumerate(graph.layers):
+                a, at = np.nonzero(links >= 0)
+                n = len(a)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["shard"], np.int32)), pa.array(np.full(n, layer, np.int32)), pa.array(ids[nodes[a]]), pa.array(ids[nodes[links[a, at]]])], ["shard", "layer", "id", "neighbour"])
+
+    return index.select("shard", "dims", "ids", "vecs", "layers").mapInArrow(run, "shard int, layer int, id long, neighbour long")
+
+
+def rows(index: DataFrame) -> DataFrame:
+    """id, vec of the rows that the index holds."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            ids, x, _ = _opened(row | {"layers": []}, "l2")
+            for at in range(0, len(ids), 10_000):
+                part = x[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 10_000]), pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), row["dims"]).cast(pa.list_(pa.float32()))], ["id", "vec"])
 
-def rows(index: DataFrame) -> Iterable:
-    return index.select("id", "vec").toLocalIterator()
+    return index.select("shard", "dims", "ids", "vecs").mapInArrow(run, "id long, vec array<float>")
 
 
-__all__ = ["Graph", "build", "edges", "level", "rows", "search"]
+__all__ = ["Graph", "build", "edges", "levels", "rows", "search", "search_frame"]

@@ -149,14 +149,14 @@ def _block(df: DataFrame, names: np.ndarray, q: np.ndarray, k: int, metric: str,
     return df.select(F.col(id).cast("long"), F.col(vec)).mapInArrow(run, "qid long, id long, d double")
 
 
-def knn_int8(df: DataFrame, query: Sequence[float], k: int, metric: str = "l2", id: str = "id", vec: str = "vec") -> DataFrame:
+def knn_int8(df: DataFrame, query: Sequence[float], k: int, metric: str = "l2", id: str = "id", vec: str = "vec", keep: Sequence[str] = ()) -> DataFrame:
     """Over decoded 8-bit codes, with the query as it is."""
-    codes = df.select(F.col(id).alias("id"), quantize.int8_encode(F.col(vec)).alias("c"), quantize.int8_scale(F.col(vec)).alias("s"))
-    return knn(codes.select("id", quantize.int8_decode(F.col("c"), F.col("s")).alias("vec")), query, k, metric)
+    codes = df.select(F.col(id).alias("id"), quantize.int8_encode(F.col(vec)).alias("c"), quantize.int8_scale(F.col(vec)).alias("s"), *keep)
+    return knn(codes.select("id", quantize.int8_decode(F.col("c"), F.col("s")).alias("vec"), *keep), query, k, metric, keep=keep)
 
 
-def knn_fp16(df: DataFrame, query: Sequence[float], k: int, metric: str = "l2", id: str = "id", vec: str = "vec") -> DataFrame:
-    return knn(df.select(F.col(id).alias("id"), quantize.fp16_round(F.col(vec)).alias("vec")), query, k, metric)
+def knn_fp16(df: DataFrame, query: Sequence[float], k: int, metric: str = "l2", id: str = "id", vec: str = "vec", keep: Sequence[str] = ()) -> DataFrame:
+    return knn(df.select(F.col(id).alias("id"), quantize.fp16_round(F.col(vec)).alias("vec"), *keep), query, k, metric, keep=keep)
 
 
 def knn_binary(df: DataFrame, query: Sequence[float], k: int, metric: str = "l2", id: str = "id", vec: str = "vec", keep: Sequence[str] = ()) -> DataFrame:

@@ -19,6 +19,7 @@ from ..functions import metrics, quantize
 from ..functions.filters import compile_filter
 from ..functions.text import STOP_WORDS, tokenize
 from ..operators import cluster, fusion, hnsw, keyword, search
+from ..sources.postings import KeywordIndex
 from ..sources.store import Client, latest, live_rows
 from ..streaming.ingest import upsert_stream
 
@@ -556,6 +557,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+_STORED: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def stored_keywords(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The inverted lists of documents: written at the first use in an application, as keyword_index_terms does each time."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        _STORED[key] = KeywordIndex.build(documents(spark, sf_dir), folder(spark))
+    return _STORED[key]
+
+
 def asked(spark: SparkSession, sf_dir: str) -> str:
     return table(spark, sf_dir, "benchmark").where("item_id = 0").first().text
 
@@ -592,15 +604,42 @@ def bm25_weights(spark, sf_dir):
 
 @query("bm25_query_weights", f"with {TF}, {ASK} select term, round(q, 6) as q from xq where q > 0")
 def bm25_query_weights(spark, sf_dir):
-    found = keyword.query_weights(keyword.term_frequencies(documents(spark, sf_dir)), asked(spark, sf_dir))
+    found = stored_keywords(spark, sf_dir).weights(asked(spark, sf_dir))
     return rounded(spark.createDataFrame(list(found.items()), "term string, q double"), "q")
 
 
-@query("bm25_topk", f"with {TF}, {W}, {ASK} select id, round(sum(w * q), 6) as score from w join xq using (term) where w > 0 and q > 0 group by id order by sum(w * q) desc, id limit {K}")
+BM25_TOP = f"select id, round(sum(w * q), 6) as score from w join xq using (term) where w > 0 and q > 0 group by id order by sum(w * q) desc, id limit {K}"
+
+
+@query("bm25_topk", f"with {TF}, {W}, {ASK} {BM25_TOP}")
 def bm25_topk(spark, sf_dir):
+    return rounded(stored_keywords(spark, sf_dir).top(asked(spark, sf_dir), K), "score")
+
+
+@query("bm25_topk_unindexed", f"with {TF}, {W}, {ASK} {BM25_TOP}")
+def bm25_topk_unindexed(spark, sf_dir):
+    """The same from the texts."""
     return rounded(keyword.bm25_top(documents(spark, sf_dir), asked(spark, sf_dir), K), "score")
 
 
+@query("keyword_index_terms", f"with {TF} select term, df from df")
+def keyword_index_terms(spark, sf_dir):
+    """Writes the index of all documents anew, and reads its terms."""
+    index = KeywordIndex.build(documents(spark, sf_dir), folder(spark))
+    return index.terms()
+
+
+@query("keyword_index_changes", f"with {TF.replace('from documents', 'from documents where doc_id % 10 <> 9')}, {W}, {ASK} {BM25_TOP}")
+def keyword_index_changes(spark, sf_dir):
+    """An index filled in two batches, one of them with other texts at first, from which documents are removed."""
+    docs, third = documents(spark, sf_dir), F.col("id") % 3 == 0
+    index = KeywordIndex.build(docs.where(third).withColumn("text", F.lit("texts to be replaced later")), folder(spark))
+    index.add(docs.where(~third))
+    index.upsert(docs.where(third))
+    index.remove(docs.where("id % 10 = 9").select("id"))
+    return rounded(index.top(asked(spark, sf_dir), K), "score")
+
+
 @query("bm25_as_of_insert", f"""with {TF}, r as (select id, dl, count(*) over o as n, avg(dl) over o as avgdl from z window o as (order by id rows unbounded preceding)),
     i as (select id, term, tf, row_number() over (partition by term order by id) as df from tf)
     select id, term, round({WEIGHT}, 6) as w from i join r using (id) where {WEIGHT} > 0""")
@@ -614,7 +653,8 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sparse_topk", f"with {TF} select id, sum(tf * case term when 'onan' then 1.0 when 'tion' then 0.5 else 0.25 end)::double as score from tf where term in ('onan', 'tion', 'erea') group by id order by 2 desc, 1 limit {K}")
 def sparse_topk(spark, sf_dir):
-    return keyword.sparse_top(term_postings(spark, sf_dir), {"onan": 1.0, "tion": 0.5, "erea": 0.25}, K)
+    query = {"onan": 1.0, "tion": 0.5, "erea": 0.25}
+    return keyword.sparse_top(stored_keywords(spark, sf_dir).counts(list(query)), query, K)
 
 
 @query("sparse_dot_pairs", f"with {TF} select a.id as a_id, b.id as b_id, sum(a.tf * b.tf)::double as dot from tf a join tf b on a.term = b.term where a.id < {BATCH} group by all")
@@ -632,26 +672,19 @@ def sparse_dot_pairs_all(spark, sf_dir):
 
 # Fusion.
 
-JOINED = f"""{E}, {Q}, rows as (select e.id, e.v, e.label, d.text from e join documents d on e.id = d.doc_id),
-    k as (select id, {TOKENS} as t from rows), z as (select id, len(t) as dl from k where len(t) > 0), u as (select id, unnest(t) as term from k),
-    tf as (select id, term, count(*) as tf from u group by id, term), df as (select term, count(*) as df from tf group by term), g as (select count(*) as n, avg(dl) as avgdl from z),
-    {W}, {ASK}, dd as (select id, list_cosine_distance(v, q) as distance from rows, q order by 2, 1 limit {10 * K}),
+JOINED = f"""{E}, {Q}, {TF}, {W}, {ASK}, dd as (select id, list_cosine_distance(v, q) as distance from e, q order by 2, 1 limit {10 * K}),
     ss as (select id, sum(w * q) as score from w join xq using (term) where w > 0 and q > 0 group by id order by 2 desc, 1 limit {10 * K}),
     dm as (select coalesce(min(distance), 0) as dmin, coalesce(max(distance), 1) as dmax from dd), sm as (select coalesce(min(score), 0) as smin, coalesce(max(score), 1) as smax from ss)"""
 
 
 def fusion_sql(wd: float, ws: float, where: str = "true") -> str:
     return f"""with {JOINED} select id, round({wd}::double * (1 - (coalesce(distance, dmax) - dmin) / greatest(dmax - dmin, 1e-9)) + {ws}::double * (coalesce(score, 0) - smin) / greatest(smax - smin, 1e-9), 6) as fused,
-    round(distance, 6) as dense_distance, round(score, 6) as sparse_score from dd full join ss using (id) join rows using (id), dm, sm where {where} order by 2 desc, 1 limit {K}"""
-
-
-def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).join(documents(spark, sf_dir), "id")
+    round(distance, 6) as dense_distance, round(score, 6) as sparse_score from dd full join ss using (id) left join e using (id), dm, sm where {where} order by 2 desc, 1 limit {K}"""
 
 
 def exact_fusion_sql(wd: float, ws: float, where: str) -> str:
     """The same with the filter before the candidates of both sides are taken."""
-    return fusion_sql(wd, ws).replace("from rows, q order by", f"from rows, q where {where} order by").replace("where w > 0 and q > 0 group by id", f"where w > 0 and q > 0 and id in (select id from rows where {where}) group by id")
+    return fusion_sql(wd, ws).replace("from e, q order by", f"from e, q where {where} order by").replace("where w > 0 and q > 0 group by id", f"where w > 0 and q > 0 and id in (select id from e where {where}) group by id", 1)
 
 
 def _fusion(name: str, wd: float, ws: float, label: int | None = None, mode: str = "overscan") -> None:
@@ -659,10 +692,9 @@ def _fusion(name: str, wd: float, ws: float, label: int | None = None, mode: str
 
     @query(name, fusion_sql(wd, ws, where_sql) if mode == "overscan" else exact_fusion_sql(wd, ws, where_sql))
     def run(spark, sf_dir):
-        rows = joined(spark, sf_dir)
-        postings, words = keyword.query_postings(rows, asked(spark, sf_dir))
+        postings, words = stored_keywords(spark, sf_dir).postings(asked(spark, sf_dir))
         where = None if label is None else F.col("label") <= label
-        out = fusion.hybrid(rows, postings, first(spark, sf_dir), words, K, "cosine", wd, ws, where, mode=mode)
+        out = fusion.hybrid(vectors(spark, sf_dir), postings, first(spark, sf_dir), words, K, "cosine", wd, ws, where, mode=mode)
         return rounded(out.withColumnRenamed("score", "fused"), "fused", "dense_distance", "sparse_score")
 
 

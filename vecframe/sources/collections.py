@@ -9,18 +9,22 @@ from typing import Any
 from pyspark.sql import functions as F
 
 from .. import errors
-from ..operators import fusion, keyword
+from ..operators import fusion
 from ..operators.search import knn
 from .embed import EmbeddingFunction
+from .postings import KeywordIndex
 from .store import Client, Collection
 
 DOCUMENT = "_document"
+#: Folders of a text collection's keywords.
+TEXT_BUCKETS = 16
 
 
 class TextCollection:
     """Texts in, texts out: dense search by an embedding function and keyword search by BM25.
 
-    Keyword statistics are those of the stored documents, so they outlive the session.
+    Keyword statistics are those of the stored documents, so they outlive the session. Their inverted lists are stored
+    beside the collection at the first keyword query, and follow what is added and deleted here.
     """
 
     def __init__(self, client: Client, name: str, embedding: EmbeddingFunction, dimensions: int | None = None, metric: str = "cosine", index_type: str = "flat", bm25: bool = True):
@@ -36,12 +40,35 @@ class TextCollection:
         if not len(ids) == len(documents) == len(payloads):
             raise errors.InvalidConfig("ids, documents and payloads differ in length")
         if ids:
-            vectors = self.embedding(list(documents))
+            vectors, current = self.embedding(list(documents)), self._current()
             self.collection.upsert_batch([(i, v, {**(p or {}), DOCUMENT: d}) for i, v, d, p in zip(ids, vectors, documents, payloads, strict=True)])
+            if current:
+                last = dict(zip(ids, documents, strict=True))  # of an id that is given twice
+                current.upsert(self.collection.spark.createDataFrame(list(last.items()), "id long, text string"))
+                current.mark(self.collection._manifest()["version"])
 
     def delete(self, ids: Sequence[int]) -> None:
-        for i in ids:
-            self.collection.delete(i)
+        current = self._current()
+        if self.collection.delete_batch(ids) and current:
+            current.remove(self.collection.spark.createDataFrame([(int(i),) for i in ids], "id long"))
+            current.mark(self.collection._manifest()["version"])
+
+    def _current(self) -> KeywordIndex | None:
+        """The stored lists, if they are those of the documents as they are now."""
+        path = f"{self.collection.path}/keywords"
+        if not self.collection.files.versions(f"{path}/about"):
+            return None
+        found = KeywordIndex(self.collection.spark, path)
+        return found if found.about["of"] == self.collection._manifest()["version"] else None
+
+    def _keywords(self) -> KeywordIndex:
+        found = self._current()
+        if found is None:
+            path = f"{self.collection.path}/keywords"
+            self.collection.files.delete(path)
+            found = KeywordIndex.build(self._texts(), path, buckets=TEXT_BUCKETS)
+            found.mark(self.collection._manifest()["version"])
+        return found
 
     def _texts(self):
         payload = F.try_parse_json("payload")
@@ -58,8 +85,7 @@ class TextCollection:
             raise errors.InvalidConfig("keyword search is off")
         words: dict = {}
         if mode != "semantic" and self.bm25:
-            texts = self._texts()
-            postings, words = keyword.query_postings(texts, text)
+            postings, words = self._keywords().postings(text)
         if mode == "keyword" and not words:
             return []
         query = self.embedding([text])[0]
@@ -67,6 +93,7 @@ class TextCollection:
             return [self._result(r) for r in self.collection.search(query, k, filter, filter_mode)]
         weights = (0.0, 1.0) if mode == "keyword" else (dense_weight, sparse_weight)
         where = self.collection._where(filter)
+        texts = self.collection.rows().select("id", "vec", "payload")
         found = fusion.hybrid(texts, postings, query, words, k, self.collection.metric, *weights, where, mode=filter_mode)
         rows = found.join(texts.select("id", "payload"), "id").orderBy(F.desc("score"), "id").collect()
         return [self._result({"id": r.id, "score": r.score, "dense_distance": r.dense_distance, "sparse_score": r.sparse_score, "payload": json.loads(r.payload)}) for r in rows]
@@ -139,8 +166,7 @@ class MultiVectorCollection:
 
     def delete_batch(self, ids: Sequence[int]) -> None:
         for c in (*self.spaces.values(), self.documents):
-            for i in ids:
-                c.delete(i)
+            c.delete_batch(ids)
 
 
 __all__ = ["DOCUMENT", "MultiVectorCollection", "TextCollection"]

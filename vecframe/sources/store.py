@@ -1,10 +1,16 @@
 """Collections as Parquet change logs under a folder, with a manifest, compaction and snapshots.
 
-A collection is a folder: ``meta.json``, ``log/<n>`` (Parquet batches of changes), ``manifest.json`` (the batches that
-count, in order) and ``snapshots/<name>.json`` (a manifest that stays). A change is (seq, n, op, id, vec, payload,
-sparse); the latest one of an id wins, sparse values stay until they are replaced or the id is deleted. A batch counts
-once the manifest names it, so what a failed write leaves behind is ignored. Folders are reached through Hadoop's
-file systems, so any store that Spark can write is possible. One writer at a time is assumed.
+A collection is a folder: ``meta.json``, ``log/<n>`` (Parquet batches of changes), ``manifest/<n>.json`` (the batches
+that count, in order; the last complete one holds), ``index/<base>`` and ``snapshots/<name>.json`` (a manifest that
+stays). A change is (seq, n, op, id, vec, payload, sparse); the latest one of an id wins, sparse values stay until they
+are replaced or the id is deleted. A batch counts once a manifest names it, and a manifest is a new file that takes its
+name when it is complete, so what a failed write leaves behind is ignored. Folders are reached through Hadoop's file
+systems, so any store that Spark can write is possible. One writer at a time is assumed.
+
+The manifest's base is a compacted batch: each live id once, sorted. Only changes after it are combined when rows are
+read; the base's rows pass by, but for the ids that changed. Built indexes (lists, codes, graphs, and what was trained
+for them) belong to a base and stay on disk with it. Later changes are searched exactly beside the index, with its
+own rows of their ids left out, until they are more than a share of the base; then base and index are made anew.
 """
 
 from __future__ import annotations
@@ -12,9 +18,11 @@ from __future__ import annotations
 import json
 import time
 import uuid
+import warnings
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,16 +34,28 @@ from ..functions.filters import compile_filter
 from ..operators import cluster, fusion, hnsw, search
 from ..operators.keyword import sparse_top
 
+#: Versions of a manifest that are kept.
+VERSIONS = 3
 INDEX_TYPES = ("flat", "hnsw", "quantized_flat", "ivf", "ivf_pq", "fp16_flat", "mmap_flat", "binary_flat")
 COMPACTION = 50_000
-#: Compact when as many changes are dead as this share of the live rows, and COMPACTION at least.
+#: Compact when there are as many changes as this share of the base's rows, and COMPACTION at least.
 DEAD_SHARE = 0.5
+#: Changes beside an index that are searched exactly: so many, or this share of the base.
+STAGED, STAGED_SHARE = 1_000, 0.1
 CHANGES = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("n", T.LongType()), T.StructField("op", T.StringType()), T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.FloatType())),
     T.StructField("payload", T.StringType()), T.StructField("sparse", T.MapType(T.LongType(), T.DoubleType())),
 ])
 
 
+#: What a manifest says of the rows, and a snapshot keeps.
+STATE = ("base", "log", "rows", "changes")
+
+
+def _batches(manifest: dict) -> list[str]:
+    return [*([manifest["base"]] if manifest["base"] else []), *manifest["log"]]
+
+
 class Files:
     """Small files and folders by Hadoop's file system."""
 
@@ -54,15 +74,35 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """By a temporary file that then takes the name."""
-        temporary = f"{path}.{uuid.uuid4().hex}"
+        """A new file, complete as soon as it has its name."""
+        folder, name = path.rsplit("/", 1)
+        temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
         stream = self.fs.create(self._path(temporary), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(self._path(path), False)
-        if not self.fs.rename(self._path(temporary), self._path(path)):
+        if self.exists(path) or not self.fs.rename(self._path(temporary), self._path(path)):
+            self.fs.delete(self._path(temporary), False)
             raise OSError(f"{path} can't be written")
 
+    def versions(self, folder: str) -> list[int]:
+        return sorted(int(x[:-5]) for x in self.names(folder) if x.endswith(".json") and x[:-5].isdigit())
+
+    def read_last(self, folder: str) -> dict:
+        """What the last complete version in the folder holds."""
+        for n in reversed(self.versions(folder)):
+            try:
+                return json.loads(self.read(f"{folder}/{n:012d}.json"))
+            except ValueError:
+                continue
+        raise FileNotFoundError(folder)
+
+    def write_next(self, folder: str, content: dict) -> None:
+        """As the next version; all but the last few are deleted."""
+        known = self.versions(folder)
+        self.write(f"{folder}/{(known[-1] if known else 0) + 1:012d}.json", json.dumps(content))
+        for n in known[: -VERSIONS + 1]:
+            self.delete(f"{folder}/{n:012d}.json")
+
     def exists(self, path: str) -> bool:
         return self.fs.exists(self._path(path))
 
@@ -97,10 +137,11 @@ class Collection:
     # Writing.
 
     def _manifest(self) -> dict:
-        return json.loads(self.files.read(f"{self.path}/manifest.json"))
+        return self.files.read_last(f"{self.path}/manifest")
 
-    def _commit(self, manifest: dict) -> None:
-        self.files.write(f"{self.path}/manifest.json", json.dumps(manifest | {"version": uuid.uuid4().hex}))
+    def _commit(self, manifest: dict, same: bool = False) -> None:
+        """same: the rows are what they were."""
+        self.files.write_next(f"{self.path}/manifest", manifest if same else manifest | {"version": uuid.uuid4().hex})
 
     def append(self, changes: DataFrame, batch: str | None = None) -> bool:
         """Add changes (op, id, vec, payload, sparse, and n: their order); a batch name that is known is not added again."""
@@ -114,6 +155,7 @@ class Collection:
         folder = f"log/{seq:012d}-{uuid.uuid4().hex[:8]}"
         rows.select(*[F.col(f.name).cast(f.dataType) for f in CHANGES]).write.parquet(f"{self.path}/{folder}")
         manifest["log"].append(folder)
+        manifest["changes"] += self.spark.read.parquet(f"{self.path}/{folder}").count()  # from the files' footers
         manifest["seq"] = seq
         if batch is not None:
             manifest["named"].append(batch)
@@ -133,6 +175,10 @@ class Collection:
             self.append(self.spark.createDataFrame(rows, CHANGES))
             self.maybe_compact()
 
+    def upsert_hybrid_batch(self, entries: Sequence[tuple]) -> None:
+        """(id, vector, sparse vector or None, payload or None)."""
+        self._put("put", [(e[0], e[1], e[3] if len(e) > 3 else None, e[2] if len(e) > 2 else None) for e in entries])
+
     def upsert(self, id: int, vector: Sequence[float], payload: Any = None) -> None:
         self._put("put", [(id, vector, payload, None)])
 
@@ -154,10 +200,13 @@ class Collection:
 
     def delete(self, id: int) -> bool:
         """Whether the id was there."""
-        if self.rows().where(F.col("id") == id).isEmpty():
-            return False
-        self._put("delete", [(id, None, None, None)])
-        return True
+        return self.delete_batch([id]) > 0
+
+    def delete_batch(self, ids: Sequence[int]) -> int:
+        """How many of the ids were there; they go in one batch."""
+        there = sorted(r.id for r in self.rows().select("id").where(F.col("id").isin([int(i) for i in ids])).collect())
+        self._put("delete", [(i, None, None, None) for i in there])
+        return len(there)
 
     def delete_frame(self, ids: DataFrame, batch: str | None = None) -> bool:
         return self.append(ids.select(F.lit("delete").alias("op"), "id", F.lit(None).alias("vec"), F.lit(None).alias("payload"), F.lit(None).alias("sparse"), F.lit(0).alias("n")), batch)
@@ -182,15 +231,33 @@ class Collection:
 
     # Reading.
 
-    def changes(self) -> DataFrame:
-        log = self._manifest()["log"]
-        if not log:
+    def _read(self, folders: Sequence[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], CHANGES)
-        return self.spark.read.schema(CHANGES).parquet(*[f"{self.path}/{x}" for x in log])
+        return self.spark.read.schema(CHANGES).parquet(*[f"{self.path}/{x}" for x in folders])
+
+    def changes(self) -> DataFrame:
+        """The base's rows and all later changes."""
+        return self._read(_batches(self._manifest()))
 
     def rows(self) -> DataFrame:
         """id, vec, payload, sparse of the live rows."""
-        return live_rows(self.changes())
+        manifest = self._manifest()
+        if manifest["base"] is None:
+            return live_rows(self._read(manifest["log"]))
+        base = self._read([manifest["base"]]).select("id", "vec", "payload", "sparse")
+        if not manifest["log"]:
+            return base
+        return base.join(self._changed(manifest), "id", "left_anti").unionByName(self._fresh(manifest))
+
+    def _changed(self, manifest: dict) -> DataFrame:
+        """The ids that changed since the base: as many as changes at most, which are few beside it."""
+        return self._read(manifest["log"]).select("id").distinct()
+
+    def _fresh(self, manifest: dict) -> DataFrame:
+        """The live rows among the ids that changed since the base; sparse values come from there where they stay."""
+        old = self._read([manifest["base"]]).join(self._changed(manifest), "id", "left_semi")
+        return live_rows(old.select(*[f.name for f in CHANGES]).unionByName(self._read(manifest["log"])))
 
     @property
     def count(self) -> int:
@@ -209,34 +276,83 @@ class Collection:
     def search_frame(self, query: Sequence[float], k: int, filter: dict | None = None, mode: str = "exact") -> DataFrame:
         """id, distance, payload by the collection's index type; filters restrict the candidates (all of them, if exact)."""
         metrics.check_dimensions(query, self.dimensions)
-        rows, kind, where = self.rows(), self.index_type, self._where(filter)
-        n = self.meta.get("promotion_threshold")
-        if kind == "flat" and n is not None and rows.count() >= n:
+        kind, where = self.index_type, self._where(filter)
+        if kind == "flat" and self._promoted():
             kind = "hnsw"
-        if filter is not None and mode == "exact":
-            rows = rows.where(where)
-        if kind in ("flat", "mmap_flat"):
-            return search.knn(rows, query, k, self.metric, keep=["payload"], where=None if mode == "exact" else where, mode=mode)
-        many = k if filter is None or mode == "exact" else search.OVERSCAN * k
-        if kind == "quantized_flat":
-            found = search.knn_int8(rows, query, many, self.metric)
-        elif kind == "fp16_flat":
-            found = search.knn_fp16(rows, query, many, self.metric)
-        elif kind == "binary_flat":
-            found = search.knn_binary(rows, query, many, self.metric)
-        elif kind == "hnsw":
-            # A restricted set is searched exactly: a graph over all rows could miss what the filter leaves.
-            found = search.knn(rows, query, many, self.metric) if filter is not None and mode == "exact" else hnsw.search(self._built(), [(0, query)], many, self.metric, self.meta["hnsw"]["ef_search"])
+        exact = where is not None and mode == "exact"
+        many = k if where is None or exact else search.OVERSCAN * k
+        if kind in ("ivf", "ivf_pq") or (kind == "hnsw" and not exact):
+            return self._search_built(kind, query, k, many, where, mode)
+        # A graph over all rows could miss what a filter leaves, so a restricted set is searched exactly.
+        rows = self.rows().where(where) if exact else self.rows()
+        if kind in ("flat", "mmap_flat", "hnsw"):
+            return search.knn(rows, query, k, self.metric, keep=["payload"], where=None if exact else where, mode=mode)
+        find = {"quantized_flat": search.knn_int8, "fp16_flat": search.knn_fp16, "binary_flat": search.knn_binary}[kind]
+        found = find(rows, query, many, self.metric, keep=["payload"])
+        if where is not None and not exact:
+            found = found.where(where)
+        return found.orderBy("distance", "id").limit(max(0, k))
+
+    def _search_built(self, kind: str, query: Sequence[float], k: int, many: int, where: Column | None, mode: str) -> DataFrame:
+        """By the index of the base, whose rows carry payloads, and exactly among later changes."""
+        made, manifest = self._built()
+        changed = self._changed(manifest) if manifest["log"] else None
+        if kind == "hnsw":
+            found = hnsw.search(made, [(0, query)], many, self.metric, self.meta["hnsw"]["ef_search"], changed).select("id", "distance")
+            ids = [r.id for r in found.collect()]  # many at the most; the base is sorted by id
+            payloads = self._read([manifest["base"]]).where(F.col("id").isin(ids)).select("id", "payload")
+            found = found.join(payloads, "id")
         else:
-            centroids, book, lists = self._built()
-            if filter is not None and mode == "exact":
-                lists = lists.join(rows.select("id"), "id", "left_semi")
+            centroids, book, lists = made
+            if changed is not None:
+                lists = lists.join(changed, "id", "left_anti")
+            if where is not None and mode == "exact":
+                lists = lists.where(where)
             probes = self.meta["ivf"]["nprobe"]
-            found = cluster.ivf_search(lists, centroids, query, many, probes, self.metric) if kind == "ivf" else cluster.ivfpq_search(lists, centroids, book, query, many, probes, self.metric)
-        out = found.select("id", "distance").join(rows.select("id", "payload"), "id")
-        if filter is not None and mode != "exact":
-            out = out.where(where)
-        return out.orderBy("distance", "id").limit(max(0, k))
+            if kind == "ivf":
+                found = cluster.ivf_search(lists, centroids, query, many, probes, self.metric, keep=["payload"])
+            else:
+                found = cluster.ivfpq_search(lists, centroids, book, query, many, probes, self.metric, keep=["payload"])
+        if changed is not None:
+            fresh = self._fresh(manifest)
+            if where is not None and mode == "exact":
+                fresh = fresh.where(where)
+            near = search.knn(fresh, query, many, self.metric if kind != "ivf_pq" else "l2", keep=["payload"])
+            if kind == "ivf_pq":  # codes give squared distances
+                near = near.withColumn("distance", F.col("distance") * F.col("distance"))
+            found = found.select("id", "distance", "payload").unionByName(near)
+        if where is not None and mode != "exact":
+            found = found.orderBy("distance", "id").limit(many).where(where)
+        return found.select("id", "distance", "payload").orderBy("distance", "id").limit(max(0, k))
+
+    def search_many(self, queries: DataFrame, k: int) -> DataFrame:
+        """qid, id, distance, rank for every row of queries (qid, qvec), a block of them in one pass."""
+        kind = "hnsw" if self.index_type == "flat" and self._promoted() else self.index_type
+        if kind not in ("ivf", "hnsw"):
+            return search.knn_batch(self.rows(), queries, k, self.metric)
+        made, manifest = self._built()
+        changed = self._changed(manifest) if manifest["log"] else None
+        if kind == "hnsw":
+            found = hnsw.search_frame(made, queries, k, self.metric, self.meta["hnsw"]["ef_search"], changed)
+        else:
+            centroids, _, lists = made
+            lists = lists if changed is None else lists.join(changed, "id", "left_anti")
+            found = cluster.ivf_search_frame(lists, centroids, queries, k, self.meta["ivf"]["nprobe"], self.metric)
+        if changed is None:
+            return found
+        both = found.unionByName(search.knn_batch(self._fresh(manifest), queries, k, self.metric))
+        own = Window.partitionBy("qid").orderBy("distance", "id")
+        return both.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+
+    def _promoted(self) -> bool:
+        """Whether a flat collection has grown to its promotion threshold; once it has, the base says so."""
+        n, manifest = self.meta.get("promotion_threshold"), self._manifest()
+        if n is None or manifest["promoted"]:
+            return manifest["promoted"]
+        if manifest["rows"] + manifest["changes"] < n or self.count < n:
+            return False
+        self._commit(manifest | {"promoted": True}, same=True)
+        return True
 
     def search(self, query: Sequence[float], k: int, filter: dict | None = None, mode: str = "exact") -> list[dict]:
         return [_result(r, {"id": r.id, "distance": r.distance}) for r in self.search_frame(query, k, filter, mode).collect()]
@@ -254,58 +370,68 @@ class Collection:
     # Indexes that are built: kept for the version of the rows that they were built from.
 
     def build(self) -> None:
-        self._index = None
+        """Make base and index anew."""
+        self.compact()
         self._built()
 
-    def _built(self) -> Any:
-        version = self._manifest()["version"]
-        if self._index is None or self._index[0] != version:
-            rows, folder = self.rows(), f"{self.path}/index/{version}"
-            if self.index_type in ("hnsw", "flat"):
-                if not self.files.exists(f"{folder}/_SUCCESS"):
-                    h = self.meta["hnsw"]
-                    hnsw.build(rows, self.metric, h["m"], h["ef_construction"]).write.mode("overwrite").parquet(folder)
-                made: Any = self.spark.read.parquet(folder)
-            else:
-                i = self.meta["ivf"]
-                centroids = cluster.kmeans(rows, i["n_lists"], self.metric, i["max_iter"])
-                book = None
-                if self.index_type == "ivf_pq":
-                    parts = cluster.residuals(rows, centroids, self.metric)
-                    book = cluster.pq_train(parts, i["pq_m"], i["pq_k_sub"])
-                    lists = cluster.ivfpq_encode(rows, centroids, book, self.metric)
-                else:
-                    lists = cluster.assign(rows, centroids, self.metric)
-                lists.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(folder)
-                made = centroids, book, self.spark.read.parquet(folder)
-            self._index = version, made
-        return self._index[1]
+    def _built(self) -> tuple[Any, dict]:
+        """The index, and the manifest whose base it belongs to."""
+        manifest = self._manifest()
+        if manifest["base"] is None or manifest["changes"] > max(STAGED, STAGED_SHARE * manifest["rows"]):
+            self.compact()
+            manifest = self._manifest()
+        folder = f"{self.path}/index/{manifest['base'].rsplit('/', 1)[1]}"
+        if self._index is None or self._index[0] != folder:
+            if not self.files.exists(f"{folder}/about.json"):
+                self.files.delete(folder)
+                about = self._make(self._read([manifest["base"]]).select("id", "vec", "payload"), f"{folder}/rows")
+                self.files.write(f"{folder}/about.json", json.dumps(about))
+            about = json.loads(self.files.read(f"{folder}/about.json"))
+            rows = self.spark.read.parquet(f"{folder}/rows")
+            self._index = folder, rows if "centroids" not in about else (np.array(about["centroids"]), None if about["book"] is None else np.array(about["book"]), rows)
+        return self._index[1], manifest
+
+    def _make(self, rows: DataFrame, folder: str) -> dict:
+        """Write the index of rows; what was trained is returned, to be stored beside it."""
+        if self.index_type in ("hnsw", "flat"):
+            h = self.meta["hnsw"]
+            hnsw.build(rows, self.metric, h["m"], h["ef_construction"]).write.parquet(folder)
+            return {}
+        i = self.meta["ivf"]
+        centroids, book = cluster.kmeans(rows, i["n_lists"], self.metric, i["max_iter"]), None
+        if self.index_type == "ivf_pq":
+            book = cluster.pq_train(cluster.residuals(rows, centroids, self.metric), i["pq_m"], i["pq_k_sub"])
+            lists = cluster.ivfpq_encode(rows, centroids, book, self.metric, keep=["payload"])
+        else:
+            lists = cluster.assign(rows, centroids, self.metric, keep=["payload"])
+        cluster.write_lists(lists, folder)
+        return {"centroids": centroids.tolist(), "book": None if book is None else book.tolist()}
 
     # Compaction and snapshots.
 
     def maybe_compact(self) -> bool:
-        total, live = self.changes().count(), None
-        if total < self.meta["compaction_threshold"]:
-            return False
-        live = self.count
-        return self.compact() if total - live > max(self.meta["compaction_threshold"] * DEAD_SHARE, DEAD_SHARE * live) else False
+        manifest = self._manifest()
+        return self.compact() if manifest["changes"] >= max(self.meta["compaction_threshold"], DEAD_SHARE * manifest["rows"]) else False
 
     def compact(self) -> bool:
-        """Rewrite the log as one batch of the live rows; batches that a snapshot names stay on disk."""
+        """Write the live rows as a new base; batches that a snapshot names stay on disk."""
         manifest = self._manifest()
-        seq, old = manifest["seq"] + 1, manifest["log"]
+        seq, old = manifest["seq"] + 1, _batches(manifest)
         folder = f"log/{seq:012d}-{uuid.uuid4().hex[:8]}"
         rows = self.rows().select(F.lit(seq).cast("long").alias("seq"), F.lit(0).cast("long").alias("n"), F.lit("put").alias("op"), "id", "vec", "payload", "sparse")
-        rows.write.parquet(f"{self.path}/{folder}")
-        self._commit(manifest | {"log": [folder], "seq": seq})
+        rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/{folder}")
+        n = self.spark.read.parquet(f"{self.path}/{folder}").count()
+        self._commit(manifest | {"base": folder, "log": [], "seq": seq, "rows": n, "changes": 0}, same=True)
         self._sweep(old)
         return True
 
     def _sweep(self, folders: Sequence[str]) -> None:
-        used = {x for s in self.list_snapshots() for x in json.loads(self.files.read(f"{self.path}/snapshots/{s['name']}.json"))["log"]} | set(self._manifest()["log"])
+        kept = [json.loads(self.files.read(f"{self.path}/snapshots/{s['name']}.json")) for s in self.list_snapshots()]
+        used = {x for m in [*kept, self._manifest()] for x in _batches(m)}
         for x in folders:
             if x not in used:
                 self.files.delete(f"{self.path}/{x}")
+                self.files.delete(f"{self.path}/index/{x.rsplit('/', 1)[1]}")
 
     def _snapshot(self, name: str) -> str:
         return f"{self.path}/snapshots/{check_name(name)}.json"
@@ -314,32 +440,32 @@ class Collection:
         if self.files.exists(path := self._snapshot(name)):
             raise errors.SnapshotExists(name)
         info = {"name": name, "created_at": int(time.time()), "vector_count": self.count, "sparse_count": self.sparse_count}
-        self.files.write(path, json.dumps(info | {"log": self._manifest()["log"]}))
+        self.files.write(path, json.dumps(info | {k: self._manifest()[k] for k in STATE}))
         return info
 
     def list_snapshots(self) -> list[dict]:
         found = [json.loads(self.files.read(f"{self.path}/snapshots/{x}")) for x in self.files.names(f"{self.path}/snapshots") if x.endswith(".json")]
-        return sorted(({k: v for k, v in x.items() if k != "log"} for x in found), key=lambda x: (x["created_at"], x["name"]))
+        return sorted(({k: v for k, v in x.items() if k not in STATE} for x in found), key=lambda x: (x["created_at"], x["name"]))
 
     def restore_snapshot(self, name: str) -> None:
         if not self.files.exists(path := self._snapshot(name)):
             raise errors.SnapshotNotFound(name)
         manifest, saved = self._manifest(), json.loads(self.files.read(path))
-        self._commit(manifest | {"log": saved["log"]})
-        self._sweep(manifest["log"])
+        self._commit(manifest | {k: saved[k] for k in STATE})
+        self._sweep(_batches(manifest))
 
     def delete_snapshot(self, name: str) -> None:
         if not self.files.exists(path := self._snapshot(name)):
             raise errors.SnapshotNotFound(name)
-        log = json.loads(self.files.read(path))["log"]
+        saved = json.loads(self.files.read(path))
         self.files.delete(path)
-        self._sweep(log)
+        self._sweep(_batches(saved))
 
 
 def live_rows(changes: DataFrame, id: str = "id") -> DataFrame:
     """The latest change of each id by (seq, n), without those deleted; sparse carries forward within a life.
 
-    Changes are combined by an aggregate that keeps one row an id before the shuffle, not by a sort of all changes.
+    For changes since a base, which are few: each task combines its own by a sorted aggregate before the shuffle.
     """
     order = F.struct("seq", "n")
     last = F.max_by(F.struct("op", "vec", "payload"), order)
@@ -387,7 +513,7 @@ class Client:
         }
         if index_type == "ivf_pq" and dimensions % meta["ivf"]["pq_m"]:
             raise errors.InvalidConfig("the dimensions must be a multiple of pq_m")
-        self.files.write(f"{folder}/manifest.json", json.dumps({"log": [], "seq": 0, "named": [], "version": uuid.uuid4().hex}))
+        self.files.write_next(f"{folder}/manifest", {"base": None, "log": [], "rows": 0, "changes": 0, "seq": 0, "named": [], "promoted": False, "version": uuid.uuid4().hex})
         self.files.write(f"{folder}/meta.json", json.dumps(meta, indent=1))
         return self.get_collection(name)
 
@@ -411,4 +537,14 @@ class Client:
         return self.files.exists(f"{self.path}/{check_name(name)}/meta.json") and self.files.delete(f"{self.path}/{name}")
 
     def list_collections(self) -> list[str]:
-        return [x for x in self.files.names(self.path) if self.files.exists(f"{self.path}/{x}/meta.json")]
+        """The names of what can be opened; broken collections are skipped with a warning."""
+        out = []
+        for name in self.files.names(self.path):
+            if self.files.exists(f"{self.path}/{name}/meta.json"):
+                try:
+                    json.loads(self.files.read(f"{self.path}/{name}/meta.json"))["dimensions"]
+                    self.files.read_last(f"{self.path}/{name}/manifest")
+                    out.append(name)
+                except (ValueError, KeyError, FileNotFoundError) as e:
+                    warnings.warn(f"collection {name!r} is broken and skipped: {e}", stacklevel=2)
+        return out
