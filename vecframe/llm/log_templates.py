@@ -1,14 +1,15 @@
 """Operator 5: line dedup by a log-template tree.
 
 A line's tokens are its runs of non-space characters, those with a digit masked. The tree is of fixed depth: token
-count, then the first ``DEPTH`` tokens. In a leaf, lines (most frequent first, then by hash) join the template that
-equals them in the largest share of positions if that is at least ``SIMILAR``, and positions that differ become
-variable; else they start a template. A template that occurs in ``min_docs`` documents (two) recurs: its lines are
+count, then the first ``DEPTH`` tokens, then one of ``TWIGS`` hashes of the line. At a twig, lines (most frequent first,
+then by hash) join the template that equals them in the largest share of positions if that is at least ``SIMILAR``,
+and positions that differ become variable; else they start a template. The templates of a leaf's twigs (in as many
+documents as their lines, then by hash) are joined by the same rule, variable positions being equal to each other. So
+a template of any number of lines is parsed by many tasks, and the rule is the same at every size. A template that occurs in ``min_docs`` documents (two) recurs: its lines are
 dropped from every document but the first (least doc_id, nulls last), so that no content vanishes altogether.
 
 Lines are counted by distinct masked line, as hashes, before any text moves; only leaves with several lines are
-parsed, from one copy of each line; a leaf of any size is parsed whole, so that its size changes no result. Tokens
-move as 32-bit hashes. Which lines go is decided by joins on hashes of lines, and only documents' own lists of them
+parsed, from one copy of each line. Tokens move as 32-bit hashes. Which lines go is decided by joins on hashes of lines, and only documents' own lists of them
 are brought to their texts.
 
 Blank lines stay, wherever they are; null texts stay null and have no lines; a document may become empty. Rows equal
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import column, fresh, materialize, plain_names, row_keys, slices
 
-DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 2
+DEPTH, TWIGS, SIMILAR, MIN_DOCS = 3, 16, 0.7, 2
 #: Templates of a leaf that are compared one by one; beyond, those that share a block of tokens.
 SCANNED = 100
 DIGIT = re.compile(r"\d")
@@ -96,11 +97,11 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Leaf:
-    """The templates of one leaf, from lines in their order of arrival.
+    """The templates of one leaf or twig, from lines (or templates) in their order of arrival.
 
     A line that joins a template differs from it in at most ``spare`` positions, so it agrees with it on one of
     spare + 1 blocks of positions. Beyond ``SCANNED`` templates only those that share a block are compared, which are
-    all that can be joined; a position that became variable equals no token, so blocks stay as they were entered.
+    all that can be joined; blocks are entered again when one of their positions becomes variable.
     """
 
     def __init__(self, size: int, similar: float = SIMILAR):
@@ -114,7 +115,9 @@ class Leaf:
 
     def _enter(self, i: int, x: bytes) -> None:
         for (a, b), found in zip(self.blocks, self.sharing, strict=True):
-            found.setdefault(x[a:b], []).append(i)
+            at = found.setdefault(x[a:b], [])
+            if i not in at[-1:]:
+                at.append(i)
 
     def _best(self, row: np.ndarray, x: bytes) -> tuple[int, float]:
         """The template that equals the row in the largest share of positions (the first of equals), and the share."""
@@ -142,7 +145,11 @@ class Leaf:
             best, share = self._best(row, x)
             if share >= self.similar:
                 found = self.rows[best]
-                found[found != row] = WILD
+                changed = found != row
+                if (found[changed] != WILD).any():
+                    found[changed] = WILD
+                    if self.sharing is not None:
+                        self._enter(best, found.tobytes())
                 return best
         i = len(self.names)
         if i == len(self.rows):
@@ -161,34 +168,48 @@ def parse_leaf(lines: list[int], tokens: list[bytes], similar: float = SIMILAR)
     return [leaf.names[i] for i in found]
 
 
-def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (leaf, line, docs, tokens) sorted by leaf and arrival: line and template where the template may recur.
+def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """From (leaf, line, docs, tokens), sorted by leaf and arrival: the leaf, its templates, and of each line its hash, template and docs.
 
-    Of a leaf, its templates and two numbers a line are held, whatever its size.
+    Of a leaf, its templates and three numbers a line are held.
     """
     name, leaf = None, None
-    lines, found, total = array("q"), array("q"), array("q")
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if leaf is not None:
-            of, names = np.array(found), np.array(leaf.names)
-            kept = np.array(total)[of] >= 2
-            if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(lines)[kept]), pa.array(names[of[kept]])], ["line", "template"])
-
+    lines, found, docs = array("q"), array("q"), array("q")
     for batch in batches:
-        for at, line, docs, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for at, line, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if leaf is None or name != at:
-                yield from close()
+                if leaf is not None:
+                    yield name, leaf, np.array(lines), np.array(found), np.array(docs)
                 name, leaf = at, Leaf(len(x) // 4)
-                lines, found, total = array("q"), array("q"), array("q")
-            i = leaf.add(line, x)
+                lines, found, docs = array("q"), array("q"), array("q")
+            found.append(leaf.add(line, x))
             lines.append(line)
-            found.append(i)
-            if i == len(total):
-                total.append(0)
-            total[i] += docs
-    yield from close()
+            docs.append(n)
+    if leaf is not None:
+        yield name, leaf, np.array(lines), np.array(found), np.array(docs)
+
+
+def _parse_twigs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (leaf, twig, line, docs, tokens) by twig: of each line its template there, and where that began, tokens and documents."""
+    plain = (pa.RecordBatch.from_arrays([_pair(b.column(0), b.column(1)), *b.columns[2:]], ["twig", "line", "docs", "tokens"]) for b in batches)
+    for (leaf, _), found, lines, of, docs in _parsed(plain):
+        names, total = np.array(found.names), np.bincount(of, weights=docs).astype(np.int64)
+        first = names[of] == lines
+        tokens = [found.rows[i].tobytes() if f else None for i, f in zip(of.tolist(), first.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lines), leaf)), pa.array(lines), pa.array(names[of]), pa.array(total[of]), pa.array(tokens, pa.binary())], ["leaf", "line", "local", "docs", "tokens"])
+
+
+def _pair(leaf: pa.Array, twig: pa.Array) -> pa.Array:
+    return pa.array(list(zip(leaf.to_pylist(), twig.to_pylist(), strict=True)), pa.list_(pa.int64()))
+
+
+def _parse_leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (leaf, local, docs, tokens) by leaf: the leaf's template of each local one, where it may recur."""
+    for _, found, local, of, docs in _parsed(batches):
+        names, total = np.array(found.names), np.bincount(of, weights=docs)
+        kept = total[of] >= 2
+        if kept.any():
+            yield pa.RecordBatch.from_arrays([pa.array(local[kept]), pa.array(names[of[kept]])], ["local", "template"])
 
 
 LINES = "ka long, kb long, doc_id long, leaf long, line long"
@@ -212,8 +233,11 @@ def templates(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str
     wanted = distinct.join(leaves, "leaf").groupBy("place").agg(F.collect_list(F.struct("leaf", "line", "docs")).alias("wanted"))
     texts = docs.select(*row_keys(key, text), column(text).alias("text")).join(wanted.select("place.*", "wanted"), ["ka", "kb"])
     dealt = texts.select("text", "wanted").mapInArrow(_tokens, "leaf long, line long, docs long, tokens binary")
-    dealt = dealt.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "line")
-    return dealt.mapInArrow(_parse, "line long, template long").distinct().unionByName(alone)
+    dealt = dealt.select("leaf", F.pmod("line", F.lit(TWIGS)).alias("twig"), "line", "docs", "tokens").repartition("leaf", "twig").sortWithinPartitions("leaf", "twig", F.desc("docs"), "line")
+    twigs = materialize(dealt.mapInArrow(_parse_twigs, "leaf long, line long, local long, docs long, tokens binary"), "twigs")
+    locals_ = twigs.where("tokens is not null").select("leaf", "local", "docs", "tokens").repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "local")
+    found = materialize(locals_.mapInArrow(_parse_leaves, "local long, template long"), "leaf-templates")
+    return twigs.select("line", "local").join(found, "local").select("line", "template").unionByName(alone)
 
 
 def _drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,11 +302,11 @@ def brute_force(docs: list[tuple[int | None, str | None]], min_docs: int = MIN_D
     for h, (norm, _) in lines.items():
         t = norm.split()
         leaves.setdefault((len(t), *t[:DEPTH]), []).append(h)
-    of: dict[int, int] = {}
-    for found in leaves.values():
-        names: dict[int, list[str | None]] = {}
-        for h in sorted(found, key=lambda h: (-len(lines[h][1]), h)):
-            t = lines[h][0].split()
+
+    def parse(rows: list[tuple[int, int, list]]) -> tuple[dict[int, int], dict[int, list]]:
+        """Of (documents, hash, tokens) each one's template, and the templates' tokens."""
+        of, names = {}, {}
+        for _, h, t in sorted(rows, key=lambda r: (-r[0], r[1])):
             share = {n: sum(a == b for a, b in zip(x, t, strict=True)) / len(t) for n, x in names.items()}
             best = max(share, key=share.get, default=None)
             if best is not None and share[best] >= SIMILAR:
@@ -290,6 +314,18 @@ def brute_force(docs: list[tuple[int | None, str | None]], min_docs: int = MIN_D
             else:
                 names[best := h] = t
             of[h] = best
+        return of, names
+
+    of: dict[int, int] = {}
+    for found in leaves.values():
+        local, rows = {}, []
+        for twig in range(TWIGS):
+            own = [(len(lines[h][1]), h, lines[h][0].split()) for h in found if h % TWIGS == twig]
+            one, names = parse(own)
+            local |= one
+            rows += [(sum(n for n, h, _ in own if one[h] == name), name, t) for name, t in names.items()]
+        last, _ = parse(rows)
+        of |= {h: last[name] for h, name in local.items()}
     users: dict[int, set] = {}
     for h, name in of.items():
         users.setdefault(name, set()).update(lines[h][1])
