@@ -15,6 +15,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables a
 SOME = [
     "knn_cosine", "knn_batch_l2", "knn_filtered_overscan", "filter_and", "filter_json_kinds", "filter_struct_dotted", "knn_int8", "knn_fp16", "knn_binary_dot", "ivf_knn_nprobe4", "pq_adc_knn", "ivfpq_knn", "kmeans_one_step",
     "bm25_weights", "bm25_as_of_insert", "hybrid_fusion", "multi_space_partial", "delete_tombstones", "snapshot_diff", "store_search", "stream_upsert", "op6_extendible_shards", "op8_winnowing",
+    "bm25_topk", "bm25_topk_unindexed", "sparse_topk", "keyword_index_changes", "hnsw_exact_cosine", "hnsw_exact_without_deleted", "index_flat_knn", "index_save_load", "kmeans_two_steps", "pq_train_step", "knn_nan_last",
+    "store_ivf_search", "store_hnsw_many", "store_promoted_search", "store_reopened", "store_hybrid_search", "store_snapshot_named", "text_collection_keywords", "spaces_search_multi", "server_search", "sparse_index_search",
 ]
 
 
