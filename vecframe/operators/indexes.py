@@ -66,7 +66,7 @@ class FlatIndex:
             known = {i for i, _ in self._pending} & set(ids)
             if not known and self._frames:
                 asked = self.spark.createDataFrame([(i,) for i in ids], "id long")
-                known = {r.id for r in self.rows().join(F.broadcast(asked), "id", "left_semi").limit(1).collect()}
+                known = {r.id for r in self.rows().join(asked, "id", "left_semi").limit(1).collect()}
             if known or len(set(ids)) < len(ids):
                 raise errors.DuplicateId(next(iter(known), ids[0]))
 

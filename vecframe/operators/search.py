@@ -12,16 +12,19 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import DimensionMismatch
 from ..functions import metrics, quantize
+from ..sources.scratch import folder
 
 OVERSCAN = 10
 #: Query values (queries x dimensions) that go to the tasks at once; more queries take more passes.
 BLOCK_VALUES = 4_000_000
+#: Rows of queries for which Column expressions are used.
+FEW = 1_000
 
 
 def _rank(scored: DataFrame, metric: str, k: int, keep: Sequence[str]) -> DataFrame:
@@ -46,7 +49,9 @@ def knn(df: DataFrame, query: Sequence[float], k: int, metric: str = "l2", id: s
 
 
 def knn_batch_columns(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id: str = "id", vec: str = "vec", qid: str = "qid", qvec: str = "qvec") -> DataFrame:
-    """qid, id, distance, rank by Column expressions: for few queries, whose number is checked by the caller."""
+    """qid, id, distance, rank by Column expressions: for up to FEW queries, and by matrix products beyond."""
+    if queries.limit(FEW + 1).count() > FEW:
+        return knn_batch(df, queries, k, metric, id, vec, qid, qvec)
     pairs = df.select(F.col(id).alias("id"), F.col(vec).alias("v")).crossJoin(F.broadcast(queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("q"))))
     scored = pairs.select("qid", "id", metrics.ordering_distance(metric, F.col("v"), F.col("q")).alias("d"))
     return _per_query(scored, metric, k)
@@ -88,32 +93,49 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id:
     bounded whatever the number of queries.
     """
     metrics.check_metric(metric)
-    found = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("q"))
+    found = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec"))
     first = found.first()
     if first is None or k <= 0:
         return df.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
-    dims, parts, held = len(first.q), [], []
+    dims = len(first.qvec)
     step = max(1, BLOCK_VALUES // max(1, dims))
     block = found.limit(step + 1).toArrow()
     if block.num_rows <= step:  # all of them
-        return _per_query(_block(df, block.column("qid").to_numpy().astype(np.int64), matrix(block.column("q"), dims), k, metric, id, vec), metric, k)
-
-    def flush() -> None:
-        if held:
-            parts.append(_block(df, np.array([h[0] for h in held]), np.array([h[1] for h in held], np.float64), k, metric, id, vec))
-            held.clear()
-
-    for row in found.toLocalIterator():
-        if len(row.q) != dims:
-            raise DimensionMismatch(f"queries don't all have {dims} dimensions")
-        held.append((row.qid, row.q))
-        if len(held) == step:
-            flush()
-    flush()
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _per_query(out, metric, k)
+        names, q = block.column("qid").to_numpy().astype(np.int64), matrix(block.column("qvec"), dims)
+        if len(names) >= k:
+            rows = df.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec")).limit(step + 1).toArrow()
+            if 0 < rows.num_rows <= step:
+                return _small(df.sparkSession, rows, names, q, k, metric)
+        return _per_query(_block(df, names, q, k, metric, id, vec), metric, k)
+
+    def run(held: list[tuple]) -> DataFrame:
+        return _per_query(_block(df, np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.float64), k, metric, id, vec), metric, k)
+
+    return in_blocks(found, dims, run)
+
+
+def _small(spark: SparkSession, rows: pa.Table, names: np.ndarray, q: np.ndarray, k: int, metric: str) -> DataFrame:
+    """The same where all rows are BLOCK_VALUES values at the most: they go to the tasks, among which queries are dealt."""
+    ids, x = rows.column("id").to_numpy(), matrix(rows.column("vec"), q.shape[1])
+    many = max(1, min(spark.sparkContext.defaultParallelism, len(q) * len(ids) // BLOCK_VALUES))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column(0).to_numpy()
+            step = max(1, BLOCK_VALUES // len(ids))
+            for at in range(0, len(mine), step):
+                own = mine[at : at + step]
+                d = block_distances(metric, x, q[own])
+                order = nearest(d, ids, k)
+                d, near = np.take_along_axis(d, order, 1), ids[order]
+                order = np.lexsort((near, np.where(np.isnan(d), np.inf, d)), axis=1)
+                d, near = np.take_along_axis(d, order, 1), np.take_along_axis(near, order, 1)
+                n = near.shape[1]
+                ranks = pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[own], n)), pa.array(near.ravel()), pa.array(d.ravel()), ranks], ["qid", "id", "d", "rank"])
+
+    found = spark.range(0, len(q), 1, many).mapInArrow(run, "qid long, id long, d double, rank int")
+    return found.select("qid", "id", metrics.true_distance(metric, F.col("d")).alias("distance"), "rank")
 
 
 def nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -170,17 +192,30 @@ def knn_binary(df: DataFrame, query: Sequence[float], k: int, metric: str = "l2"
 
 
 def rerank(candidates: DataFrame, df: DataFrame, query: Sequence[float], k: int, metric: str = "l2", id: str = "id", vec: str = "vec") -> DataFrame:
-    """The exact nearest of candidates (column id), which are few."""
-    return knn(df.join(F.broadcast(candidates.select(F.col("id").alias(id))), id, "left_semi"), query, k, metric, id, vec)
+    """The exact nearest of candidates (column id), which are broadcast if Spark finds them small."""
+    return knn(df.join(candidates.select(F.col("id").alias(id)), id, "left_semi"), query, k, metric, id, vec)
 
 
 def in_blocks(queries: DataFrame, dims: int, run: Callable[[list[tuple]], DataFrame]) -> DataFrame | None:
-    """The union of run over blocks of BLOCK_VALUES values of (qid, qvec); None without queries."""
-    out, rows = None, queries.select("qid", "qvec").toLocalIterator()
-    while held := [(r.qid, r.qvec) for r in islice(rows, max(1, BLOCK_VALUES // dims))]:
+    """The union of run over blocks of BLOCK_VALUES values of (qid, qvec); None without queries.
+
+    A single block is left to the caller's plan. Of several, each one's result is written before the next is read, so
+    the driver holds one block and the plan doesn't grow.
+    """
+    rows, size, path = queries.select("qid", "qvec").toLocalIterator(), max(1, BLOCK_VALUES // dims), None
+    held = [(r.qid, r.qvec) for r in islice(rows, size)]
+    if not held:
+        return None
+    while more := [(r.qid, r.qvec) for r in islice(rows, size)]:
         part = run(held)
-        out = part if out is None else out.unionByName(part)
-    return out
+        path = path or folder(queries.sparkSession)
+        part.write.mode("append").parquet(path)
+        held = more
+    part = run(held)
+    if path is None:
+        return part
+    part.write.mode("append").parquet(path)
+    return queries.sparkSession.read.schema(part.schema).parquet(path)
 
 
 def pair_stats(df: DataFrame, queries: DataFrame) -> DataFrame:

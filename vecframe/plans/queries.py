@@ -7,8 +7,6 @@ check, not recall; the *_trained_* queries are trained, and *_trained_recall is
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -20,6 +18,7 @@ from ..functions.filters import compile_filter
 from ..functions.text import STOP_WORDS, tokenize
 from ..operators import cluster, fusion, hnsw, keyword, search
 from ..sources.postings import KeywordIndex
+from ..sources.scratch import folder
 from ..sources.store import Client, latest, live_rows
 from ..streaming.ingest import upsert_stream
 
@@ -69,19 +68,6 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(n) for n in names})
 
 
-def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder; in local mode, where none may be set, a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="vecframe-")
-    path = f"{root.rstrip('/')}/collections-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 # SQL parts.
 
 E = "e as (select vec_id as id, cast(embedding as double[]) as v, label from embeddings)"

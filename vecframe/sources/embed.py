@@ -55,6 +55,22 @@ class HttpEmbedding:
             return [x["embedding"] for x in sorted(json.load(answer)["data"], key=lambda x: x["index"])]
 
 
+class OpenAIEmbedding(HttpEmbedding):
+    """By the OpenAI service (or a compatible one at url); dimensions are known for its own models."""
+
+    #: The service's address, and the dimensions of its models.
+    URL = "https://api.openai.com/v1/embeddings"
+    KNOWN = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
+
+    def __init__(self, model: str = "text-embedding-3-small", api_key: str | None = None, dimensions: int | None = None, url: str = URL, timeout: float = 60):
+        super().__init__(url, model, api_key, dimensions, timeout)
+        self.asked, self.dimensions = dimensions, dimensions or self.KNOWN.get(model)
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        found = HttpEmbedding(self.url, self.model, self.api_key, self.asked, self.timeout)
+        return found(texts)
+
+
 def embed_column(df: DataFrame, embed: EmbeddingFunction, text: str = "text", out: str = "vec", batch: int = 256) -> DataFrame:
     """df with the embeddings of its texts (null: empty), computed on the executors in batches."""
 
