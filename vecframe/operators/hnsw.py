@@ -61,7 +61,7 @@ def _links(x: np.ndarray, metric: str, cap: int, width: int) -> np.ndarray:
     n = len(x)
     wide = min(max(cap + 1, min(width, CANDIDATES * cap)), n - 1)
     kept = np.full((n, min(cap, max(wide, 0))), -1, np.int32)
-    step = max(1, HELD // max(n, wide * x.shape[1]))
+    step = max(1, HELD // max(n, wide * (wide + x.shape[1])))
     for at in range(0, n if wide > 0 else 0, step):
         own = np.arange(at, min(n, at + step))
         d = block_distances("l2" if metric == "l2" else "dot_product", x, x[own])
@@ -70,23 +70,28 @@ def _links(x: np.ndarray, metric: str, cap: int, width: int) -> np.ndarray:
         d = np.take_along_axis(d, near, 1)
         order = np.argsort(d, axis=1, kind="stable")
         near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
-        apart, count = np.zeros(near.shape, bool), np.zeros(len(own), np.int64)
-        chosen = np.full((len(own), kept.shape[1]), -1, np.int32)
+        apart, count, every = np.zeros(near.shape, bool), np.zeros(len(own), np.int64), np.arange(len(own))
+        between = x[near] @ x[near].transpose(0, 2, 1)  # of the candidates with each other
+        if metric == "l2":
+            size = np.einsum("bii->bi", between).copy()
+            between = size[:, :, None] + size[:, None, :] - 2 * between
+        else:
+            between = -between
+        chosen = np.full((len(own), kept.shape[1]), -1, np.int32)  # places among the candidates
         for j in range(wide):
             least = np.full(len(own), np.inf)
             used = int(count.max())
             if used:
-                others = _near(x[near[:, j], None], x[chosen[:, :used]], metric)
-                least = np.where(chosen[:, :used] >= 0, others, np.inf).min(axis=1)
+                least = np.where(chosen[:, :used] >= 0, between[every[:, None], j, chosen[:, :used]], np.inf).min(axis=1)
             good = np.flatnonzero((d[:, j] < least) & (count < kept.shape[1]))
-            chosen[good, count[good]] = near[good, j]
+            chosen[good, count[good]] = j
             apart[good, j] = True
             count[good] += 1
         # Then the nearest of the rest, in the places that are left.
         rest = np.argsort(np.where(apart, wide, np.arange(wide)), axis=1, kind="stable")
         place = np.arange(kept.shape[1])
         fill = np.take_along_axis(near, np.take_along_axis(rest, np.maximum(place - count[:, None], 0), 1), 1)
-        kept[own] = np.where(place < count[:, None], chosen, fill)
+        kept[own] = np.where(place < count[:, None], np.take_along_axis(near, np.maximum(chosen, 0), 1), fill)
     # And back: to each node those that chose it, the nearest first.
     a, b = np.repeat(np.arange(n), kept.shape[1]), kept.ravel()
     a, b = a[b >= 0], b[b >= 0]
@@ -248,7 +253,7 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
             gone = np.isin(ids, row["gone"]) if row["gone"] else np.zeros(len(ids), bool)
             step = max(1, HELD // max(1, len(ids)))
             for at in range(0, len(q), step):
-                todo, width = np.arange(at, min(len(q), at + step)), max(ef_search, k)
+                todo, width, out = np.arange(at, min(len(q), at + step)), max(ef_search, k), []
                 while len(todo):
                     nodes = graph.search(q[todo], width)
                     live = (nodes >= 0) & ~gone[nodes]
@@ -257,8 +262,10 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
                         some = nodes[i, live[i]]
                         d = block_distances(metric, x[some].astype(np.float64), q[todo[i], None])[0]
                         best = np.lexsort((ids[some], d))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), names[todo[i]])), pa.array(ids[some[best]]), pa.array(d[best])], ["qid", "id", "d"])
+                        out.append((np.full(len(best), names[todo[i]]), ids[some[best]], d[best]))
                     todo, width = todo[~enough], 2 * width
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["qid", "id", "d"])
 
     return _per_query(given.select("shard", "dims", "ids", "vecs", "layers", "gone").mapInArrow(run, "qid long, id long, d double"), metric, k)
 
