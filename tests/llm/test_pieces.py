@@ -30,13 +30,14 @@ def coders():
 def check(coders, text):
     byte, byte_lib, word, word_lib = coders
     assert byte(text) == np.array(byte_lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert byte.many([text, "", text + "\x00", text]) == [byte(x) for x in (text, "", text + "\x00", text)]
     ids = word_lib.encode(text, add_special_tokens=False).ids
     data, want = text.encode(), np.array(ids, "<u4").tobytes()
     assert word.decode(want) == word_lib.decode(ids, skip_special_tokens=False).encode()
     if not word.plain(data):
         assert word.whole(data) == want
         return
-    assert word.run(data) == want
+    assert word.run(data) == want and word.many([data, b"", data]) == [want, b"", want]
     # Every chunk shared, cut as often as may be.
     plain, word.mean, word.share = chunk_bpe.cut_points, 2, 0.0
     chunk_bpe.cut_points = lambda x, mean: plain(x, mean, 4)
@@ -44,7 +45,8 @@ def check(coders, text):
         parts = word.parts(data, Filter(np.full(1, 0xFFFFFFFFFFFFFFFF, np.uint64)))
     finally:
         chunk_bpe.cut_points, word.mean = plain, 256
-    assert b"".join(ids + (word.run(data[a:b]) if digest else b"") for ids, digest, a, b in parts) == want
+    runs = word.runs([p[:2] for p in parts])
+    assert b"".join(ids + (word.run(data[a:b]) if digest else b"") for ids, (_, _, digest, a, b) in zip(runs, parts, strict=True)) == want
 
 
 @pytest.mark.parametrize("text", ODD)

@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RecentCache, column, materialize, slices, worker_cache
-from .wordcache import PLAIN, load, symbols
+from .wordcache import PLAIN, by_words, load, symbols
 
 WINDOW = 16
 #: One position in so many ends a chunk.
@@ -102,7 +103,7 @@ class ChunkEncoder:
         return b"".join([self.units[x] for x in found.groups() if x]) if found else self.whole(data)
 
     def unit(self, text: str) -> bytes:
-        return np.array([x.id for x in self.tokenize(symbols(text.lower()))], "<u4").tobytes()
+        return array("I", [x.id for x in self.tokenize(symbols(text.lower()))]).tobytes()
 
     def run(self, data: bytes) -> bytes:
         """Words between spaces, none of them an added token."""
@@ -127,8 +128,8 @@ class ChunkEncoder:
         last, end = data[max(a, data.rfind(b" ", a, b) + 1) : b], data.find(b" ", b + 1)
         return self.joints[left, first] and self.joints[last, data[b + 1 : end if end >= 0 else len(data)]]
 
-    def parts(self, data: bytes, known: Filter) -> list[tuple[bytes, bytes | None, int, int]]:
-        """Runs, as ids, each with the interior that follows it (digest, start, end; none after the last)."""
+    def parts(self, data: bytes, known: Filter) -> list[tuple[bytes, bool, bytes | None, int, int]]:
+        """Runs, and whether they are odd, each with the interior that follows it (digest, start, end; none after the last)."""
         out, start, odd = [], 0, False
         found = [x for x in self.interiors(data) if x[2] in known]
         if sum(b - a for a, b, _ in found) < self.share * len(data):
@@ -137,13 +138,20 @@ class ChunkEncoder:
             if not self.holds(data, start, a, b):
                 odd = True
                 continue
-            ahead = data[start : a - 1]
-            out.append((self.whole(ahead) if odd else self.run(ahead), digest, a, b))
+            out.append((data[start : a - 1], odd, digest, a, b))
             start, odd = b + 1, False
-        rest = data[start:]
-        out.append((self.whole(rest) if odd else self.run(rest), None, 0, 0))
+        out.append((data[start:], odd, None, 0, 0))
         return out
 
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """Of each text what run gives."""
+        return by_words(texts, lambda x: self.units[x.lower()], lambda x: self.words[x.encode()])
+
+    def runs(self, texts: list[tuple[bytes, bool]]) -> list[bytes]:
+        """Ids of runs; odd ones go through the library whole."""
+        plain = iter(self.many([x for x, odd in texts if not odd]))
+        return [self.whole(x) if odd else next(plain) for x, odd in texts]
+
     def decode(self, ids: bytes) -> bytes:
         numbers = np.frombuffer(ids, "<u4").tolist()
         if self.table is None:
@@ -218,13 +226,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
         rid = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             rows = []
-            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                rid, x = rid + 1, x or b""
-                parts = code.parts(x, known) if code.plain(x) else [(code.whole(x), None, 0, 0)]
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            cut = [code.parts(x, known) if code.plain(x) else [(x, True, None, 0, 0)] for x in texts]
+            runs = iter(code.runs([p[:2] for parts in cut for p in parts]))
+            for doc, x, parts in zip(batch.column(0).to_pylist(), texts, cut, strict=True):
+                rid += 1
                 if len(parts) == 1:
-                    rows.append((DONE, rid, doc, 0, None, None, None, None, *_result(code, parts[0][0], 0, payloads)))
+                    rows.append((DONE, rid, doc, 0, None, None, None, None, *_result(code, next(runs), 0, payloads)))
                     continue
-                for pos, (ids, digest, a, b) in enumerate(parts):
+                for pos, (_, _, digest, a, b) in enumerate(parts):
+                    ids = next(runs)
                     h1, h2 = struct.unpack("<qq", digest) if digest else (None, None)
                     rows.append((PART, rid, doc, pos, code.pack(ids), h1, h2, None, *nothing))
                     if digest and digest not in passed:
@@ -237,7 +248,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _encoder(tokenizer, mean, share)
         for batch in slices(batches):
-            ids = [code.pack(code.run(x)) for x in batch.column(2).to_pylist()]
+            ids = [code.pack(x) for x in code.many(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["h1", "h2", "inner"])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,9 +71,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "d
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = worker_cache(("token-store", tokenizer, dtype), lambda: ByteLevelEncoder(tokenizer, dtype))
         part, seq, start, size, keys, ids = TaskContext.get().partitionId(), 0, 0, 0, [], []
-        for batch in slices(batches):
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(code(t or "") + end)
+        for batch in slices(batches, 2000):
+            for k, found in zip(batch.column(0).to_pylist(), code.many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids.append(found + end)
                 keys.append(k)
                 size += len(ids[-1])
                 if size >= shard_bytes:
