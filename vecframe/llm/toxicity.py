@@ -184,12 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     return train_compact([(r.n, np.frombuffer(r.words, "<i4"), np.frombuffer(r.within, "<i4")) for r in found], [r.label for r in found])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, sentences: bool = True) -> DataFrame:
     """doc_id, score, predicted, n_sentences, worst_sentence (its number, from 0) and offending (sentences of p >= 0.5).
 
-    The columns of keep follow, as kept_0, kept_1 and so on.
+    The columns of keep follow, as kept_0, kept_1 and so on; texts go to Python once. Without sentences, offending is null.
     """
     keep = keep or []
+    other = [c for c in keep if c != text]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -202,12 +203,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 counts.append(len(z))
                 worst.append(int(z.argmax()) if len(z) else None)
                 ends = [*starts.tolist()[1:], 3 * len(found)]
-                offending.append([" ".join(x for x in found[starts[i] // 3 : ends[i] // 3] if x != BREAK) for i in np.flatnonzero(z >= 0).tolist()])
+                bad = [" ".join(x for x in found[starts[i] // 3 : ends[i] // 3] if x != BREAK) for i in np.flatnonzero(z >= 0).tolist()] if sentences else None
+                offending.append(bad)
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(counts, pa.int32()), pa.array(worst, pa.int32()), pa.array(offending, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names, *[f"kept_{i}" for i in range(len(keep))]])
+            rest = iter(batch.columns[2:])
+            kept = [batch.column(1) if c == text else next(rest) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, *kept], [*names, *[f"kept_{i}" for i in range(len(keep))]])
 
     names = ["doc_id", "score", "predicted", "n_sentences", "worst_sentence", "offending"]
-    rows = docs.select(column(key).cast("long").alias("doc_id"), column(text).alias("__text"), *[column(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
+    rows = docs.select(column(key).cast("long").alias("doc_id"), column(text).alias("__text"), *[column(c).alias(f"__kept_{i}") for i, c in enumerate(other)])
     schema = "doc_id long, score double, predicted int, n_sentences int, worst_sentence int, offending array<string>"
     for i, c in enumerate(keep):
         schema += f", kept_{i} {docs.schema[c].dataType.simpleString()}"
