@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4, trained on the labels beside the documents: rows of a score of 0.5 or more go."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     plain, key, text = private(docs)
-    clean = toxicity.score(plain, model, key, text, keep=plain.columns).where("predicted = 0")
+    clean = toxicity.score(plain, model, key, text, keep=plain.columns, sentences=False).where("predicted = 0")
     return clean.select(*[f"kept_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
