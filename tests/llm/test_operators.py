@@ -4,12 +4,14 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from vecframe.llm import avi, chunk_bpe, compress_quality, extendible, log_templates, simhash_vp, substring_dedup, token_store, toxicity, winnow
@@ -174,6 +176,58 @@ def test_toxicity(spark, docs, none):
     assert 0 <= toxicity.score(docs, toxicity.fit(train, labels.limit(0))).first().score <= 1
 
 
+def brute_toxicity(model, text):
+    """The noisy-or of a text's sentences in plain Python, from the trained weights."""
+    clean, sentence, left, any_word = 1.0, 0.0, False, False
+    for line in (text or "").split("\n"):
+        for token in line.split():
+            word = token.strip(toxicity.EDGE).lower()
+            tail = token[len(token.rstrip(toxicity.EDGE)) :]
+            for x in (word, *(word[:n] + "-" for n in toxicity.PREFIX if len(word) > n)):
+                if x:
+                    sentence += float(model.weights[zlib.crc32(x.encode()) % toxicity.BUCKETS + 1])
+                    any_word = True
+            left = True
+            if any(x in tail for x in ".!?…"):
+                clean /= 1 + math.exp(min(700, sentence + model.bias))
+                sentence, left = 0.0, False
+        if left or line != (text or "").split("\n")[-1]:
+            clean /= 1 + math.exp(min(700, sentence + model.bias)) if left else 1.0
+            sentence, left = 0.0, False
+    return 1 - clean if any_word else model.empty
+
+
+def test_toxicity_scores_equal_plain_python(spark, docs):
+    """Texts without blank lines, whose sentences are those of words alone."""
+    train, labels = labelled(spark)
+    model = toxicity.fit(train, labels)
+    for r in toxicity.score(train, model, keep=["text"]).collect():
+        assert r.score == pytest.approx(brute_toxicity(model, r.kept_0), abs=1e-4)
+    for r in toxicity.score(docs.where("text is null or not text rlike '\\n'"), model, keep=["text"], sentences=False).collect():
+        assert r.score == pytest.approx(brute_toxicity(model, r.kept_0), abs=1e-4) and r.offending is None
+
+
+def brute_quality(model, text):
+    """The score by the compressed sizes of all blocks, in plain Python."""
+    data, sizes = (text or "").encode(), []
+    for dictionary in (model.good, model.bad):
+        coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append(sum(len(coder.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)))
+    n = len(data) + 100 if data else 1
+    d, r, m = 10 * (sizes[1] - sizes[0]) / n, sizes[0] / n, math.log1p(len(data)) / 10
+    z = sum(w * x for w, x in zip(model.curve, [1, d, r, m, d * d, r * r, m * m, d * r, d * m, r * m, d**3], strict=True))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_quality_scores_equal_plain_python(spark, docs):
+    train, labels = labelled(spark)
+    model = compress_quality.fit(train, labels)
+    rows = train.unionByName(docs.where("doc_id is not null and doc_id <> 7").selectExpr("doc_id + 10000 as doc_id", "text"))
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    for r in compress_quality.score(rows, model).collect():
+        assert r.score == pytest.approx(brute_quality(model, texts[r.doc_id]), abs=1e-9) and r.predicted == (r.score >= 0.7)
+
+
 def test_quality(spark, docs, none):
     train, labels = labelled(spark)
     model = compress_quality.fit(train, labels)
@@ -267,8 +321,6 @@ def test_sharding_of_a_hot_row(spark, tmp_path):
 
 
 def brute_winnow(rows, items):
-    import re
-
     lower = str.maketrans(winnow.UPPER, winnow.LOWER)
     cut = lambda t: re.findall(winnow.WORD, (t or "").translate(lower))
     windows = {}
@@ -302,6 +354,16 @@ def test_winnowing(spark, docs, none, monkeypatch, broadcast):
     assert winnow.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_words(spark):
+    """The pattern in use gives the words of the pattern as it is defined."""
+    texts = ["É é Ÿ İ ŉ", "A-b_c 9\x7f\x80\u00a0x", "日本 語😀 end", "".join(map(chr, range(1, 0x250))), "MiXeD Case'S", "", None, "\U0010ffff \u2028q"]
+    lower = str.maketrans(winnow.UPPER, winnow.LOWER)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = rows.select("i", winnow.words(F.col("text")).alias("w"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(winnow.WORD_ANY_CASE)).alias("n")).collect()
+    for r in got:
+        assert r.w == re.findall(winnow.WORD, (texts[r.i] or "").translate(lower)) and r.n == len(r.w)
+
+
 def test_winnowing_of_items_without_id(spark, docs):
     """Their windows hit; they count as one item, as the SQL has it."""
     items = [(None, PASSAGE), (None, "tiny"), (4, "two spaces"), (5, " ".join(PASSAGE.split()[5:18]))]

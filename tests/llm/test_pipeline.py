@@ -1,10 +1,13 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import PASSAGE, brute_components, brute_winnow, labelled, prose
-from vecframe.llm import log_templates
+from tests.llm.test_operators import PASSAGE, WORD, brute_components, brute_toxicity, brute_winnow, labelled, prose
+from vecframe.llm import log_templates, simhash_vp, toxicity
+from vecframe.llm.wordcache import load
 
 
 CLASHING = ["ka", "kb", "a.b", "__n_lines", "kept_0", "fp", "w", "item", "gone", "c0"]
@@ -51,11 +54,43 @@ def test_stages_one_by_one(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, before, folder).count() == before.count()
 
 
-def test_run(spark, folder):
+def brute_pipeline(spark, folder):
+    """The rows of the last stage, by the brute-force version of every stage; only toxicity's weights are Spark's."""
+    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    model = toxicity.fit(read("documents"), read("labels"))
+    rows = [(r.doc_id, r.text) for r in read("documents").collect() if brute_toxicity(model, r.text) < 0.5]
+    rows = list(zip([d for d, _ in rows], log_templates.brute_force(rows), strict=True))
+    fp = [simhash_vp.fingerprint((t or "").encode()) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 4:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    best = {}
+    for g, r in zip(group, rows, strict=True):
+        best[g] = min(best.get(g, r), r, key=lambda x: (x[0] is None, x[0] or 0))
+    rows = list(best.values())
+    bad = brute_winnow(rows, [(r.item_id, r.text) for r in read("benchmark").collect()])
+    lib, out = load(WORD), []
+    for (d, t), found in zip(rows, bad, strict=True):
+        if not found[-1]:
+            ids = lib.encode(t or "", add_special_tokens=False).ids
+            out.append((d, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(lib.decode(ids, skip_special_tokens=False).encode())))
+    return out
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_run_equals_brute_force(spark, folder):
     out = corpus_pipeline.run(spark, folder)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    ids = {r.doc_id for r in out.collect()}
-    assert 1005 not in ids and 3000 not in ids and 1000 in ids and 1001 not in ids
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_reused"]
+    rows = out.collect()
+    assert sorted((r[:4] for r in rows), key=repr) == sorted(brute_pipeline(spark, folder), key=repr)
+    ids = {r.doc_id for r in rows}
+    assert 1005 not in ids and 3000 not in ids and 1000 in ids
 
 
 def test_empty_tables(spark, folder, tmp_path):
