@@ -104,6 +104,27 @@ def test_hnsw(spark, rows):
     assert hnsw.edges(graph).where("id = neighbour").count() == 0
 
 
+def test_hnsw_keeps_k_when_the_nearest_are_deleted(spark, rows):
+    graph = hnsw.build(rows, m=8, shards=2).persist()
+    asked = [(i, q.tolist()) for i, q in enumerate(ASKED[:3])]
+    gone = spark.createDataFrame([(i,) for i, _ in truth(ASKED[0], 120)], "id long")
+    found = [r for r in hnsw.search(graph, asked, 10, ef_search=20, deleted=gone).collect() if r.qid == 0]
+    assert len(found) == 10 and not {r.id for r in found} & {i for i, _ in truth(ASKED[0], 120)}
+
+
+def test_hnsw_reaches_every_part(spark):
+    """Groups of equal vectors that links don't connect, and empty and tiny tables."""
+    x = np.repeat(np.random.default_rng(5).standard_normal((30, 8)), 60, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    graph = hnsw.build(df, m=4, shards=1).persist()
+    for g in range(0, 30, 7):
+        found = hnsw.search(graph, [(0, x[60 * g].tolist())], 5).collect()
+        assert [r.id for r in sorted(found, key=lambda r: r["rank"])] and all(r.distance < 1e-6 and r.id // 60 == g for r in found)
+    for n in (0, 1, 2, 3):
+        few = hnsw.build(df.where(f"id < {n}"), m=4)
+        assert hnsw.search(few, [(0, x[0].tolist())], 5).count() == n
+
+
 @pytest.mark.parametrize("kind", sorted(indexes.BY_KIND))
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_index_classes(spark, tmp_path, kind, metric):

@@ -103,6 +103,7 @@ def test_snapshots_and_compaction(client):
     c.upsert_batch([(100 + i, AXES[i % 4]) for i in range(5)])
     c.delete(0)
     assert c.compact() and c.count == 9 and len(c.files.names(f"{c.path}/log")) == 2
+    assert c.rows("one").count() == 5
     c.restore_snapshot("one")
     assert c.count == 5 and c.search(AXES[0], 1)[0]["payload"] == {"i": 0}
     with pytest.raises(KeyError):
@@ -131,6 +132,38 @@ def test_unnamed_batches_are_ignored(client):
     assert c.changes().count() == 1
 
 
+def test_manifests_that_are_broken_are_passed_over(client):
+    c = client.create_collection("c", 4, "l2", "flat")
+    c.upsert(1, AXES[0])
+    c.files.write(f"{c.path}/manifest/{99:012d}.json", '{"log": [')
+    assert c.count == 1
+    c.upsert(2, AXES[1])
+    assert c.count == 2 and len(c.files.versions(f"{c.path}/manifest")) == 3
+    with pytest.raises(OSError):
+        c.files.write(f"{c.path}/meta.json", "{}")
+    client.create_collection("d", 4)
+    for n in c.files.names(f"{client.path}/d/manifest"):
+        c.files.delete(f"{client.path}/d/manifest/{n}")
+    with pytest.warns(UserWarning, match="d"):
+        assert client.list_collections() == ["c"]
+
+
+def test_changes_beside_an_index(client):
+    """An upsert after building neither rebuilds the index nor is missed; many changes make a new base."""
+    c = client.create_collection("c", 4, "l2", "ivf", ivf={"n_lists": 2, "nprobe": 2})
+    c.upsert_batch([(i, [float(i), 0, 0, 0], {"n": i}) for i in range(40)])
+    assert c.search([7.0, 0, 0, 0], 1)[0]["id"] == 7
+    base = c._manifest()["base"]
+    c.upsert(7, [500.0, 0, 0, 0])
+    c.upsert(100, [7.1, 0, 0, 0], {"n": 100})
+    assert [f["id"] for f in c.search([7.0, 0, 0, 0], 2)] == [100, 6] and c._manifest()["base"] == base
+    assert c.delete_batch([100, 6, 12345]) == 2 and c.search([7.0, 0, 0, 0], 1)[0]["id"] == 8
+    assert [r.id for r in c.search_many(c.spark.createDataFrame([(1, [7.0, 0.0, 0.0, 0.0])], "qid long, qvec array<double>"), 2).orderBy("rank").collect()] == [8, 5]
+    c.upsert_batch([(1000 + i, [float(i), 1, 0, 0]) for i in range(1001)])
+    assert c.search([7.0, 1, 0, 0], 1)[0]["id"] == 1007 and c._manifest()["base"] != base and c.count == 39 + 1001
+    assert c.files.names(f"{c.path}/index") == [c._manifest()["base"].rsplit("/", 1)[1]]
+
+
 def test_promotion(client):
     c = client.create_collection("c", 4, "l2", "flat", promotion_threshold=3)
     c.upsert_batch([(i, AXES[i]) for i in range(4)])

@@ -240,9 +240,14 @@ class Collection:
         """The base's rows and all later changes."""
         return self._read(_batches(self._manifest()))
 
-    def rows(self) -> DataFrame:
-        """id, vec, payload, sparse of the live rows."""
-        manifest = self._manifest()
+    def rows(self, snapshot: str | None = None) -> DataFrame:
+        """id, vec, payload, sparse of the live rows, now or when a snapshot was made."""
+        if snapshot is None:
+            manifest = self._manifest()
+        elif self.files.exists(path := self._snapshot(snapshot)):
+            manifest = json.loads(self.files.read(path))
+        else:
+            raise errors.SnapshotNotFound(snapshot)
         if manifest["base"] is None:
             return live_rows(self._read(manifest["log"]))
         base = self._read([manifest["base"]]).select("id", "vec", "payload", "sparse")
