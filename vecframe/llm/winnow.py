@@ -25,12 +25,15 @@ WINDOW = SPAN - GRAM + 1
 BROADCAST = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same by what it holds, which Java matches several times faster; and the same words before lower-casing.
+WORD_HOLDS, WORD_ANY_CASE = r"[0-9a-z\x{80}-\x{10FFFF}]+", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.char_length(text)  # then lower() changes A-Z alone
+    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.regexp_extract_all(lowered, F.lit(WORD_HOLDS), F.lit(0))
 
 
 def _span(low: Column | int, high: Column) -> Column:
