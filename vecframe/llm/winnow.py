@@ -75,6 +75,15 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda s: s["n"])
 
 
+def _numbered(n: int, hashes: Column) -> Column:
+    return F.transform(hashes, lambda x: F.struct(F.lit(n).alias("n"), x.alias("fp")))
+
+
+def _found(n: int) -> Column:
+    """The hashes of number n that a document shares."""
+    return F.transform(F.filter("found", lambda x: x["n"] == n), lambda x: x["fp"])
+
+
 def _places_of(n: int) -> Column:
     """Where n words of w have a hash that is among fps<n>."""
     found = F.filter(_span(0, F.col("n") - n), lambda i: F.array_contains(f"fps{n}", F.xxhash64(F.slice("w", i + 1, n))))
@@ -96,25 +105,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     short = materialize(short, "short-items")
     lengths = sorted(r.n for r in short.select("n").distinct().collect())  # at most 12
 
-    # Documents that share a kept hash, with those hashes.
-    cut = base.select("ka", "kb", words(F.col("text")).alias("w"))
-    hashed = cut.select("ka", "kb", "w", grams("w", GRAM).alias("h"))
-    found = hashed.select("ka", "kb", F.explode(winnowed("h")).alias("fp")).join(_small(kept), "fp").groupBy("ka", "kb").agg(F.collect_set("fp").alias("fps"))
-    for n in lengths:
-        own = cut.select("ka", "kb", F.explode(F.array_distinct(grams("w", n))).alias("fp"))
-        own = own.join(_small(short.where(F.col("n") == n).select("fp")), "fp").groupBy("ka", "kb").agg(F.collect_set("fp").alias(f"fps{n}"))
-        found = found.join(own, ["ka", "kb"], "full")
-    found = materialize(found, "candidates")
+    # Documents that share a kept hash, with those hashes; n is 0 for the winnowed ones.
+    prints = materialize(kept.select(F.lit(0).alias("n"), "fp").unionByName(short), "prints")
+    hashed = base.select("ka", "kb", words(F.col("text")).alias("w")).select("ka", "kb", "w", grams("w", GRAM).alias("h"))
+    own = F.concat(_numbered(0, winnowed("h")), *[_numbered(n, F.array_distinct(grams("w", n))) for n in lengths])
+    found = hashed.select("ka", "kb", F.explode(own).alias("x")).select("ka", "kb", "x.*").join(_small(prints), ["n", "fp"])
+    found = materialize(found.groupBy("ka", "kb").agg(F.collect_set(F.struct("n", "fp")).alias("found")), "candidates")
 
     # Their windows around the hits, compared as text.
     near = base.select("ka", "kb", "text").join(found, ["ka", "kb"])
-    near = near.select("*", words(F.col("text")).alias("w")).select("*", F.size("w").alias("n"), grams("w", GRAM).alias("h"))
+    near = near.select("*", words(F.col("text")).alias("w"), *[_found(n).alias(f"fps{n}") for n in (0, *lengths)])
+    near = near.select("*", F.size("w").alias("n"), grams("w", GRAM).alias("h"))
     around = lambda i: _span(F.greatest(i - (WINDOW - 1), F.lit(0)), F.least(i, F.col("n") - SPAN))
-    hit = F.filter(_span(0, F.size("h") - 1), lambda i: F.array_contains("fps", F.element_at("h", i + 1)))
+    hit = F.filter(_span(0, F.size("h") - 1), lambda i: F.array_contains("fps0", F.element_at("h", i + 1)))
     starts = F.transform(F.array_distinct(F.flatten(F.transform(hit, around))), lambda i: F.struct(i.alias("a"), F.lit(SPAN).alias("size")))
-    places = F.when(F.col("fps").isNotNull(), starts).otherwise(F.array().cast("array<struct<a:int,size:int>>"))
+    none = F.array().cast("array<struct<a:int,size:int>>")
+    places = F.when(F.size("fps0") > 0, starts).otherwise(none)
     for n in lengths:
-        places = F.concat(places, F.when(F.col(f"fps{n}").isNotNull(), _places_of(n)).otherwise(F.array().cast("array<struct<a:int,size:int>>")))
+        places = F.concat(places, F.when(F.size(f"fps{n}") > 0, _places_of(n)).otherwise(none))
     near = near.select("ka", "kb", "w", places.alias("places"))
     texts = F.transform("places", lambda p: F.struct(p["a"].alias("a"), (p["a"] + p["size"]).alias("b"), F.array_join(F.slice("w", p["a"] + 1, p["size"]), " ").alias("window")))
     hits = near.select("ka", "kb", F.explode(texts).alias("x")).select("ka", "kb", "x.*").join(_small(windows, F.size("items") + 1), "window")
