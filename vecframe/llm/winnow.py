@@ -15,6 +15,8 @@ no part in items_sha256. Empty tables give no rows or no hits; other columns are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,31 @@ def _span(low: Column | int, high: Column) -> Column:
     return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
-def grams(of: str, size: int) -> Column:
-    """The hash of each ``size`` consecutive words of the array column ``of``."""
-    return F.transform(_span(0, F.size(of) - size), lambda i: F.xxhash64(F.slice(of, i + 1, size)))
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that comes out of a generator, so that what refers to it again doesn't compute it again."""
+    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+
+def _each(of: str, size: int, f: Callable[..., Column]) -> Column:
+    """f of each ``size`` consecutive entries of the array column."""
+    starts = F.slice(of, 1, F.greatest(F.size(of) - (size - 1), F.lit(0)))
+    return F.transform(starts, lambda x, i: f(x, *[F.get(F.col(of), i + k) for k in range(1, size)]))
+
+
+def hashed_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with its words w and their hashes hw."""
+    return _once(_once(df, "w", words(F.col(text))), "hw", F.transform("w", lambda x: F.xxhash64(x)))
+
+
+def grams(size: int) -> Column:
+    """The hash of each ``size`` consecutive words, from their hashes hw."""
+    return _each("hw", size, F.xxhash64)
 
 
 def winnowed(hashes: str) -> Column:
     """The least of each WINDOW consecutive hashes (all there are, if fewer), once each."""
-    last = F.greatest(F.size(hashes) - WINDOW, F.lit(0))
-    return F.array_distinct(F.transform(F.when(F.size(hashes) > 0, _span(0, last)).otherwise(F.array().cast("array<int>")), lambda i: F.array_min(F.slice(hashes, i + 1, WINDOW))))
+    few = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.when(F.size(hashes) < WINDOW, few).otherwise(_each(hashes, WINDOW, F.least)))
 
 
 def _small(df: DataFrame, size: Column | None = None) -> DataFrame:
@@ -85,9 +103,9 @@ def _found(n: int) -> Column:
 
 
 def _places_of(n: int) -> Column:
-    """Where n words of w have a hash that is among fps<n>."""
-    found = F.filter(_span(0, F.col("n") - n), lambda i: F.array_contains(f"fps{n}", F.xxhash64(F.slice("w", i + 1, n))))
-    return F.transform(found, lambda i: F.struct(i.alias("a"), F.lit(n).alias("size")))
+    """Where n words have a hash that is among fps<n>."""
+    all_ = F.transform(grams(n), lambda x, i: F.struct(i.alias("a"), x.alias("fp")))
+    return F.transform(F.filter(all_, lambda x: F.array_contains(f"fps{n}", x["fp"])), lambda x: F.struct(x["a"].alias("a"), F.lit(n).alias("size")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -99,23 +117,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     windows = pieces.select("item", F.array_join(F.slice("w", F.col("at") + 1, SPAN), " ").alias("window"))
     windows = windows.groupBy("window").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull().cast("int")).alias("unnamed"))
     windows = materialize(windows, "windows")
-    kept = split.where(F.size("w") >= SPAN).select(grams("w", GRAM).alias("h")).where(F.size("h") > 0).select(F.explode(winnowed("h")).alias("fp"))
+    coded = split.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
+    kept = coded.where(F.size("w") >= SPAN).select(grams(GRAM).alias("h")).select(F.explode(winnowed("h")).alias("fp"))
     kept = materialize(kept.distinct(), "fingerprints")
-    short = split.where(F.size("w") < SPAN).select(F.size("w").alias("n"), F.xxhash64("w").alias("fp")).distinct()
+    whole = F.coalesce(*[F.when(F.size("w") == n, F.get(grams(n), 0)) for n in range(1, SPAN)])
+    short = coded.where(F.size("w") < SPAN).select(F.size("w").alias("n"), whole.alias("fp")).distinct()
     short = materialize(short, "short-items")
     lengths = sorted(r.n for r in short.select("n").distinct().collect())  # at most 12
 
     # Documents that share a kept hash, with those hashes; n is 0 for the winnowed ones.
     prints = materialize(kept.select(F.lit(0).alias("n"), "fp").unionByName(short), "prints")
-    hashed = base.select("ka", "kb", words(F.col("text")).alias("w")).select("ka", "kb", "w", grams("w", GRAM).alias("h"))
-    own = F.concat(_numbered(0, winnowed("h")), *[_numbered(n, F.array_distinct(grams("w", n))) for n in lengths])
+    hashed = _once(hashed_words(base.select("ka", "kb", "text")).select("ka", "kb", "hw"), "h", grams(GRAM))
+    own = F.concat(_numbered(0, winnowed("h")), *[_numbered(n, F.array_distinct(grams(n))) for n in lengths])
     found = hashed.select("ka", "kb", F.explode(own).alias("x")).select("ka", "kb", "x.*").join(_small(prints), ["n", "fp"])
     found = materialize(found.groupBy("ka", "kb").agg(F.collect_set(F.struct("n", "fp")).alias("found")), "candidates")
 
     # Their windows around the hits, compared as text.
     near = base.select("ka", "kb", "text").join(found, ["ka", "kb"])
-    near = near.select("*", words(F.col("text")).alias("w"), *[_found(n).alias(f"fps{n}") for n in (0, *lengths)])
-    near = near.select("*", F.size("w").alias("n"), grams("w", GRAM).alias("h"))
+    near = hashed_words(near).select("ka", "kb", "w", "hw", F.size("w").alias("n"), *[_found(n).alias(f"fps{n}") for n in (0, *lengths)])
+    near = _once(near, "h", grams(GRAM))
     around = lambda i: _span(F.greatest(i - (WINDOW - 1), F.lit(0)), F.least(i, F.col("n") - SPAN))
     hit = F.filter(_span(0, F.size("h") - 1), lambda i: F.array_contains("fps0", F.element_at("h", i + 1)))
     starts = F.transform(F.array_distinct(F.flatten(F.transform(hit, around))), lambda i: F.struct(i.alias("a"), F.lit(SPAN).alias("size")))
