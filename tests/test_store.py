@@ -6,8 +6,10 @@ import urllib.request
 import pytest
 
 from vecframe import errors
+from vecframe.operators import keyword
 from vecframe.sources.collections import MultiVectorCollection, TextCollection
-from vecframe.sources.embed import EmbeddingFunction, embed_column
+from vecframe.sources.embed import EmbeddingFunction, OpenAIEmbedding, embed_column
+from vecframe.sources.postings import KeywordIndex
 from vecframe.sources.server import create_server, respond
 from vecframe.sources.store import INDEX_TYPES, Client
 from vecframe.streaming.ingest import alerts, upsert_stream
@@ -186,6 +188,22 @@ def test_text_collection(client):
     assert t.count == 2 and all(r["id"] != 2 for r in t.query("motor", 3))
 
 
+def test_keyword_index(spark, tmp_path):
+    docs = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    path = str(tmp_path / "words")
+    index = KeywordIndex.build(docs([]), path)
+    assert index.count == 0 and index.top("apple", 3).collect() == [] and index.weights("apple") == {}
+    index.add(docs([(1, "apple apple pie"), (2, "orange pie"), (3, None), (4, "the of")]))
+    index.remove(docs([(99, "")]))
+    index.upsert(docs([(2, "cherry apple"), (5, "cherry")]))
+    want = docs([(1, "apple apple pie"), (2, "cherry apple"), (5, "cherry")])
+    for q in ("apple", "cherry pie", "orange", "nothing at all", ""):
+        again = KeywordIndex(spark, path)
+        found = [(r.id, round(r.score, 9)) for r in again.top(q, 5).collect()]
+        assert found == [(r.id, round(r.score, 9)) for r in keyword.bm25_top(want, q, 5).collect()]
+    assert again.count == 3 and again.average_length == 2.0 and again.frequencies(["apple", "orange"]) == {"apple": 2}
+
+
 def test_several_spaces(client):
     m = MultiVectorCollection(client, "m", {"text": 4, "image": {"dimensions": 4, "metric": "l2"}}, "l2")
     m.upsert(1, {"text": [1, 0, 0, 0], "image": [0, 0, 0, 1]}, {"cat": "a"})
@@ -206,6 +224,7 @@ def test_several_spaces(client):
 def test_embedding_column(spark):
     df = spark.createDataFrame([(1, "aa"), (2, None)], "id long, text string")
     assert {r.id: r.vec[0] for r in embed_column(df, Letters()).collect()} == {1: 3.0, 2: 1.0}
+    assert OpenAIEmbedding().dimensions == 1536 and OpenAIEmbedding("another", dimensions=7).dimensions == 7 and OpenAIEmbedding("another").dimensions is None
 
 
 def test_requests(client):
