@@ -72,6 +72,7 @@ def test_upserts_deletes_and_reopening(spark, client):
 @pytest.mark.parametrize("kind", INDEX_TYPES)
 def test_every_index_type(client, kind):
     c = client.create_collection("c", 4, "l2", kind, ivf={"n_lists": 2, "nprobe": 2, "pq_m": 2, "pq_k_sub": 4})
+    assert c.search([0.0, 1.0, 0.1, 0.0], 2) == []
     c.upsert_batch([(i, [v + 0.01 * i for v in AXES[i]], {"n": i}) for i in range(4)])
     found = c.search([0.0, 1.0, 0.1, 0.0], 2)
     assert len(found) == 2 and (kind == "binary_flat" or found[0]["id"] == 1) and found[0]["payload"]["n"] == found[0]["id"]

@@ -54,7 +54,7 @@ class KeywordIndex:
             paths = [root] if terms is None else [f"{root}/bucket={b}" for b in sorted({zlib.crc32(t.encode()) % self.about["buckets"] for t in terms})]
             paths = [p for p in paths if self.files.exists(p)]
             if paths:
-                part = self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
+                part = self.spark.read.schema(schema).option("basePath", root).parquet(*paths).select(*[x.split()[0] for x in schema.split(", ")])
                 part = part if terms is None else part.where(F.col("term").isin(terms))
                 out = part if out is None else out.unionByName(part)
         return out if out is not None else self.spark.createDataFrame([], schema)

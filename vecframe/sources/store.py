@@ -196,7 +196,13 @@ class Collection:
             F.lit("put").alias("op"), "id", "vec", (F.col("payload") if "payload" in have else F.lit(None)).alias("payload"),
             (F.col("sparse") if "sparse" in have else F.lit(None)).alias("sparse"), (F.col("n") if "n" in have else F.lit(0)).alias("n"),
         )
-        return self.append(rows, batch)
+        return self._appended(rows, batch)
+
+    def _appended(self, rows: DataFrame, batch: str | None) -> bool:
+        added = self.append(rows, batch)
+        if added:
+            self.maybe_compact()
+        return added
 
     def delete(self, id: int) -> bool:
         """Whether the id was there."""
@@ -209,7 +215,7 @@ class Collection:
         return len(there)
 
     def delete_frame(self, ids: DataFrame, batch: str | None = None) -> bool:
-        return self.append(ids.select(F.lit("delete").alias("op"), "id", F.lit(None).alias("vec"), F.lit(None).alias("payload"), F.lit(None).alias("sparse"), F.lit(0).alias("n")), batch)
+        return self._appended(ids.select(F.lit("delete").alias("op"), "id", F.lit(None).alias("vec"), F.lit(None).alias("payload"), F.lit(None).alias("sparse"), F.lit(0).alias("n")), batch)
 
     def attach_embedder(self, embed: Any) -> None:
         """A function from texts to vectors, for upsert_text and search_text; it isn't stored."""
@@ -301,6 +307,9 @@ class Collection:
     def _search_built(self, kind: str, query: Sequence[float], k: int, many: int, where: Column | None, mode: str) -> DataFrame:
         """By the index of the base, whose rows carry payloads, and exactly among later changes."""
         made, manifest = self._built()
+        if made is None:
+            rows = self.rows() if where is None else self.rows().where(where)
+            return search.knn(rows, query, k, self.metric, keep=["payload"])
         changed = self._changed(manifest) if manifest["log"] else None
         if kind == "hnsw":
             found = hnsw.search(made, [(0, query)], many, self.metric, self.meta["hnsw"]["ef_search"], changed).select("id", "distance")
@@ -336,6 +345,8 @@ class Collection:
         if kind not in ("ivf", "hnsw"):
             return search.knn_batch(self.rows(), queries, k, self.metric)
         made, manifest = self._built()
+        if made is None:
+            return search.knn_batch(self.rows(), queries, k, self.metric)
         changed = self._changed(manifest) if manifest["log"] else None
         if kind == "hnsw":
             found = hnsw.search_frame(made, queries, k, self.metric, self.meta["hnsw"]["ef_search"], changed)
@@ -380,11 +391,13 @@ class Collection:
         self._built()
 
     def _built(self) -> tuple[Any, dict]:
-        """The index, and the manifest whose base it belongs to."""
+        """The index (none, if its base has no rows), and the manifest whose base it belongs to."""
         manifest = self._manifest()
         if manifest["base"] is None or manifest["changes"] > max(STAGED, STAGED_SHARE * manifest["rows"]):
             self.compact()
             manifest = self._manifest()
+        if not manifest["rows"]:
+            return None, manifest
         folder = f"{self.path}/index/{manifest['base'].rsplit('/', 1)[1]}"
         if self._index is None or self._index[0] != folder:
             if not self.files.exists(f"{folder}/about.json"):
