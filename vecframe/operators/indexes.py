@@ -48,14 +48,16 @@ class FlatIndex:
             self._pending = []
             self._frame(self.spark.createDataFrame(rows, "n long, id long, vec array<float>"))
 
-    def rows(self) -> DataFrame:
-        """id, vec of the live rows."""
+    def rows(self, among: DataFrame | None = None) -> DataFrame:
+        """id, vec of the live rows; among: of these ids only, which are looked for before anything is combined."""
         self._flush_pending()
         if not self._frames:
             return self.spark.createDataFrame([], "id long, vec array<float>")
         every = self._frames[0]
         for x in self._frames[1:]:
             every = every.unionByName(x)
+        if among is not None:
+            every = every.join(among.select("id"), "id", "left_semi")
         last = every.groupBy("id").agg(F.max_by(F.struct("vec", "gone"), F.struct("seq", "n")).alias("x"))
         return last.where("not x.gone").select("id", F.col("x.vec").alias("vec"))
 
@@ -66,7 +68,7 @@ class FlatIndex:
             known = {i for i, _ in self._pending} & set(ids)
             if not known and self._frames:
                 asked = self.spark.createDataFrame([(i,) for i in ids], "id long")
-                known = {r.id for r in self.rows().join(asked, "id", "left_semi").limit(1).collect()}
+                known = {r.id for r in self.rows(asked).limit(1).collect()}
             if known or len(set(ids)) < len(ids):
                 raise errors.DuplicateId(next(iter(known), ids[0]))
 
@@ -97,7 +99,7 @@ class FlatIndex:
         self._frame(df.select(F.lit(0).alias("n"), "id", "vec"))
 
     def delete(self, id: int) -> bool:
-        if self.rows().where(F.col("id") == id).isEmpty():
+        if self.rows(self.spark.createDataFrame([(id,)], "id long")).isEmpty():
             return False
         self._frame(self.spark.createDataFrame([(0, id, None)], "n long, id long, vec array<float>"), gone=True)
         return True

@@ -312,10 +312,10 @@ class Collection:
             return search.knn(rows, query, k, self.metric, keep=["payload"])
         changed = self._changed(manifest) if manifest["log"] else None
         if kind == "hnsw":
-            found = hnsw.search(made, [(0, query)], many, self.metric, self.meta["hnsw"]["ef_search"], changed).select("id", "distance")
-            ids = [r.id for r in found.collect()]  # many at the most; the base is sorted by id
-            payloads = self._read([manifest["base"]]).where(F.col("id").isin(ids)).select("id", "payload")
-            found = found.join(payloads, "id")
+            near = hnsw.search(made, [(0, query)], many, self.metric, self.meta["hnsw"]["ef_search"], changed).select("id", "distance").collect()
+            near = [(r.id, r.distance) for r in near]  # many at the most; the base is sorted by id
+            payloads = self._read([manifest["base"]]).where(F.col("id").isin([i for i, _ in near])).select("id", "payload")
+            found = self.spark.createDataFrame(near, "id long, distance double").join(payloads, "id")
         else:
             centroids, book, lists = made
             if changed is not None:
