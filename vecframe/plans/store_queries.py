@@ -14,7 +14,7 @@ from ..sources.embed import embed_column
 from ..sources.server import respond
 from ..sources.store import Client
 from .queries import (
-    ASK, C, E, K, NEAREST, ORACLE_SQL, PARTS, Q, SEEDS, TF, W, asked, asked_hundredth, book_of, documents, first, fixed, folder, query, r6, rounded, spaces_sql, sq, table, vectors,
+    ASK, C, E, K, NEAREST, ORACLE_SQL, PARTS, Q, SEEDS, TF, W, asked, asked_hundredth, documents, first, fixed, folder, query, r6, rounded, spaces_sql, sq, table, vectors,
 )
 
 KNN = f"with {E}, {Q} select id, round(list_distance(v, q), 6) as distance from (select * from e, q where {{}} order by list_distance(v, q), id limit {K})"
@@ -173,25 +173,24 @@ MEANS = "select cid, list(x order by pos) as c from (select cid, pos, avg(x) as
 
 @query("kmeans_two_steps", f"""with {E}, {C}, {NEAREST}, c2 as ({MEANS.format('a')}),
     a2 as (select id, v, cid from (select *, row_number() over (partition by id order by {sq('v', 'c')}, cid) as n from e, c2) where n = 1), c3 as ({MEANS.format('a2')})
-    select cid::integer as list_id, unnest(range(64))::integer as pos, round(unnest(c), 6) as x from c3""")
+    select cid::integer as list_id, unnest(range(64))::integer as pos, round(unnest(c), 6) + 0.0::double as x from c3""")
 def kmeans_two_steps(spark, sf_dir):
     """The loop, from fixed rows."""
     moved = cluster.kmeans(vectors(spark, sf_dir), SEEDS, passes=2, start=fixed(spark, sf_dir))
-    return spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(moved) for j, x in enumerate(row)], "list_id int, pos int, x double").withColumn("x", r6("x"))
+    return spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(moved) for j, x in enumerate(row)], "list_id int, pos int, x double").withColumn("x", r6("x") + F.lit(0.0))
 
 
 @query("pq_train_step", f"""with {E}, {C}, s as (select unnest(range({PARTS}))::integer as s),
     k as (select id, s, cid, list_slice(v, 8 * s + 1, 8 * s + 8) as w, {sq('list_slice(v, 8 * s + 1, 8 * s + 8)', 'list_slice(c, 8 * s + 1, 8 * s + 8)')} as d from e, c, s),
     b as (select id, s, cid, w from (select *, row_number() over (partition by id, s order by d, cid) as n from k) where n = 1),
-    x as (select s, cid, unnest(w) as x, unnest(range(8))::integer as pos from b)
-    select s as part, cid::integer as code, pos, round(avg(x), 6) as x from x group by s, cid, pos""")
+    x as (select s, cid, unnest(w) as x, unnest(range(8))::integer as pos from b), m as (select s, cid, pos, avg(x) as x from x group by s, cid, pos),
+    o as (select s, cid, unnest(list_slice(c, 8 * s + 1, 8 * s + 8)) as x0, unnest(range(8))::integer as pos from c, s)
+    select o.s as part, o.cid::integer as code, o.pos, round(coalesce(m.x, o.x0), 6) + 0.0::double as x from o left join m using (s, cid, pos)""")
 def pq_train_step(spark, sf_dir):
-    """One pass of training a codebook, from fixed rows; codes that nothing is nearest to are left out."""
-    e, start = vectors(spark, sf_dir), fixed(spark, sf_dir)
-    book = cluster.pq_train_from(e, start, PARTS, 1)
-    moved = ~(book == book_of(start)).all(axis=2)
-    rows = [(int(s), int(c), p, float(book[s, c, p])) for s, c in zip(*np.nonzero(moved), strict=True) for p in range(book.shape[2])]
-    return spark.createDataFrame(rows, "part int, code int, pos int, x double").withColumn("x", r6("x"))
+    """One pass of training a codebook, from fixed rows; a code that nothing is nearest to stays."""
+    book = cluster.pq_train_from(vectors(spark, sf_dir), fixed(spark, sf_dir), PARTS, 1)
+    rows = [(s, c, p, float(book[s, c, p])) for s, c, p in np.ndindex(book.shape)]
+    return spark.createDataFrame(rows, "part int, code int, pos int, x double").withColumn("x", r6("x") + F.lit(0.0))
 
 
 # Collections.
