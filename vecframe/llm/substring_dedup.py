@@ -15,8 +15,8 @@ strings are judged on the input. All distinct strings that can be equal meet in
 
 Equal windows have the minimiser at the same place. A minimiser with more than ``SPLIT`` bytes of distinct texts is
 therefore split: its windows fall into 2, 4 or 8 classes by that place, the windows of a class share the bytes that
-all of them have around the minimiser if they are equal, and each such string of bytes has a shard of its own. The
-shards are sorted in the same way.
+all of them have around the minimiser if they are equal, and each such string of bytes has a shard of its own. Equal
+texts of a class are counted before the shuffle and go there once. The shards are sorted in the same way.
 
 Stretches are identified by two 64-bit hashes. Texts are UTF-8, null is empty; texts under SPAN bytes stay whole;
 rows equal in doc_id and text are separate occurrences; an empty table gives no rows. What is left may be cut inside
@@ -99,17 +99,24 @@ def classes(text: bytes, start: int, n: int, off: int, level: int) -> Iterator[t
             yield xxhash.xxh3_64_intdigest(text[at - low : at - high + SPAN], 8 * level + c) - (1 << 63), first, last - first + 1
 
 
+TEXTS = "shard long, part long, mini long, digest long, first int, many boolean, body binary"
+
+
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text, wanted): the text of each stretch that is wanted, with its shard."""
-    names, kinds = ["shard", "mini", "digest", "first", "many", "body"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    """From (doc_id, text, wanted): the text of each stretch that is wanted, or of its classes; shard and part name a text."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
     for batch in batches:
         rows: list[tuple] = []
         for text, wanted in zip(binary_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             for w in wanted:
-                start, n = w["start"], w["n"]
-                found = classes(text, start, n, w["off"], w["level"]) if w["level"] else [(w["mini"], 0, n)]
-                rows += [(shard, w["mini"], w["digest"], first, w["many"], text[start + first : start + first + k + SPAN - 1]) for shard, first, k in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                start, n, mini, digest, many = w["start"], w["n"], w["mini"], w["digest"], w["many"]
+                if not w["level"]:
+                    rows.append((mini, digest, mini, digest, 0, many, text[start : start + n + SPAN - 1]))
+                    continue
+                for shard, first, k in classes(text, start, n, w["off"], w["level"]):
+                    body = text[start + first : start + first + k + SPAN - 1]
+                    rows.append((shard, xxhash.xxh3_64_intdigest(body) - (1 << 63), mini, digest, first, many, body))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in TEXTS.split(", ")])
 
 
 def repeated_windows(bodies: list[bytes], many: list[bool] | None = None, span: int = SPAN) -> list[np.ndarray]:
@@ -140,7 +147,7 @@ def repeated_windows(bodies: list[bytes], many: list[bool] | None = None, span:
 
 
 def _sorted_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (shard, mini, digest, first, many, body) sorted by shard: the windows of each stretch that repeat (null: all).
+    """From (shard, part, split, many, body) sorted by shard: the windows of each text that repeat (null: all).
 
     Small shards are sorted together, up to SHARD bytes.
     """
@@ -148,23 +155,23 @@ def _sorted_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
             found = repeated_windows([r[4] for r in rows], [r[3] for r in rows])
-            out = [(m, d, first, len(f), None if f.all() else np.packbits(f).tobytes()) for (m, d, first, _, _), f in zip(rows, found, strict=True) if f.any()]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["mini", "digest", "first", "count", "windows"])
+            out = [(shard, part, split, len(f), None if f.all() else np.packbits(f).tobytes()) for (shard, part, split, _, _), f in zip(rows, found, strict=True) if f.any()]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["shard", "part", "split", "count", "windows"])
 
     ready: list[tuple] = []
     group: list[tuple] = []
     size, group_size, last = 0, 0, None
     for batch in batches:
-        for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if shard != last:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != last:
                 if size + group_size > SHARD:
                     yield from close(ready)
                     ready, size = [], 0
                 ready += group
                 size += group_size
-                group, group_size, last = [], 0, shard
-            group.append(tuple(row))
+                group, group_size, last = [], 0, row[0]
+            group.append(row)
             group_size += len(row[4])
     if size + group_size > SHARD:
         yield from close(ready)
@@ -220,11 +227,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
     distinct = materialize(distinct.select("mini", "digest", "many", "place.*"), "distinct-stretches")
     halvings = F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("bytes") / split))).cast("int")
     large = distinct.groupBy("mini").agg(F.sum(F.col("n") + SPAN - 1).alias("bytes")).where(F.col("bytes") > split).select("mini", halvings.alias("level"))
-    wanted = distinct.join(materialize(large, "large-minimisers"), "mini", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    wanted = wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("start", "n", "off", "mini", "digest", "many", "level")).alias("wanted"))
-    texts = base.join(wanted, ["ka", "kb"]).select("doc_id", "text", "wanted").mapInArrow(_texts, "shard long, mini long, digest long, first int, many boolean, body binary")
-    windows = texts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sorted_shards, "mini long, digest long, first int, count int, windows binary")
-    hits = shared.join(windows, ["mini", "digest"]).groupBy("ka", "kb").agg(F.collect_set(F.struct("start", "first", "count", "windows")).alias("hits"))
+    large = materialize(large, "large-minimisers")
+    wanted = distinct.join(large, "mini", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+
+    def texts(which: DataFrame) -> DataFrame:
+        own = which.groupBy("ka", "kb").agg(F.collect_list(F.struct("start", "n", "off", "mini", "digest", "many", "level")).alias("wanted"))
+        return base.join(own, ["ka", "kb"]).select("doc_id", "text", "wanted").mapInArrow(_texts, TEXTS)
+
+    rows, pieces = texts(wanted.where("level = 0")).select("shard", "part", F.lit(False).alias("split"), "many", "body"), None
+    if not large.isEmpty():  # classes of different stretches may be the same text, which goes to its shard once
+        pieces = materialize(texts(wanted.where("level > 0")), "split-stretches")
+        once = pieces.groupBy("shard", "part").agg(((F.count("*") > 1) | F.max("many")).alias("many"), F.first("body").alias("body"))
+        rows = rows.unionByName(once.select("shard", "part", F.lit(True).alias("split"), "many", "body"))
+    windows = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sorted_shards, "shard long, part long, split boolean, count int, windows binary")
+    if pieces is not None:
+        windows = materialize(windows, "repeated-windows")
+    found = windows.where("not split").select(F.col("shard").alias("mini"), F.col("part").alias("digest"), F.lit(0).alias("first"), "count", "windows")
+    if pieces is not None:
+        of = pieces.select("shard", "part", "mini", "digest", "first")
+        found = found.unionByName(windows.where("split").join(of, ["shard", "part"]).select("mini", "digest", "first", "count", "windows"))
+    hits = shared.join(found, ["mini", "digest"]).groupBy("ka", "kb").agg(F.collect_set(F.struct("start", "first", "count", "windows")).alias("hits"))
     out = base.join(hits, ["ka", "kb"], "left").select("doc_id", "text", "hits")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
     return out.mapInArrow(_cut(kept), schema)
