@@ -39,7 +39,7 @@ from .suffix import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 32
 #: Bytes sorted together; bytes of a minimiser's texts above which it is split, and into how many classes (a power of two).
-SHARD, SPLIT, LEVELS = 2 << 20, 256 << 10, 3
+SHARD, SPLIT, LEVELS = 1 << 20, 256 << 10, 3
 _TABLE = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
 
