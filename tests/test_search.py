@@ -160,6 +160,14 @@ def test_sparse(spark):
     assert keyword.sparse_top(p, {}, 5).count() == 0 and keyword.sparse_top(p, {0: 1.0}, 0).count() == 0
 
 
+def test_equal_sparse_vectors_tie_by_id(spark):
+    """0.1 + 0.2 + 0.3 is more than 0.3 + 0.2 + 0.1 in doubles; copies whose rows come in another order score the same."""
+    rows = [(2, 0, 0.1), (2, 1, 0.2), (2, 2, 0.3), (1, 2, 0.3), (1, 1, 0.2), (1, 0, 0.1)]
+    p = spark.createDataFrame(rows, "id long, dim long, w double").coalesce(1)
+    found = keyword.sparse_top(p, {0: 1.0, 1: 1.0, 2: 1.0}, 2).collect()
+    assert [r.id for r in found] == [1, 2] and found[0].score == found[1].score
+
+
 def test_bm25_batch_and_one_by_one(spark):
     docs = [(1, "the quick brown fox"), (2, "lazy dog sleeps near brown bear"), (3, ""), (4, "fox fox dog")]
     one = keyword.BM25()
