@@ -211,6 +211,31 @@ def test_fusion_of_spaces(spark):
     assert only.id == 1 and only.score == pytest.approx(0.25)
 
 
+def test_batches_rank_copies_by_id(spark):
+    """Each row is there twice; the last bits of a product must not decide which comes first."""
+    x = np.random.default_rng(3).normal(size=(1500, 64)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x[i % 1500].tolist()) for i in range(3000)], "id long, vec array<double>")
+    for n in (15, 300):  # rows and queries go to the tasks
+        asked = df.where(f"id < {n}").select(df.id.alias("qid"), df.vec.alias("qvec"))
+        for metric in ("l2", "cosine", "dot_product"):
+            found = [(r.qid, r["rank"], r.id, r.distance) for r in search.knn_batch(df, asked, 20, metric).orderBy("qid", "rank").collect()]
+            assert len(found) == 20 * n
+            for a, b in zip(found[::2], found[1::2], strict=True):
+                assert b[2] == a[2] + 1500 and b[3] == a[3]
+
+
+def copies_and_others(spark, metric, m):
+    """1500 equal rows and 500 others, their graph (from many copies links lead to few), and queries of both kinds."""
+    x = np.random.default_rng(1).normal(size=(2000, 32))
+    x[:1500] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    return df, hnsw.build(df, metric, m=m, shards=1), df.where("id % 100 = 0").select(df.id.alias("qid"), df.vec.alias("qvec"))
+
+
+def as_rows(found):
+    return sorted((r.qid, r["rank"], r.id) for r in found.collect())
+
+
 def test_factory_strings(spark):
     kinds = {"Flat": "FlatIndex", "SQ8": "QuantizedFlatIndex", "HNSW16": "HnswIndex", "IVF4,Flat": "IvfIndex", "IVF4,PQ2x4": "IvfPqIndex"}
     assert {f: type(indexes.from_factory(spark, 4, f)).__name__ for f in kinds} == kinds

@@ -6,7 +6,7 @@ import urllib.request
 import pytest
 
 from vecframe import errors
-from vecframe.operators import keyword
+from vecframe.operators import keyword, search
 from vecframe.sources.collections import MultiVectorCollection, TextCollection
 from vecframe.sources.embed import EmbeddingFunction, OpenAIEmbedding, embed_column
 from vecframe.sources.postings import KeywordIndex
@@ -189,6 +189,15 @@ def test_text_collection(client):
     assert t.count == 2 and all(r["id"] != 2 for r in t.query("motor", 3))
 
 
+def test_wide_beam_of_a_collection_is_exact_among_copies(client, spark):
+    rows = spark.range(2000).selectExpr("id", "transform(sequence(1, 8), i -> if(id < 1500, 0.5D, (xxhash64(id, i) % 1000) / 1000D)) as vec")
+    c = client.create_collection("c", 8, "l2", "hnsw", hnsw={"m": 4, "ef_search": 100_000})
+    c.upsert_frame(rows)
+    asked = rows.where("id % 100 = 0").selectExpr("id as qid", "vec as qvec")
+    found = lambda df: sorted((r.qid, r["rank"], r.id) for r in df.collect())
+    assert found(c.search_many(asked, 10)) == found(search.knn_batch(rows, asked, 10))
+
+
 def test_keyword_index(spark, tmp_path):
     docs = lambda rows: spark.createDataFrame(rows, "id long, text string")
     path = str(tmp_path / "words")

@@ -10,6 +10,8 @@ links don't connect to others sends its first node one layer up. Links: of a nod
 matrix products, those nearer to it than to another one that is linked already, then the nearest of the rest; and
 back. A search runs all queries of a block at once: from the top, a beam in each layer gives the starts of the next.
 Deleted ids are passed through, not returned; a beam that holds too many of them is widened until k are left.
+A beam of a quarter of the rows or more would meet nearly all nodes for each query: then the links are followed once
+for all queries, both ways, and all the rows that they connect are compared by matrix products.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import _per_query, block_distances, in_blocks, matrix
+from .search import _per_query, block_distances, closest, in_blocks, matrix
 
 M, EF_BUILD, EF_SEARCH = 12, 200, 50
 SHARD_ROWS = 50_000
-#: Candidates for each link; nodes that a beam expands at once; distances that a task holds at once.
-CANDIDATES, STEP, HELD = 4, 4, 8_000_000
+#: Candidates for each link; nodes that a beam expands at once; distances that a task holds at once; times a beam's
+#: width up to which a graph is followed as a whole.
+CANDIDATES, STEP, HELD, WHOLE = 4, 4, 8_000_000, 4
 INDEX = "shard int, shards int, dims int, ids binary, vecs binary, layers array<struct<nodes: binary, links: binary>>"
 
 
@@ -204,6 +207,17 @@ class Graph:
             starts = np.where(place >= 0, below[place], -1)
         return self.beam(q, starts, width, 0)[0]
 
+    def reached(self) -> np.ndarray:
+        """The nodes of the lowest layer that links connect, layer by layer, with the first node of the top."""
+        found = np.zeros(min(1, len(self.x)), np.int64)
+        for layer in range(len(self.layers) - 1, -1, -1):
+            nodes, links = self.layers[layer]
+            part = _parts(links)
+            found = np.flatnonzero(np.isin(part, part[found]))
+            if layer:
+                found = np.searchsorted(self.layers[layer - 1][0], nodes[found])
+        return found
+
 
 
 def build(df: DataFrame, metric: str = "l2", m: int = M, ef_construction: int = EF_BUILD, shards: int | None = None, id: str = "id", vec: str = "vec") -> DataFrame:
@@ -251,10 +265,18 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             ids, x, graph = _opened(row, metric)
             gone = np.isin(ids, row["gone"]) if row["gone"] else np.zeros(len(ids), bool)
-            step = max(1, HELD // max(1, len(ids)))
+            step, whole = max(1, HELD // max(1, len(ids))), None
             for at in range(0, len(q), step):
                 todo, width, out = np.arange(at, min(len(q), at + step)), max(ef_search, k), []
                 while len(todo):
+                    if WHOLE * width >= len(ids):
+                        if whole is None:
+                            whole = graph.reached()
+                            whole = whole[~gone[whole]]
+                            held = x[whole].astype(np.float64)
+                        i, near, d = closest(metric, held, ids[whole], q[todo], k)
+                        out.append((names[todo[i]], near, d))
+                        break
                     nodes = graph.search(q[todo], width)
                     live = (nodes >= 0) & ~gone[nodes]
                     enough = live.sum(axis=1) >= min(k, len(ids) - int(gone.sum())) if gone.any() and width < len(ids) else np.ones(len(todo), bool)
