@@ -236,6 +236,11 @@ def as_rows(found):
     return sorted((r.qid, r["rank"], r.id) for r in found.collect())
 
 
+def test_beam_of_all_rows_is_exact_among_copies(spark):
+    df, graph, asked = copies_and_others(spark, "l2", 4)
+    assert as_rows(hnsw.search_frame(graph, asked, 10, ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10))
+
+
 def test_factory_strings(spark):
     kinds = {"Flat": "FlatIndex", "SQ8": "QuantizedFlatIndex", "HNSW16": "HnswIndex", "IVF4,Flat": "IvfIndex", "IVF4,PQ2x4": "IvfPqIndex"}
     assert {f: type(indexes.from_factory(spark, 4, f)).__name__ for f in kinds} == kinds
