@@ -241,6 +241,11 @@ def test_beam_of_all_rows_is_exact_among_copies(spark):
     assert as_rows(hnsw.search_frame(graph, asked, 10, ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10))
 
 
+def test_beam_of_all_rows_is_exact_by_angle(spark):
+    df, graph, asked = copies_and_others(spark, "cosine", 4)
+    assert as_rows(hnsw.search_frame(graph, asked, 10, "cosine", ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10, "cosine"))
+
+
 def test_factory_strings(spark):
     kinds = {"Flat": "FlatIndex", "SQ8": "QuantizedFlatIndex", "HNSW16": "HnswIndex", "IVF4,Flat": "IvfIndex", "IVF4,PQ2x4": "IvfPqIndex"}
     assert {f: type(indexes.from_factory(spark, 4, f)).__name__ for f in kinds} == kinds
