@@ -246,6 +246,13 @@ def test_beam_of_all_rows_is_exact_by_angle(spark):
     assert as_rows(hnsw.search_frame(graph, asked, 10, "cosine", ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10, "cosine"))
 
 
+def test_beam_of_half_the_rows_is_exact_without_deleted(spark):
+    df, graph, asked = copies_and_others(spark, "l2", 4)
+    gone = df.where("id % 3 = 0").select("id")
+    found = hnsw.search_frame(graph, asked, 10, ef_search=1000, deleted=gone)
+    assert as_rows(found) == as_rows(search.knn_batch(df.where("id % 3 <> 0"), asked, 10))
+
+
 def test_factory_strings(spark):
     kinds = {"Flat": "FlatIndex", "SQ8": "QuantizedFlatIndex", "HNSW16": "HnswIndex", "IVF4,Flat": "IvfIndex", "IVF4,PQ2x4": "IvfPqIndex"}
     assert {f: type(indexes.from_factory(spark, 4, f)).__name__ for f in kinds} == kinds
