@@ -168,6 +168,20 @@ def test_equal_sparse_vectors_tie_by_id(spark):
     assert [r.id for r in found] == [1, 2] and found[0].score == found[1].score
 
 
+def test_sparse_links_in_blocks(spark, monkeypatch):
+    """Copies, vectors without links and several blocks, against all pairs."""
+    monkeypatch.setattr(keyword, "LINK_BLOCK", 20)
+    rng = np.random.default_rng(5)
+    made = {i: {int(d): float(rng.integers(1, 4)) for d in rng.integers(0, 60, 3)} for i in range(60)}
+    made |= {100 + i: made[i] for i in range(5)} | {200 + i: {0: 1.0} for i in range(50)} | {300: {999: 2.0}}
+    p = spark.createDataFrame([(i, str(d), w) for i, v in made.items() for d, w in v.items()], "id long, dim string, w double")
+    want = {}
+    for i, v in made.items():
+        dots = {j: sum(w * u[d] for d, w in v.items() if d in u) for j, u in made.items() if v.keys() & u.keys()}
+        want[i] = (min(j for j, u in made.items() if u == v), len(dots) - 1, sum(dots.values()))
+    assert {r.id: (r.class_id, r.links, r.dot) for r in keyword.sparse_links(p).collect()} == want
+
+
 def test_bm25_batch_and_one_by_one(spark):
     docs = [(1, "the quick brown fox"), (2, "lazy dog sleeps near brown bear"), (3, ""), (4, "fox fox dog")]
     one = keyword.BM25()
