@@ -267,6 +267,49 @@ def test_beam_of_half_the_rows_is_exact_without_deleted(spark):
     assert as_rows(found) == as_rows(search.knn_batch(df.where("id % 3 <> 0"), asked, 10))
 
 
+def test_large_shards_are_divided(spark, monkeypatch):
+    """A shard's graph is made of all pairs of its rows, so few shards of many rows never end."""
+    df, *_ = copies_and_others(spark, "l2", 4)
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 300)
+    graph = hnsw.build(df, shards=2).persist()
+    assert [r.shards for r in graph.select("shards").collect()] == [7] * 7 and hnsw.rows(graph).count() == 2000
+    asked = df.where("id % 100 = 0").select(df.id.alias("qid"), df.vec.alias("qvec"))
+    assert as_rows(hnsw.search_frame(graph, asked, 10, ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot_product"])
+def test_products_in_single_precision_lose_no_row(metric):
+    """Copies, rows that differ by less than single precision tells, zeros, odd sizes; and values that are no numbers or too large for it."""
+    g = np.random.default_rng(7)
+    x = g.normal(size=(5003, 16))
+    x[1000:2000], x[2000:2500], x[2500:2520] = x[:1000], x[3] + 1e-9 * g.normal(size=(500, 16)), 0
+    ids = g.permutation(5003)
+    for odd in (1.0, np.nan, 1e200):
+        x[4000, 0] *= odd
+        q = x[[3, 7, 2500, 5002, *range(200, 400), *([4000] if odd == 1.0 else [])]]
+        with np.errstate(all="ignore"):
+            found, wanted = search.closest_of_many(metric, x, ids, q, 10), search.closest(metric, x, ids, q, 10)
+        assert all(np.array_equal(a, b) for a, b in zip(found, wanted, strict=True))
+        x[4000, 0] = 1.0
+
+
+def test_links_are_the_nearest(monkeypatch):
+    """Groups of values give the same least ones as all values do."""
+    d = np.random.default_rng(2).normal(size=(40, 7001)).astype(np.float32)
+    d[:, 5000:5600] = d[:, :600]
+    near, value = hnsw._least(d, 96)
+    assert np.array_equal(value, np.sort(d, axis=1)[:, :96]) and np.array_equal(np.take_along_axis(d, near, 1), value)
+    assert all(len(set(row)) == 96 for row in near.tolist())
+
+
+def test_many_queries_meet_by_query(spark):
+    df, graph, _ = copies_and_others(spark, "l2", 4)
+    asked = df.where("id >= 700").select(df.id.alias("qid"), df.vec.alias("qvec"))
+    assert asked.count() > search.FEW
+    shards = hnsw.build(df, m=4, shards=3)
+    assert as_rows(hnsw.search_frame(shards, asked, 10, ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10))
+
+
 def test_factory_strings(spark):
     kinds = {"Flat": "FlatIndex", "SQ8": "QuantizedFlatIndex", "HNSW16": "HnswIndex", "IVF4,Flat": "IvfIndex", "IVF4,PQ2x4": "IvfPqIndex"}
     assert {f: type(indexes.from_factory(spark, 4, f)).__name__ for f in kinds} == kinds

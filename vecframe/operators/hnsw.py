@@ -1,6 +1,6 @@
 """Approximate search by hierarchical proximity graphs, one for each shard of the rows (after Malkov and Yashunin, 2016).
 
-A shard is the rows of one hash of the id, bounded in size by the number of shards; every shard is built and searched
+A shard is the rows of one hash of the id, SHARD_ROWS of them or so at the most; every shard is built and searched
 on its own, and the shards' results are merged. An index is a DataFrame of one row a shard, in packed arrays: ids,
 vectors, and for each layer its nodes and their links. It can be written as Parquet, and a search reads it without a
 shuffle: shards pass by as they lie, and each meets a block of queries.
@@ -24,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import _per_query, block_distances, closest, in_blocks, matrix
+from .search import FEW, _per_query, block_distances, closest_of_many, in_blocks, matrix, merged
 
 M, EF_BUILD, EF_SEARCH = 12, 200, 50
-SHARD_ROWS = 50_000
+SHARD_ROWS = 12_500
 #: Candidates for each link; nodes that a beam expands at once; distances that a task holds at once; times a beam's
 #: width up to which a graph is followed as a whole.
 CANDIDATES, STEP, HELD, WHOLE = 4, 4, 8_000_000, 4
+#: Nodes that are linked at once; distances in a group of which the least is looked at first.
+LINKED, GROUP = 128, 16
+#: Queries that are compared with a graph followed as a whole at once.
+TOGETHER = 8_192
 INDEX = "shard int, shards int, dims int, ids binary, vecs binary, layers array<struct<nodes: binary, links: binary>>"
 
 
@@ -59,55 +63,87 @@ def _near(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return -np.einsum("...i,...i->...", a, b)
 
 
+def _sortable(d: np.ndarray) -> np.ndarray:
+    """Integers of 32 bits in the order of single-precision numbers."""
+    bits = d.view(np.int32).astype(np.int64)
+    return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits)
+
+
+def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the k least of each row of d, in order.
+
+    Every m-th value makes a group; the k-th least of the groups' minima is no less than the k-th value, so few are sorted.
+    """
+    n = d.shape[1]
+    m = n // GROUP if n >= 4 * GROUP * k else n
+    size = n // m
+    low = d[:, : m * size].reshape(len(d), size, m).min(axis=1)
+    last = np.partition(low, k - 1, axis=1)[:, k - 1]
+    row, group = np.divmod(np.flatnonzero(low <= last[:, None]), m)
+    at = (row * n + group)[:, None] + m * np.arange(size)
+    at = at[np.take(d, at) <= last[row, None]]
+    rest = np.nonzero(d[:, m * size :] <= last[:, None])
+    at = np.concatenate([at, rest[0] * n + m * size + rest[1]])
+    row, value = at // n, np.take(d, at)
+    order = np.argsort((row << 32) + _sortable(value), kind="stable")
+    many = np.bincount(row, minlength=len(d))
+    order = order[(np.cumsum(many) - many)[:, None] + np.arange(k)]
+    return at[order] % n, value[order]
+
+
+def _chosen(one: np.ndarray, other: np.ndarray, own: np.ndarray, wide: int, cap: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each own node cap neighbours: those nearer to it than to a chosen one, then the nearest of the rest; and distances.
+
+    The products of rows of one and other are distances; held has room for them.
+    """
+    d = np.matmul(one[own], other.T, out=held[: len(own)])
+    if np.isnan(d.min()):
+        d[np.isnan(d)] = np.inf
+    d[np.arange(len(own)), own] = np.inf
+    near, d = _least(d, wide)
+    between = one[near] @ other[near].transpose(0, 2, 1)  # of the candidates with each other
+    least, apart, count = np.full(d.shape, np.inf, np.float32), np.zeros(d.shape, bool), np.zeros(len(own), np.int64)
+    for j in range(wide):
+        good = np.flatnonzero((d[:, j] < least[:, j]) & (count < cap))
+        if len(good):
+            apart[good, j] = True
+            count[good] += 1
+            least[good, j + 1 :] = np.minimum(least[good, j + 1 :], between[good, j, j + 1 :])
+    place = np.sort(np.argsort(~apart, axis=1, kind="stable")[:, :cap], axis=1)
+    return np.take_along_axis(near, place, 1), np.take_along_axis(d, place, 1)
+
+
 def _links(x: np.ndarray, metric: str, cap: int, width: int) -> np.ndarray:
     """Of each node up to 2 * cap neighbours (-1: none)."""
     n = len(x)
     wide = min(max(cap + 1, min(width, CANDIDATES * cap)), n - 1)
-    kept = np.full((n, min(cap, max(wide, 0))), -1, np.int32)
-    step = max(1, HELD // max(n, wide * (wide + x.shape[1])))
-    for at in range(0, n if wide > 0 else 0, step):
+    out = np.full((n, 2 * cap), -1, np.int32)
+    if wide <= 0:
+        return out
+    cap = min(cap, wide)
+    far = np.empty((n, cap), np.float32)
+    if metric == "l2":
+        size, ones = np.einsum("ij,ij->i", x, x)[:, None], np.ones((n, 1), np.float32)
+        one, other = np.hstack([x, size, ones]), np.hstack([-2 * x, ones, size])
+    else:
+        one, other = x, -x
+    step = max(1, min(LINKED, HELD // n))
+    held = np.empty((step, n), np.float32)
+    for at in range(0, n, step):
         own = np.arange(at, min(n, at + step))
-        d = block_distances("l2" if metric == "l2" else "dot_product", x, x[own])
-        d[np.arange(len(own)), own] = np.inf
-        near = np.argpartition(d, wide - 1, axis=1)[:, :wide]
-        d = np.take_along_axis(d, near, 1)
-        order = np.argsort(d, axis=1, kind="stable")
-        near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
-        apart, count, every = np.zeros(near.shape, bool), np.zeros(len(own), np.int64), np.arange(len(own))
-        between = x[near] @ x[near].transpose(0, 2, 1)  # of the candidates with each other
-        if metric == "l2":
-            size = np.einsum("bii->bi", between).copy()
-            between = size[:, :, None] + size[:, None, :] - 2 * between
-        else:
-            between = -between
-        chosen = np.full((len(own), kept.shape[1]), -1, np.int32)  # places among the candidates
-        for j in range(wide):
-            least = np.full(len(own), np.inf)
-            used = int(count.max())
-            if used:
-                least = np.where(chosen[:, :used] >= 0, between[every[:, None], j, chosen[:, :used]], np.inf).min(axis=1)
-            good = np.flatnonzero((d[:, j] < least) & (count < kept.shape[1]))
-            chosen[good, count[good]] = j
-            apart[good, j] = True
-            count[good] += 1
-        # Then the nearest of the rest, in the places that are left.
-        rest = np.argsort(np.where(apart, wide, np.arange(wide)), axis=1, kind="stable")
-        place = np.arange(kept.shape[1])
-        fill = np.take_along_axis(near, np.take_along_axis(rest, np.maximum(place - count[:, None], 0), 1), 1)
-        kept[own] = np.where(place < count[:, None], np.take_along_axis(near, np.maximum(chosen, 0), 1), fill)
-    # And back: to each node those that chose it, the nearest first.
-    a, b = np.repeat(np.arange(n), kept.shape[1]), kept.ravel()
-    a, b = a[b >= 0], b[b >= 0]
-    pairs = np.unique(np.concatenate([a * n + b, b.astype(np.int64) * n + a]))
-    a, b = pairs // n, pairs % n
-    d = np.concatenate([_near(x[a[i : i + 100_000]], x[b[i : i + 100_000]], metric) for i in range(0, len(a), 100_000)]) if len(a) else np.zeros(0)
-    forward = np.isin(pairs, np.repeat(np.arange(n), kept.shape[1])[kept.ravel() >= 0] * n + kept.ravel()[kept.ravel() >= 0])
-    order = np.lexsort((d, ~forward, a))
+        out[own, :cap], far[own] = _chosen(one, other, own, wide, cap, held)
+    # And back: to each node those that chose it and that it didn't choose, the nearest first.
+    a, b, d = [], [], []
+    for i in range(0, n, 10_000):
+        to = out[i : i + 10_000, :cap]
+        mutual = (out[to, :cap] == np.arange(i, i + len(to))[:, None, None]).any(axis=2)
+        own, at = np.nonzero(~mutual)
+        a.append(to[own, at]), b.append(own + i), d.append(far[own + i, at])
+    a, b, d = np.concatenate(a).astype(np.int64), np.concatenate(b), np.concatenate(d)
+    order = np.argsort((a << 32) + _sortable(d), kind="stable")
     a, b = a[order], b[order]
-    first = np.searchsorted(a, np.arange(n))
-    place = np.arange(len(a)) - first[a]
-    out = np.full((n, 2 * cap), -1, np.int32)
-    fits = place < 2 * cap
+    place = cap + np.arange(len(a)) - np.searchsorted(a, np.arange(n))[a]
+    fits = place < out.shape[1]
     out[a[fits], place[fits]] = b[fits]
     return out
 
@@ -221,8 +257,8 @@ class Graph:
 
 
 def build(df: DataFrame, metric: str = "l2", m: int = M, ef_construction: int = EF_BUILD, shards: int | None = None, id: str = "id", vec: str = "vec") -> DataFrame:
-    """The index of the rows, one row a shard (INDEX)."""
-    n = shards or max(1, math.ceil(df.count() / SHARD_ROWS))
+    """The index of the rows, one row a shard (INDEX). shards: at the least; more where they would hold over SHARD_ROWS."""
+    n = max(shards or 1, math.ceil(df.count() / SHARD_ROWS))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.argsort(table.column("id").to_numpy(), kind="stable")))
@@ -266,6 +302,8 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
             ids, x, graph = _opened(row, metric)
             gone = np.isin(ids, row["gone"]) if row["gone"] else np.zeros(len(ids), bool)
             step, whole = max(1, HELD // max(1, len(ids))), None
+            if WHOLE * max(ef_search, k) >= len(ids):
+                step = TOGETHER
             for at in range(0, len(q), step):
                 todo, width, out = np.arange(at, min(len(q), at + step)), max(ef_search, k), []
                 while len(todo):
@@ -274,7 +312,7 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
                             whole = graph.reached()
                             whole = whole[~gone[whole]]
                             held = x[whole].astype(np.float64)
-                        i, near, d = closest(metric, held, ids[whole], q[todo], k)
+                        i, near, d = closest_of_many(metric, held, ids[whole], q[todo], k)
                         out.append((names[todo[i]], near, d))
                         break
                     nodes = graph.search(q[todo], width)
@@ -287,9 +325,19 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
                         out.append((np.full(len(best), names[todo[i]]), ids[some[best]], d[best]))
                     todo, width = todo[~enough], 2 * width
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["qid", "id", "d"])
-
-    return _per_query(given.select("shard", "dims", "ids", "vecs", "layers", "gone").mapInArrow(run, "qid long, id long, d double"), metric, k)
+                    i, near, d = (np.concatenate(x) for x in zip(*out, strict=True))
+                    if many:
+                        first = np.flatnonzero(np.diff(i, prepend=i[:1] - 1))
+                        ends = pa.array(np.append(first, len(i)).astype(np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array(i[first]), pa.ListArray.from_arrays(ends, pa.array(near)), pa.ListArray.from_arrays(ends, pa.array(d))], ["qid", "id", "d"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(near), pa.array(d)], ["qid", "id", "d"])
+
+    many = len(names) > FEW
+    given = given.select("shard", "dims", "ids", "vecs", "layers", "gone")
+    if many:
+        return merged(given.mapInArrow(run, "qid long, id array<long>, d array<double>"), metric, k)
+    return _per_query(given.mapInArrow(run, "qid long, id long, d double"), metric, k)
 
 
 def search_frame(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2", ef_search: int = EF_SEARCH, deleted: DataFrame | None = None) -> DataFrame:
