@@ -310,6 +310,15 @@ def test_many_queries_meet_by_query(spark):
     assert as_rows(hnsw.search_frame(shards, asked, 10, ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10))
 
 
+def test_many_queries_meet_by_query_by_angle(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 700)
+    df, *_ = copies_and_others(spark, "cosine", 4)
+    asked = df.where("id >= 700").select(df.id.alias("qid"), df.vec.alias("qvec"))
+    shards = hnsw.build(df, "cosine", m=4, shards=2).persist()
+    assert shards.count() == 3
+    assert as_rows(hnsw.search_frame(shards, asked, 10, "cosine", ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10, "cosine"))
+
+
 def test_factory_strings(spark):
     kinds = {"Flat": "FlatIndex", "SQ8": "QuantizedFlatIndex", "HNSW16": "HnswIndex", "IVF4,Flat": "IvfIndex", "IVF4,PQ2x4": "IvfPqIndex"}
     assert {f: type(indexes.from_factory(spark, 4, f)).__name__ for f in kinds} == kinds
