@@ -319,6 +319,24 @@ def test_many_queries_meet_by_query_by_angle(spark, monkeypatch):
     assert as_rows(hnsw.search_frame(shards, asked, 10, "cosine", ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10, "cosine"))
 
 
+def test_deleted_ids_need_no_second_build(spark, monkeypatch):
+    """The rows are read once for a search, and ids that are too many to go to all tasks are left out too."""
+    df, graph, asked = copies_and_others(spark, "l2", 4)
+    gone, read = df.where("id % 3 = 0").select("id"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    index = hnsw.build(df.mapInArrow(counted, df.schema), m=4, shards=3)
+    before, wanted = read.value, as_rows(search.knn_batch(df.where("id % 3 <> 0"), asked, 10))
+    assert as_rows(hnsw.search(index, [(r.qid, r.qvec) for r in asked.collect()], 10, ef_search=1000, deleted=gone)) == wanted
+    assert read.value - before == 2000
+    monkeypatch.setattr(hnsw, "GONE", 100)
+    assert as_rows(hnsw.search_frame(graph, asked, 10, ef_search=1000, deleted=gone)) == wanted
+
+
 def test_factory_strings(spark):
     kinds = {"Flat": "FlatIndex", "SQ8": "QuantizedFlatIndex", "HNSW16": "HnswIndex", "IVF4,Flat": "IvfIndex", "IVF4,PQ2x4": "IvfPqIndex"}
     assert {f: type(indexes.from_factory(spark, 4, f)).__name__ for f in kinds} == kinds

@@ -33,8 +33,8 @@ SHARD_ROWS = 12_500
 CANDIDATES, STEP, HELD, WHOLE = 4, 4, 8_000_000, 4
 #: Nodes that are linked at once; distances in a group of which the least is looked at first.
 LINKED, GROUP = 128, 16
-#: Queries that are compared with a graph followed as a whole at once.
-TOGETHER = 8_192
+#: Queries that are compared with a graph followed as a whole at once; deleted ids that go to all tasks.
+TOGETHER, GONE = 8_192, 2_000_000
 INDEX = "shard int, shards int, dims int, ids binary, vecs binary, layers array<struct<nodes: binary, links: binary>>"
 
 
@@ -287,12 +287,14 @@ def _opened(row: dict, metric: str) -> tuple[np.ndarray, np.ndarray, Graph]:
 def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, metric: str = "l2", ef_search: int = EF_SEARCH, deleted: DataFrame | None = None) -> DataFrame:
     """qid, id, distance, rank for each (qid, query): every shard's beam, then the best of them.
 
-    deleted: ids (column id) to leave out; each shard gets its own.
+    deleted: ids (column id) to leave out; up to GONE go to the tasks, of more each shard gets its own.
     """
     names, q = np.array([x[0] for x in queries], np.int64), np.array([x[1] for x in queries], np.float64)
-    if deleted is None:
-        given = index.withColumn("gone", F.lit(None).cast("array<long>"))
-    else:
+    given, left_out = index.withColumn("gone", F.lit(None).cast("array<long>")), np.zeros(0, np.int64)
+    if deleted is not None:
+        left_out = deleted.select(F.col("id").cast("long").alias("id")).where("id is not null").limit(GONE + 1).toArrow().column("id").to_numpy()
+    if len(left_out) > GONE:
+        left_out = left_out[:0]
         number = index.select("shards").first()
         own = deleted.select(_shard(F.col("id").cast("long"), number.shards if number else 1).alias("shard"), F.col("id").cast("long").alias("id"))
         given = index.join(own.groupBy("shard").agg(F.collect_set("id").alias("gone")), "shard", "left")
@@ -300,7 +302,7 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             ids, x, graph = _opened(row, metric)
-            gone = np.isin(ids, row["gone"]) if row["gone"] else np.zeros(len(ids), bool)
+            gone = np.isin(ids, row["gone"] or left_out)
             step, whole = max(1, HELD // max(1, len(ids))), None
             if WHOLE * max(ef_search, k) >= len(ids):
                 step = TOGETHER
