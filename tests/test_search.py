@@ -319,6 +319,49 @@ def test_many_queries_meet_by_query_by_angle(spark, monkeypatch):
     assert as_rows(hnsw.search_frame(shards, asked, 10, "cosine", ef_search=2000)) == as_rows(search.knn_batch(df, asked, 10, "cosine"))
 
 
+def test_shards_are_dealt_evenly(spark, monkeypatch):
+    """A graph takes its task seconds, so no task gets a second shard before each has one."""
+    from pyspark.sql import functions as F
+
+    df, *_ = copies_and_others(spark, "cosine", 4)
+    tasks = lambda: sorted(r["count"] for r in hnsw.build(df, "cosine", m=4, shards=7).groupBy(F.spark_partition_id()).count().collect())
+    assert tasks() == [1] * 7
+    monkeypatch.setattr(hnsw, "TASKS", 0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert tasks() == [2, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot_product"])
+def test_results_kept_from_shard_to_shard(spark, monkeypatch, metric):
+    """A task's shards give k rows a query together, ties by id included, and the same rows as each on its own."""
+    df, *_ = copies_and_others(spark, metric, 4)
+    asked = df.where("id >= 700").select(df.id.alias("qid"), df.vec.alias("qvec"))
+    shards, sizes, packed = hnsw.build(df, metric, m=4, shards=5).coalesce(1).persist(), [], hnsw.merged
+    monkeypatch.setattr(hnsw, "merged", lambda found, *a: (sizes.append(found.selectExpr("sum(size(id))").first()[0]), packed(found, *a))[1])
+    wanted = as_rows(search.knn_batch(df, asked, 10, metric))
+    assert as_rows(hnsw.search_frame(shards, asked, 10, metric, ef_search=2000)) == wanted
+    monkeypatch.setattr(hnsw, "KEPT", 0)
+    assert as_rows(hnsw.search_frame(shards, asked, 10, metric, ef_search=2000)) == wanted
+    assert sizes == [10 * asked.count(), 50 * asked.count()]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot_product"])
+def test_bounds_lose_no_row(metric):
+    g = np.random.default_rng(8)
+    x, ids = g.normal(size=(4003, 16)), g.permutation(4003)
+    x[1000:2000], x[2500:2520] = x[:1000], 0
+    q = x[[3, 2500, *range(200, 300)]]
+    wanted = search.closest(metric, x, ids, q, 10)
+    half = search.closest(metric, x[:2000], ids[:2000], q, 10)
+    more = search.closest_of_many(metric, x[2000:], ids[2000:], q, 10, search.bounds(half, len(q), 10))
+    found = search.least(*[np.concatenate(z) for z in zip(half, more, strict=True)], 10)
+    assert all(np.array_equal(a, b) for a, b in zip(found, wanted, strict=True)) and len(more[0]) < len(wanted[0])
+
+
 def test_deleted_ids_need_no_second_build(spark, monkeypatch):
     """The rows are read once for a search, and ids that are too many to go to all tasks are left out too."""
     df, graph, asked = copies_and_others(spark, "l2", 4)

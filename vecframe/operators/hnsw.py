@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import FEW, _per_query, block_distances, closest_of_many, in_blocks, matrix, merged
+from .search import FEW, _per_query, block_distances, bounds, closest_of_many, in_blocks, least, matrix, merged
 
 M, EF_BUILD, EF_SEARCH = 12, 200, 50
 SHARD_ROWS = 12_500
@@ -33,8 +33,9 @@ SHARD_ROWS = 12_500
 CANDIDATES, STEP, HELD, WHOLE = 4, 4, 8_000_000, 4
 #: Nodes that are linked at once; distances in a group of which the least is looked at first.
 LINKED, GROUP = 128, 16
-#: Queries that are compared with a graph followed as a whole at once; deleted ids that go to all tasks.
-TOGETHER, GONE = 8_192, 2_000_000
+#: Queries that are compared with a graph followed as a whole at once; deleted ids that go to all tasks; results that a
+#: task keeps from shard to shard; tasks for each core where there are more shards.
+TOGETHER, GONE, KEPT, TASKS = 8_192, 2_000_000, 2_000_000, 4
 INDEX = "shard int, shards int, dims int, ids binary, vecs binary, layers array<struct<nodes: binary, links: binary>>"
 
 
@@ -73,11 +74,15 @@ def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of the k least of each row of d, in order.
 
     Every m-th value makes a group; the k-th least of the groups' minima is no less than the k-th value, so few are sorted.
+    NaN counts as infinite, and is replaced in d.
     """
     n = d.shape[1]
     m = n // GROUP if n >= 4 * GROUP * k else n
     size = n // m
     low = d[:, : m * size].reshape(len(d), size, m).min(axis=1)
+    if np.isnan(low).any() or np.isnan(d[:, m * size :]).any():
+        d[np.isnan(d)] = np.inf
+        low = d[:, : m * size].reshape(len(d), size, m).min(axis=1)
     last = np.partition(low, k - 1, axis=1)[:, k - 1]
     row, group = np.divmod(np.flatnonzero(low <= last[:, None]), m)
     at = (row * n + group)[:, None] + m * np.arange(size)
@@ -91,24 +96,24 @@ def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at[order] % n, value[order]
 
 
-def _chosen(one: np.ndarray, other: np.ndarray, own: np.ndarray, wide: int, cap: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chosen(one: np.ndarray, other: np.ndarray, own: np.ndarray, wide: int, cap: int, held: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """Of each own node cap neighbours: those nearer to it than to a chosen one, then the nearest of the rest; and distances.
 
     The products of rows of one and other are distances; held has room for them.
     """
     d = np.matmul(one[own], other.T, out=held[: len(own)])
-    if np.isnan(d.min()):
-        d[np.isnan(d)] = np.inf
     d[np.arange(len(own)), own] = np.inf
     near, d = _least(d, wide)
-    between = one[near] @ other[near].transpose(0, 2, 1)  # of the candidates with each other
-    least, apart, count = np.full(d.shape, np.inf, np.float32), np.zeros(d.shape, bool), np.zeros(len(own), np.int64)
-    for j in range(wide):
-        good = np.flatnonzero((d[:, j] < least[:, j]) & (count < cap))
-        if len(good):
-            apart[good, j] = True
-            count[good] += 1
-            least[good, j + 1 :] = np.minimum(least[good, j + 1 :], between[good, j, j + 1 :])
+    some = one[near]
+    between = some @ (other[near] if metric == "l2" else -some).transpose(0, 2, 1)  # of the candidates with each other
+    rows, left, apart = np.arange(len(own)), d < np.inf, np.zeros(d.shape, bool)
+    for _ in range(cap):
+        first = left.argmax(axis=1)
+        apart[rows, first] |= left[rows, first]
+        left[rows, first] = False
+        if not left.any():
+            break
+        left &= d < between[rows, first]
     place = np.sort(np.argsort(~apart, axis=1, kind="stable")[:, :cap], axis=1)
     return np.take_along_axis(near, place, 1), np.take_along_axis(d, place, 1)
 
@@ -131,7 +136,7 @@ def _links(x: np.ndarray, metric: str, cap: int, width: int) -> np.ndarray:
     held = np.empty((step, n), np.float32)
     for at in range(0, n, step):
         own = np.arange(at, min(n, at + step))
-        out[own, :cap], far[own] = _chosen(one, other, own, wide, cap, held)
+        out[own, :cap], far[own] = _chosen(one, other, own, wide, cap, held, metric)
     # And back: to each node those that chose it and that it didn't choose, the nearest first.
     a, b, d = [], [], []
     for i in range(0, n, 10_000):
@@ -269,8 +274,12 @@ def build(df: DataFrame, metric: str = "l2", m: int = M, ef_construction: int =
         kinds = [("shard", pa.int32()), ("shards", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("layers", pa.list_(pa.struct([("nodes", pa.binary()), ("links", pa.binary())])))]
         return pa.Table.from_pylist([row], pa.schema(kinds))
 
+    # Dealt by hash, some tasks would get several shards and others none.
+    spark = df.sparkSession
+    tasks = min(n, max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = df.select(_shard(F.col(id).cast("long"), n).alias("shard"), F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
-    return rows.groupBy("shard").applyInArrow(run, INDEX)
+    dealt = rows.withColumn("task", F.col("shard") % tasks).repartitionById(tasks, F.col("task"))
+    return dealt.groupBy("task", "shard").applyInArrow(run, INDEX)
 
 
 def _shard(id: F.Column, n: int | F.Column) -> F.Column:
@@ -299,11 +308,21 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
         own = deleted.select(_shard(F.col("id").cast("long"), number.shards if number else 1).alias("shard"), F.col("id").cast("long").alias("id"))
         given = index.join(own.groupBy("shard").agg(F.collect_set("id").alias("gone")), "shard", "left")
 
+    many = len(names) > FEW
+
+    def packed(i: np.ndarray, near: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        if not many:
+            return pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(near), pa.array(d)], ["qid", "id", "d"])
+        first = np.flatnonzero(np.diff(i, prepend=i[:1] - 1))
+        ends = pa.array(np.append(first, len(i)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(names[i[first]]), pa.ListArray.from_arrays(ends, pa.array(near)), pa.ListArray.from_arrays(ends, pa.array(d))], ["qid", "id", "d"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, bound = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(len(q), np.inf)
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             ids, x, graph = _opened(row, metric)
             gone = np.isin(ids, row["gone"] or left_out)
-            step, whole = max(1, HELD // max(1, len(ids))), None
+            step, whole, found = max(1, HELD // max(1, len(ids))), None, []
             if WHOLE * max(ef_search, k) >= len(ids):
                 step = TOGETHER
             for at in range(0, len(q), step):
@@ -314,8 +333,8 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
                             whole = graph.reached()
                             whole = whole[~gone[whole]]
                             held = x[whole].astype(np.float64)
-                        i, near, d = closest_of_many(metric, held, ids[whole], q[todo], k)
-                        out.append((names[todo[i]], near, d))
+                        i, near, d = closest_of_many(metric, held, ids[whole], q[todo], k, bound[todo])
+                        out.append((todo[i], near, d))
                         break
                     nodes = graph.search(q[todo], width)
                     live = (nodes >= 0) & ~gone[nodes]
@@ -324,18 +343,18 @@ def search(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k:
                         some = nodes[i, live[i]]
                         d = block_distances(metric, x[some].astype(np.float64), q[todo[i], None])[0]
                         best = np.lexsort((ids[some], d))[:k]
-                        out.append((np.full(len(best), names[todo[i]]), ids[some[best]], d[best]))
+                        out.append((np.full(len(best), todo[i]), ids[some[best]], d[best]))
                     todo, width = todo[~enough], 2 * width
-                if out:
-                    i, near, d = (np.concatenate(x) for x in zip(*out, strict=True))
-                    if many:
-                        first = np.flatnonzero(np.diff(i, prepend=i[:1] - 1))
-                        ends = pa.array(np.append(first, len(i)).astype(np.int32))
-                        yield pa.RecordBatch.from_arrays([pa.array(i[first]), pa.ListArray.from_arrays(ends, pa.array(near)), pa.ListArray.from_arrays(ends, pa.array(d))], ["qid", "id", "d"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(near), pa.array(d)], ["qid", "id", "d"])
+                if out and many and len(q) * k <= KEPT:
+                    found += out
+                elif out:
+                    yield packed(*(np.concatenate(x) for x in zip(*out, strict=True)))
+            if found:
+                kept = least(*(np.concatenate(x) for x in zip(kept, *found, strict=True)), k)
+                bound = bounds(kept, len(q), k)
+        for at in range(0, len(kept[0]), k * TOGETHER):
+            yield packed(*(x[at : at + k * TOGETHER] for x in kept))
 
-    many = len(names) > FEW
     given = given.select("shard", "dims", "ids", "vecs", "layers", "gone")
     if many:
         return merged(given.mapInArrow(run, "qid long, id array<long>, d array<double>"), metric, k)
