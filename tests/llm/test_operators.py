@@ -450,3 +450,33 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 400), (7, 7)], "u long, v long").repartition(4)
     got = {r.node: r.root for r in simhash_vp.components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_components_by_rounds_and_without(spark, most):
+    r = random.Random(5)
+    pairs = [(i, i + 1) for i in range(300)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(250)] + [(-(1 << 63), -5), ((1 << 63) - 1, -5), (7, 7), (2, 1)]
+    group = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in group:
+        before = dict(group)
+        for u, v in pairs:
+            if u != v:
+                group[u] = group[v] = min(group[u], group[v])
+        if group == before:
+            break
+    rows = simhash_vp.joined(spark.createDataFrame(pairs, "u long, v long").repartition(5), most=most).collect()
+    assert len(rows) == len(group) and {x.node: x.root for x in rows} == group
+    assert simhash_vp.joined(spark.createDataFrame([], "u long, v long"), most=most).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, None])
+def test_simhash_writes_no_round_of_few_edges(spark, monkeypatch, most):
+    """Copies with a word changed make a few edges, which go through one file set, not one a round; by rounds the rows are the same."""
+    base, tags = prose(300).split(), []
+    rows = [(i, " ".join([*base[: 5 * i], "changed", *base[5 * i + 1 :]])) for i in range(40)]
+    plain = simhash_vp.materialize
+    monkeypatch.setattr(simhash_vp, "materialize", lambda df, tag: tags.append(tag) or plain(df, tag))
+    if most is not None:
+        monkeypatch.setattr(simhash_vp, "EDGES", most)
+    same(simhash_vp.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute_components(rows))
+    assert tags.count("edges") == 1 if most is None else tags.count("edges") > 2

@@ -16,8 +16,9 @@ The top levels are planted on the driver, from SAMPLE fingerprints, and their le
 continues its tree in memory. Fingerprints that a part can't tell apart are split by the distance on all bits.
 The sample only balances the shards; links don't depend on it.
 
-Each task links what it finds by union-find and passes on one edge for each member at most; components are then
-joined by alternating large and small stars, each round written to the shared folder.
+Each task links what it finds by union-find and passes on one edge for each member at most. Up to EDGES of these edges
+are joined to components by union-find in one task; more are joined by alternating large and small stars, each round
+written to the shared folder. Both give the same components.
 
 Null texts count as empty; all empty texts share fingerprint 0. Repeated rows share their fingerprint. A null
 doc_id takes part in links but names no component unless all members are null. An empty table gives no rows.
@@ -41,6 +42,8 @@ RADIUS, PARTS = 4, 3
 ALL = (1 << 64) - 1
 #: Members of a leaf; fingerprints aimed at in a shard; those that the driver plants trees from, and the trees' levels there.
 LEAF, SHARD, SAMPLE, LEVELS = 128, 8_192, 20_000, 14
+#: Edges that one task joins to components (16 bytes each); more take the rounds of stars.
+EDGES = 500_000
 
 
 def shingle_hashes(data: bytes, size: int = 4, seed: int = 42) -> list[int]:
@@ -282,6 +285,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From all edges (u, v), in one task: node, root as of components."""
+    rows = [*batches]
+    if not rows:
+        return
+    whole = pa.Table.from_batches(rows)
+    u, v = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+    x, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    forest = Forest(len(x))
+    forest.link(place[: len(u)], place[len(u) :])
+    root = x[forest.roots()]
+    for at in range(0, len(x), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]), pa.array(root[at : at + 50_000])], ["node", "root"])
+
+
+def joined(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """What components gives; up to ``most`` edges (EDGES) without rounds, whose many small files cost more than their rows."""
+    found = materialize(edges.where("u <> v").distinct(), "edges")
+    if found.count() > (EDGES if most is None else most):
+        return components(found)
+    return found.coalesce(1).mapInArrow(_join, "node long, root long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (the smallest doc_id reachable), for every row.
 
@@ -290,7 +316,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     """
     found = materialize(fingerprints(docs, key, text, keep=keep), "fingerprints")
     nodes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = components(links(nodes.select("fp")))
+    roots = joined(links(nodes.select("fp")))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "components")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
