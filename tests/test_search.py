@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecframe import errors
-from vecframe.operators import cluster, fusion, hnsw, indexes, keyword, search
+from vecframe.operators import cluster, fusion, hnsw, indexes, keyword, links, search
 from vecframe.plans import queries
 
 RNG = np.random.default_rng(42)
@@ -182,6 +183,48 @@ def test_sparse_links_in_blocks(spark, monkeypatch):
     assert {r.id: (r.class_id, r.links, r.dot) for r in keyword.sparse_links(p).collect()} == want
 
 
+def test_sparse_links_from_the_shorter_side(spark, monkeypatch):
+    """Kinds and lengths in many blocks, dimensions as bits and as lists, copies on both sides, names of more than a byte."""
+    monkeypatch.setattr(keyword, "LINK_BLOCK", 30)
+    monkeypatch.setattr(keyword, "LINK_SHARE", 4)
+    monkeypatch.setattr(links, "SEEN", 2)
+    rng = np.random.default_rng(6)
+    made = {}
+    for i in range(240):
+        low = 100 * (i % 3)
+        made[i] = {f"é{d}": 1.0 for d in (low + 99 * rng.random(1 + i // 8) ** 3).astype(int).tolist()} | ({"all": 2.0} if i % 10 == 0 else {})
+    made |= {1000 + i: made[i // 3] for i in range(60)} | {2000: {"own": 3.0}}
+    p = spark.createDataFrame([(i, d, w) for i, v in made.items() for d, w in v.items()], "id long, dim string, w double")
+    want = {}
+    for i, v in made.items():
+        dots = [sum(w * u[d] for d, w in v.items() if d in u) for u in made.values() if v.keys() & u.keys()]
+        want[i] = (min(j for j, u in made.items() if u == v), len(dots) - 1, sum(dots))
+    assert {r.id: (r.class_id, r.links, r.dot) for r in keyword.sparse_links(p).collect()} == want
+
+
+def test_unions_of_a_block():
+    """Each way of a union, and sums of rows and columns with copies, against plain sets."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique((300 * rng.random(rng.integers(0, 260)) ** 2).astype(np.int32)) for _ in range(150)]
+    flat, lengths, n = np.concatenate(sets), np.array([len(x) for x in sets]), rng.integers(1, 6, 150)
+    want = np.array([[len(np.intersect1d(a, b)) > 0 for b in sets] for a in sets])
+    for share in (1, 5, 1000):
+        held = links.Held(flat, lengths, n, 300, share)
+        union = held.union(flat, lengths)
+        assert (np.unpackbits(union.view(np.uint8), axis=1, bitorder="little")[:, :150] == want).all()
+        assert (held.across(union) == want @ n).all() and (held.down(union, n)[:150] == n @ want).all()
+
+
+def test_documents_are_linked_as_their_terms(spark, monkeypatch):
+    """Counted where they are cut: no text, no terms, capitals, other letters; and an id in two rows is one vector."""
+    texts = [None, "", "the a I", "Fox fox dog", "fox FOX dog!", "Élan dog-cat", "K2 k9", "9k cat_dog ünder", "zebra", "dog\nfox\tfox"]
+    for rows in ([*enumerate(texts)], [*enumerate(texts), (3, "zebra fox")]):
+        docs = spark.createDataFrame(rows, "id long, text string")
+        terms = keyword.term_frequencies(docs).select("id", F.col("term").alias("dim"), F.col("tf").alias("w"))
+        got, want = keyword.document_links(docs).collect(), keyword.sparse_links(terms).collect()
+        assert sorted(got) == sorted(want) and {r.id for r in got} == set(range(3, 10))
+
+
 def test_bm25_batch_and_one_by_one(spark):
     docs = [(1, "the quick brown fox"), (2, "lazy dog sleeps near brown bear"), (3, ""), (4, "fox fox dog")]
     one = keyword.BM25()
